@@ -1,10 +1,16 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from vertexlens.llm.decontam import OP8_SQL, op8_decontamination
+from vertexlens.llm.langid import op7_language_id
+from vertexlens.llm.neardup import op4_near_duplicates
 from vertexlens.llm.rules import OP3_SQL, op3_quality_rules
 from vertexlens.llm.tokens import op6_token_counts
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op8_decontamination": OP8_SQL}
