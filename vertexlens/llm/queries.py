@@ -3,6 +3,7 @@
 from vertexlens.llm.decontam import OP8_SQL, op8_decontamination
 from vertexlens.llm.langid import op7_language_id
 from vertexlens.llm.neardup import op4_near_duplicates
+from vertexlens.llm.repeats import OP10_SQL, op10_repeated_passages
 from vertexlens.llm.rules import OP3_SQL, op3_quality_rules
 from vertexlens.llm.tokens import op6_token_counts
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op10_repeated_passages": op10_repeated_passages,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL}

@@ -76,7 +76,10 @@ class Block:
 
 def blocks(column: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
     """Cuts a batch of binary values (null: empty) into blocks of about `size` bytes of whole texts."""
-    texts = [t or b"" for t in column.to_pylist()]
+    return blocks_of([t or b"" for t in column.to_pylist()], size)
+
+
+def blocks_of(texts: list[bytes], size: int = 1 << 19) -> Iterator[Block]:
     first = 0
     while first < len(texts):
         last, total = first, 0
