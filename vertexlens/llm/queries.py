@@ -3,11 +3,13 @@
 from vertexlens.llm.decontam import OP8_SQL, op8_decontamination
 from vertexlens.llm.langid import op7_language_id
 from vertexlens.llm.neardup import op4_near_duplicates
+from vertexlens.llm.quality import op2_quality_classifier
 from vertexlens.llm.repeats import OP10_SQL, op10_repeated_passages
 from vertexlens.llm.rules import OP3_SQL, op3_quality_rules
 from vertexlens.llm.tokens import op6_token_counts
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_token_counts": op6_token_counts,
