@@ -7,6 +7,7 @@ from vertexlens.llm.quality import op2_quality_classifier
 from vertexlens.llm.repeats import OP10_SQL, op10_repeated_passages
 from vertexlens.llm.rules import OP3_SQL, op3_quality_rules
 from vertexlens.llm.tokens import op6_token_counts
+from vertexlens.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL}
