@@ -60,6 +60,10 @@ def edit_distance(a: Sequence[int], b: Sequence[int]) -> int:
     return len(a) + len(b) - 2 * best[-1]
 
 
-@F.pandas_udf("int")
-def edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _edit_distances(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+
+
+def edit_distance_of(a: str, b: str) -> Column:
+    """edit_distance of two array columns, in Arrow batches."""
+    return F.pandas_udf(_edit_distances, "int")(a, b)

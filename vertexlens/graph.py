@@ -102,21 +102,21 @@ def aggregate_messages(g: Graph, merge: Callable[[Column], Column], to_src: Colu
     return rows.groupBy("id").agg(merge(F.col("m")).alias("message"))
 
 
-def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 5) -> DataFrame:
+def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 4) -> DataFrame:
     """Synchronous rounds over state(id, label, ...) and edges(src, dst, ...).
 
     Each round every edge whose `send` (over the source's state and the edge) is not null sends it to dst; a vertex
     with messages gets label = `program`, over its state and `message`; a vertex without keeps its label.
-    State is carried through the message aggregation itself, so a round shuffles once for the join and once for it.
+    State columns are numbers; they are carried through the message aggregation itself, so a round shuffles once for
+    the join and once for the aggregation, both hashed.
     """
-    others = [c for c in state.columns if c not in ("id", "label")]
-    kept = F.struct("label", *others)
+    kept = [c for c in state.columns if c != "id"]
+    kinds = dict(state.dtypes)
     for i in range(rounds):
-        own = state.select("id", kept.alias("s"), F.lit(None).cast("bigint").alias("m"))
-        mail = state.join(edges, state["id"] == edges["src"]).select(F.col("dst").alias("id"), F.lit(None).cast(own.schema["s"].dataType).alias("s"), send.cast("bigint").alias("m")).where("m is not null")
-        met = own.unionByName(mail).groupBy("id").agg(F.max("s").alias("s"), merge(F.col("m")).alias("message")).where("s is not null")
-        flat = met.select("id", "s.*", "message")
-        state = flat.select("id", F.when(F.col("message").isNull(), F.col("label")).otherwise(program).alias("label"), *others)
+        own = state.select("id", *kept, F.lit(None).cast("bigint").alias("m"))
+        mail = state.join(edges, state["id"] == edges["src"]).select(F.col("dst").alias("id"), *(F.lit(None).cast(kinds[c]).alias(c) for c in kept), send.cast("bigint").alias("m"))
+        met = own.unionByName(mail.where("m is not null")).groupBy("id").agg(*(F.max(c).alias(c) for c in kept), merge(F.col("m")).alias("message"))
+        state = met.select("id", *(F.when(F.col("message").isNull(), F.col("label")).otherwise(program).alias("label") if c == "label" else F.col(c) for c in kept))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
             state = cut_lineage(state)
     return state
