@@ -111,7 +111,7 @@ def ppr_monte_carlo(g: Graph, budget: int, alpha: float, seed: int = 42, per_sou
     if per_source_length:
         from vertexlens.functions.rng import geometric
 
-        rows = cut_lineage(rows.withColumn("steps", geometric(uniform(seed, "len", "source", "round"), alpha).cast("int")))
+        rows = cut_lineage(rows.withColumn("steps", geometric(uniform(seed, F.lit("len"), "source", "round"), alpha).cast("int")))
         most = rows.agg(F.max("steps")).first()[0] or 0
     total = rows.groupBy("source").agg(F.sum("steps").alias("total"))
     walks = rows.select("source", "round", "steps", F.array("source").alias("path"), F.col("source").alias("last"))
