@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexlens.lineage import cut_lineage
+
+__all__ = ["bounded_batches", "crc_mod", "cut_lineage", "id_and_bytes", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,16 +24,8 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so lost executors cost no recomputation.
-
-    The folder is spark.checkpoint.dir; only where that is unset (single-machine tests) a folder under the
-    warehouse is taken.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def bounded_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> DataFrame:
+    """Lets Arrow batches of whole texts hold at most so many records and bytes, for this session, as texts can be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexlens.llm.components import connected_components
 from vertexlens.llm.frames import cut_lineage, id_and_bytes, table
 from vertexlens.llm.textbytes import IS_SPACE, LOWER, U64, Block, RangeHash, blocks, mix, owner, runs
+from vertexlens.operators.components import component_map
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     keys = classes.select("id", F.explode(chunk_keys(p)).alias("key"))
     least = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
     star = keys.join(least, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    groups = connected_components(star).withColumnRenamed("component", "cl")
+    groups = component_map(star).withColumnRenamed("component", "cl")
     groups = cut_lineage(groups)
     sizes = groups.groupBy("cl").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("parts"))
     placed = groups.join(sizes, "cl").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     members = sets.select("cl", "parts", "part", F.col("doc_id").alias("id"), "set", other)
     members = members.select("cl", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "id", "set")
     links = confirmed_links(members, p)
-    comps = connected_components(links)
+    comps = component_map(links)
     of_class = classes.select("set_a", "set_b", F.col("id")).join(comps, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     own = rows.select("doc_id", "n_shingles", "set_a", "set_b")
     out = own.join(of_class, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -229,3 +229,16 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupParams(words=3, percent=85, chunks=8))
+
+
+OP4_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as id, doc_id as c from documents union select e.b, r.c from r join e on e.a = r.id),
+m as (select id, min(c) as c from r group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept from documents d left join n using (doc_id) join m on m.id = d.doc_id
+"""

@@ -3,7 +3,7 @@
 from vertexlens.llm.chat import OP5_SQL, op5_chat_formatting
 from vertexlens.llm.decontam import OP8_SQL, op8_decontamination
 from vertexlens.llm.langid import op7_language_id
-from vertexlens.llm.neardup import op4_near_duplicates
+from vertexlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from vertexlens.llm.packing import op1_best_fit_packing
 from vertexlens.llm.quality import op2_quality_classifier
 from vertexlens.llm.repeats import OP10_SQL, op10_repeated_passages
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL}
