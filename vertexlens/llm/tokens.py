@@ -80,9 +80,11 @@ def load_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
-    split = spec["pre_tokenizer"]["pretokenizers"][0]
-    if model["type"] != "BPE" or split["type"] != "Split" or not split["invert"] or model["continuing_subword_prefix"] or model["ignore_merges"]:
-        raise ValueError(f"{path}: only byte-level BPE with a pattern of the pre-tokens is supported")
+    split = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    known = model["type"] == "BPE" and split.get("type") == "Split" and split["invert"] and steps == ["NFC", "Replace", "Lowercase"]
+    if not known or model["continuing_subword_prefix"] or model["ignore_merges"]:
+        raise ValueError(f"{path}: only byte-level BPE over NFC, lower-cased text with a pattern of the pre-tokens is supported")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     special = [t["content"] for t in spec["added_tokens"]]
     return {"merges": merges, "suffix": model["end_of_word_suffix"] or "", "pattern": split["pattern"]["Regex"], "special": special}
