@@ -9,7 +9,9 @@ equal triggers, wherever they occur. Repeats are then found on the dictionary, n
 2. a phrase that occurs twice or more is repeated as a whole;
 3. phrases that share a trigger but differ go through a suffix array of the distinct phrases (ordered as far as
    `window` bytes), in batches of whole trigger groups; equal ranks are repeated windows;
-4. triggers with more than `group` distinct phrases would crowd one task: their windows are counted by hash instead.
+4. triggers with more than `group` distinct phrases would crowd one task: their windows are counted by hash instead,
+   after cells of `cell` windows have been ruled out, if the bytes that their windows share occur once, or taken whole,
+   if all their bytes occur twice.
 
 Occurrences (the parse) carry the dictionary's answers back to the texts.
 """
@@ -22,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexlens.llm.frames import table
-from vertexlens.llm.textbytes import U64, Block, RangeHash, blocks_of
+from vertexlens.llm.frames import bounded_batches, cut_lineage, table
+from vertexlens.llm.textbytes import U64, Block, RangeHash, blocks_of, grouped
 
 _POS_BITS = 20
 _POS = U64((1 << _POS_BITS) - 1)
@@ -36,11 +39,15 @@ _PIECE = 1 << 18
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """window: least repeat in bytes; gram: bytes of a trigger; group: distinct phrases per trigger that go to the suffix array."""
+    """window: least repeat in bytes; gram: bytes of a trigger; group: distinct phrases per trigger that go to the suffix array;
+
+    cell: windows that are ruled out or taken together beyond that.
+    """
 
     window: int = 200
     gram: int = 48
     group: int = 64
+    cell: int = 16
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -52,6 +59,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - r], x[r:]) if r else x
 
 
+def _trigger_places(h: RangeHash, n: int, p: RepeatParams) -> np.ndarray:
+    """Place of the trigger of the window at each start: the leftmost k-gram of least hash in it."""
+    gram = h.rolling(p.gram) * U64(0x9FB21C651E98DF25)
+    at = np.arange(len(gram), dtype=U64)
+    return (_sliding_min((gram & ~_POS) | at, p.window - p.gram + 1) & _POS).astype(np.int64)
+
+
 def phrases(b: Block, p: RepeatParams) -> tuple[np.ndarray, ...]:
     """(text of the block, first window start in the text, windows, trigger hash, phrase hash) of every phrase of the block."""
     w, k = p.window, p.gram
@@ -59,10 +73,7 @@ def phrases(b: Block, p: RepeatParams) -> tuple[np.ndarray, ...]:
     if len(b.buf) < w or not (b.end - b.start >= w).any():
         return none, none, none, none.view(U64), none.view(U64)
     h = RangeHash(b.buf)
-    gram = (h._sum[k:] - h._sum[:-k]) * h._down[: len(b.buf) - k + 1] * U64(0x9FB21C651E98DF25)
-    at = np.arange(len(gram), dtype=U64)
-    least = _sliding_min((gram & ~_POS) | at, w - k + 1)
-    pos = (least & _POS).astype(np.int64)
+    pos = _trigger_places(h, len(b.buf), p)
     mark = np.zeros(len(pos) + 1, np.int32)
     fits = b.end - b.start >= w
     np.add.at(mark, b.start[fits], 1)
@@ -75,8 +86,23 @@ def phrases(b: Block, p: RepeatParams) -> tuple[np.ndarray, ...]:
     return doc, s - b.start[doc], e - s + 1, h(pos[s], pos[s] + k), h(s, e + w)
 
 
+def _merged(s: np.ndarray, n: np.ndarray) -> list[dict]:
+    """Runs of windows, joined where one begins where another ends."""
+    order = np.argsort(s, kind="stable")
+    s, n = s[order], n[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != (s + n)[:-1]
+    first = np.flatnonzero(new)
+    return [{"s": int(a), "n": int(b)} for a, b in zip(s[first], np.add.reduceat(n, first))]
+
+
 def parsed(texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, s, n, trigger, phrase) of every phrase occurrence of texts(key, body)."""
+    """(key, s, n, trigger, phrase, more) of the phrases of texts(key, body): one row per distinct phrase of a piece of a text.
+
+    more is null, or, for a phrase that the piece has twice or more, the window runs of all its occurrences: texts that
+    repeat themselves with a short period would else give a row every few bytes.
+    """
+    run_type = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +116,19 @@ def parsed(texts: DataFrame, p: RepeatParams) -> DataFrame:
             row, offset = np.array(row, np.int64), np.array(offset, np.int64)
             for b in blocks_of(piece, 1 << 18):
                 doc, s, n, trigger, phrase = phrases(b, p)
-                doc = doc + b.first
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row[doc]]), pa.array((s + offset[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], ["key", "s", "n", "trigger", "phrase"])
+                s = s + offset[b.first + doc]
+                _, first, inverse, times = np.unique(grouped(doc, phrase), return_index=True, return_inverse=True, return_counts=True)
+                more: list[list[dict] | None] = [None] * len(first)
+                if (times > 1).any():
+                    order = np.argsort(inverse, kind="stable")
+                    ends = np.cumsum(times)
+                    for g in np.flatnonzero(times > 1):
+                        at = order[ends[g] - times[g] : ends[g]]
+                        more[g] = _merged(s[at], n[at])
+                columns = [pa.array(keys[row[b.first + doc[first]]]), pa.array(s[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(trigger[first].view(np.int64)), pa.array(phrase[first].view(np.int64)), pa.array(more, run_type)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "s", "n", "trigger", "phrase", "more"])
 
-    return texts.mapInArrow(run, "key bigint, s int, n int, trigger bigint, phrase bigint")
+    return texts.mapInArrow(run, "key bigint, s int, n int, trigger bigint, phrase bigint, more array<struct<s:int,n:int>>")
 
 
 def repeated_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
@@ -133,15 +168,32 @@ def _runs(flags: np.ndarray) -> zip:
     return zip(a.tolist(), (z - a).tolist())
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """texts(doc_id, key, body, rest) with zstandard bodies: they are shuffled, and the texts are most of what moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            body = pa.array([pack(x) for x in batch.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), body, batch.column("rest")], ["doc_id", "key", "body", "rest"])
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def unpacked(body: bytes) -> bytes:
+    return zstandard.decompress(body)
+
+
 def phrase_bytes(texts: DataFrame, wanted: DataFrame, p: RepeatParams) -> DataFrame:
     """(trigger, key, s, body) of the wanted phrases (key, s, n, trigger): their bytes, cut from the texts."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("trigger", "s", "n")).alias("cuts"))
-    joined = texts.join(lists.hint("shuffle_hash"), "key").select("doc_id", "key", "body", "cuts")
+    joined = texts.join(lists.hint("shuffle_hash"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trigger, key, at, part = [], [], [], []
-            for k, body, cuts in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "cuts"))):
+            for k, packed, cuts in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "cuts"))):
+                body = unpacked(packed)
                 for c in cuts:
                     trigger.append(c["trigger"])
                     key.append(k)
@@ -178,6 +230,43 @@ def by_suffix_array(parts: DataFrame, p: RepeatParams, batch_bytes: int = 1 << 1
     return parts.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "key bigint, s int, n int")
 
 
+def common_cells(parts: DataFrame, p: RepeatParams) -> DataFrame:
+    """(trigger, phrase, key, s, n): the cells of phrases (key, s, body) whose common bytes occur twice or more.
+
+    As with phrases, trigger is the hash of the common bytes and phrase that of all the bytes.
+
+    A cell has the windows at `cell` consecutive distances from the trigger; the bytes that all of them share are the same
+    wherever one of them occurs, so a cell whose common bytes occur once has no repeated window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, start = np.asarray(batch.column("key")), np.asarray(batch.column("s"))
+            for b in blocks_of(batch.column("body").to_pylist(), 1 << 18):
+                h = RangeHash(b.buf)
+                n = b.end - b.start - p.window + 1
+                a = _trigger_places(h, len(b.buf), p)[b.start] - b.start
+                lo, hi = (a - n + 1) // p.cell, a // p.cell
+                count = hi - lo + 1
+                doc = np.repeat(np.arange(len(n)), count)
+                c = lo[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                near = a[doc] - c * p.cell  # the last window start of the cell, and where the common bytes begin
+                first = np.maximum(0, near - p.cell + 1)
+                last = np.minimum(n[doc] - 1, near)
+                at = b.start[doc] + near
+                core = h(at, at - p.cell + 1 + p.window)
+                whole = h(b.start[doc] + first, b.start[doc] + last + p.window)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[b.first + doc]), pa.array((start[b.first + doc] + first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["trigger", "phrase", "key", "s", "n"])
+
+    return _repeated(parts.mapInArrow(run, "trigger bigint, phrase bigint, key bigint, s int, n int"), "trigger")
+
+
+def _repeated(rows: DataFrame, h: str) -> DataFrame:
+    """The rows whose h occurs twice or more; the join is on the complement, so that a hot value can be split."""
+    again = rows.groupBy(h).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.bitwise_not(h).alias("_h"))
+    return rows.withColumn("_h", F.bitwise_not(h)).join(again, "_h").select(*rows.columns)
+
+
 def by_window_hash(parts: DataFrame, p: RepeatParams) -> DataFrame:
     """(key, s, n=1) of repeated windows, counted by hash with pre-aggregation: for triggers of any number of phrases."""
 
@@ -192,24 +281,37 @@ def by_window_hash(parts: DataFrame, p: RepeatParams) -> DataFrame:
                 at = b.start[doc] + i
                 yield pa.RecordBatch.from_arrays([pa.array(keys[b.first + doc]), pa.array((first[b.first + doc] + i).astype(np.int32)), pa.array(h(at, at + p.window).view(np.int64))], ["key", "s", "h"])
 
-    rows = parts.mapInArrow(run, "key bigint, s int, h bigint")
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    return rows.join(again, "h").select("key", "s", F.lit(1).alias("n"))
+    return _repeated(parts.mapInArrow(run, "key bigint, s int, h bigint"), "h").select("key", "s", F.lit(1).alias("n"))
 
 
-def repeated_spans(texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, spans array<struct<s, n>>): runs of n repeated windows from byte s, for texts(doc_id, key, body)."""
-    rows = parsed(texts.select("key", "body"), p)
-    shared = rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("trigger")
-    # phrase and check stand for (trigger, phrase); that neither is a join key of `seen` lets a hot trigger be split
-    seen = rows.join(shared, "trigger").select("key", "s", "n", "phrase", F.expr("trigger ^ phrase").alias("check"))
-    dictionary = seen.groupBy("phrase", "check").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "s", "n")).alias("one"))
-    whole = seen.join(dictionary.where("c > 1").select("phrase", "check"), ["phrase", "check"]).select("key", "s", "n")
+def _dictionary(seen: DataFrame, times: Column, spans: Column) -> tuple[DataFrame, DataFrame]:
+    """(phrase, check, c, one) of each distinct (trigger, phrase), and the spans (key, s, n) of those that occur twice or more."""
+    rows = seen.withColumn("check", F.expr("trigger ^ phrase"))  # phrase and check stand for (trigger, phrase)
+    dictionary = cut_lineage(rows.groupBy("phrase", "check").agg(times, F.min(F.struct("key", "s", "n")).alias("one")))
+    repeated = dictionary.where("c > 1").select(F.bitwise_not("phrase").alias("_p"), "check")
+    whole = rows.withColumn("_p", F.bitwise_not("phrase")).join(repeated, ["_p", "check"])
+    return dictionary, whole.select("key", F.inline(spans))
+
+
+def repeated_spans(plain: DataFrame, texts: DataFrame, p: RepeatParams) -> DataFrame:
+    """(key, spans array<struct<s, n>>): runs of n repeated windows from byte s, for plain(key, body).
+
+    texts has the bodies once more, packed, with all the columns that the caller joins later: the plans then share
+    one shuffle of the texts. Joins are on complements of grouping keys, so that Spark can split a hot trigger.
+    """
+    rows = parsed(plain, p)
+    times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("c")
+    shared = rows.groupBy("trigger").agg(times).where("c > 1").select(F.bitwise_not("trigger").alias("t"))
+    seen = rows.withColumn("t", F.bitwise_not("trigger")).join(shared, "t").select("key", "s", "n", "trigger", "phrase", "more")
+    dictionary, whole = _dictionary(cut_lineage(seen), times, F.coalesce("more", F.array(F.struct("s", "n"))))
     entries = dictionary.select("one.key", "one.s", "one.n", F.expr("phrase ^ check").alias("trigger"))
-    sizes = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    differing = entries.join(sizes, "trigger")
+    sizes = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.bitwise_not("trigger").alias("t"), "m")
+    differing = cut_lineage(entries.withColumn("t", F.bitwise_not("trigger")).join(sizes, "t").select("key", "s", "n", "trigger", "m"))
     few = by_suffix_array(phrase_bytes(texts, differing.where(f"m <= {p.group}").drop("m"), p), p)
-    many = by_window_hash(phrase_bytes(texts, differing.where(f"m > {p.group}").drop("m"), p), p)
+    cells = cut_lineage(common_cells(phrase_bytes(texts, differing.where(f"m > {p.group}").drop("m"), p), p))
+    cell_dictionary, whole_cells = _dictionary(cells, F.count(F.lit(1)).alias("c"), F.array(F.struct("s", "n")))
+    left = cell_dictionary.select("one.key", "one.s", "one.n", F.col("phrase").alias("trigger"))
+    many = whole_cells.unionByName(by_window_hash(phrase_bytes(texts, left, p), p))
     spans = whole.unionByName(few).unionByName(many)
     return spans.groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
@@ -231,15 +333,18 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), keep: tupl
     of the bytes. Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are allowed.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    texts = docs.select("doc_id", F.xxhash64("doc_id", body).alias("key"), body.alias("body"), F.struct(F.col("text").isNull().alias("_null"), *keep).alias("rest"))
-    spans = repeated_spans(texts.select("doc_id", "key", "body"), p)
-    joined = texts.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "body", "rest", "spans")
+    key = F.xxhash64("doc_id", body).alias("key")
+    docs = bounded_batches(docs)
+    texts = packed_texts(docs.select("doc_id", key, body.alias("body"), F.struct(F.col("text").isNull().alias("_null"), *keep).alias("rest")))
+    spans = repeated_spans(docs.select(key, body.alias("body")), texts, p)
+    joined = texts.join(spans.hint("shuffle_hash"), "key", "left")
     names = ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, count, digest, kept = [], [], [], [], []
-            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
+            for packed, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
+                body = unpacked(packed)
                 cut = byte_runs(len(body), spans, p.window) if spans else []
                 size.append(len(body))
                 removed.append(sum(z - a for a, z in cut))

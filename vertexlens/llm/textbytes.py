@@ -58,6 +58,10 @@ class RangeHash:
         self._sum = np.zeros(n + 1, U64)
         np.cumsum(_BYTE_VALUE[buf] * up[:n], out=self._sum[1:])
 
+    def rolling(self, k: int) -> np.ndarray:
+        """Unmixed hashes of all k-byte ranges."""
+        return (self._sum[k:] - self._sum[:-k]) * self._down[: len(self._sum) - k]
+
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         h = (self._sum[hi] - self._sum[lo]) * self._down[lo]
         return mix(h + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
