@@ -47,10 +47,10 @@ class Graph:
         return Graph(self.vertices.withColumn("attr", attr), self.edges)
 
     def induced(self, chosen: DataFrame) -> Graph:
-        """chosen(id, attr) with the edges between its vertices; multiplicity stays, edge attributes become 1."""
+        """chosen(id, attr) with the edges between its vertices, cached; multiplicity stays, edge attributes become 1."""
         keep = chosen.select("id")
         edges = self.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return Graph(chosen, edges.select("src", "dst", F.lit(1).alias("attr")))
+        return Graph(chosen, edges.select("src", "dst", F.lit(1).alias("attr")).persist())
 
 
 def ends(edges: DataFrame, direction: Direction) -> DataFrame:
@@ -102,13 +102,13 @@ def aggregate_messages(g: Graph, merge: Callable[[Column], Column], to_src: Colu
     return rows.groupBy("id").agg(merge(F.col("m")).alias("message"))
 
 
-def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 4) -> DataFrame:
+def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 1) -> DataFrame:
     """Synchronous rounds over state(id, label, ...) and edges(src, dst, ...).
 
     Each round every edge whose `send` (over the source's state and the edge) is not null sends it to dst; a vertex
     with messages gets label = `program`, over its state and `message`; a vertex without keeps its label.
     State columns are numbers; they are carried through the message aggregation itself, so a round shuffles once for
-    the join and once for the aggregation, both hashed.
+    the join and once for the aggregation, both hashed. A round reads the state twice, so by default every round is cut.
     """
     kept = [c for c in state.columns if c != "id"]
     kinds = dict(state.dtypes)

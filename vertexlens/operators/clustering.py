@@ -14,12 +14,12 @@ def triangles(g: Graph) -> DataFrame:
     Edges point from the lower to the higher (degree, id), so a hub has few out-edges and the wedges to close stay
     within |E|^1.5; wedges are closed by an equi-join, then counted for their three corners.
     """
-    pairs = g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().persist()
     d = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     both = pairs.join(d.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
     lo, hi = F.struct(F.col("da").alias("d"), F.col("a").alias("id")), F.struct(F.col("db").alias("d"), F.col("b").alias("id"))
     up = both.select(F.least(lo, hi).alias("x"), F.greatest(lo, hi).alias("y"))
-    first = up.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("y.d").alias("vd"))
+    first = up.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("y.d").alias("vd")).persist()
     second = first.select("u", F.col("v").alias("w"), F.col("vd").alias("wd"))
     wedge = first.join(second, "u").where("vd < wd or (vd = wd and v < w)").select("u", "v", "w")
     closing = first.select(F.col("u").alias("v"), F.col("v").alias("w"))

@@ -9,10 +9,16 @@ from vertexlens.graph import Graph, degrees, ends, pregel
 from vertexlens.lineage import cut_lineage
 
 
+def by_source(links: DataFrame, column: str = "src") -> DataFrame:
+    """links cached, dealt by source in as many partitions as an aggregation by vertex has, so joining to one moves no link."""
+    return links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), column).persist()
+
+
 def weighted(edges: DataFrame) -> DataFrame:
     """(src, dst, w): parallel edges merged, w their share of src's out-degree."""
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
-    return pairs.join(degrees(edges, "out").withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("c") / F.col("degree")).alias("w"))
+    total = pairs.groupBy("src").agg(F.sum("c").alias("degree"))
+    return pairs.join(total, "src").select("src", "dst", (F.col("c") / F.col("degree")).alias("w"))
 
 
 def _surfer(ranks: DataFrame, base: DataFrame, links: DataFrame, keep: float) -> DataFrame:
@@ -21,12 +27,12 @@ def _surfer(ranks: DataFrame, base: DataFrame, links: DataFrame, keep: float) ->
     return base.unionByName(flow).groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
-def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float = 0.15, cut_every: int = 5) -> DataFrame:
+def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float = 0.15, cut_every: int = 2) -> DataFrame:
     """(id, score) after a fixed number of rounds; not normalised, mass of vertices without out-edges is lost.
 
-    The links are partitioned by source once and cached; each round then shuffles only the flow.
+    The links are dealt by source once and cached; each round then shuffles only the flow.
     """
-    links = weighted(g.edges).repartition("src").persist()
+    links = by_source(weighted(g.edges))
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = g.vertices.select("id", F.lit(float(init)).alias("rank"))
     for i in range(iterations):
@@ -38,7 +44,7 @@ def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float =
 
 def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init: float = 1.0, most: int = 200) -> DataFrame:
     """(id, score) once no score moves by more than tolerance."""
-    links = weighted(g.edges).repartition("src").persist()
+    links = by_source(weighted(g.edges))
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = cut_lineage(g.vertices.select("id", F.lit(float(init)).alias("rank")))
     for _ in range(most):
@@ -51,9 +57,9 @@ def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init
     return ranks.select("id", F.col("rank").alias("score"))
 
 
-def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: int = 5) -> DataFrame:
+def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: int = 2) -> DataFrame:
     """(source, target, score) of every source: the walk stops with probability alpha a step. Pairs reached only."""
-    links = weighted(g.edges).select(F.col("src").alias("at"), "dst", "w").repartition("at").persist()
+    links = by_source(weighted(g.edges).select(F.col("src").alias("at"), "dst", "w"), "at")
     base = g.vertices.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(float(alpha)).alias("score"))
     now = base
     for i in range(iterations):
@@ -68,7 +74,7 @@ def _label_rounds(g: Graph, k: int, at_least: bool, rounds: int) -> DataFrame:
     out = g.vertices.select("id").join(degrees(g.edges, "out"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("out_degree"))
     holds = (lambda x: x >= k) if at_least else (lambda x: x <= k)
     state = out.select("id", holds(F.col("out_degree")).cast("int").alias("label"), "out_degree")
-    links = g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).repartition("src").persist()
+    links = by_source(g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")))
     send = F.when(F.col("label") == 1, F.col("c"))
     return pregel(state, links, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label")
 

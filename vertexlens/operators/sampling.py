@@ -1,4 +1,7 @@
-"""Graph samplers. All draws are hash-derived (functions.rng), so a sample depends on the seed alone."""
+"""Graph samplers. All draws are hash-derived (functions.rng), so a sample depends on the seed alone.
+
+A sample's edges are cached on first use, as its vertices and every query on it read them.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +42,7 @@ def node_sample(g: Graph, fraction: float, seed: int = 42) -> Graph:
 def edge_sample(g: Graph, fraction: float, seed: int = 42) -> Graph:
     """Each edge row with probability `fraction`, parallel ones independently; vertices are the endpoints."""
     rows = occurrences(g.edges).where(uniform(seed, "src", "dst", "occ") < fraction)
-    return Graph.from_edges(rows.select("src", "dst", "attr"))
+    return Graph.from_edges(rows.select("src", "dst", "attr").persist())
 
 
 def edge_by_vertex_sample(g: Graph, fraction: float, seed: int = 42) -> Graph:
@@ -47,7 +50,7 @@ def edge_by_vertex_sample(g: Graph, fraction: float, seed: int = 42) -> Graph:
     rows = occurrences(g.edges).withColumn("u", uniform(seed, "src", "dst", "occ"))
     ranked = rank_within(rows, "src", F.col("u"), "u", "dst", "occ")
     kept = ranked.where(F.col("rank") <= round_half_up(F.col("n") * fraction))
-    return Graph.from_edges(kept.select("src", "dst", F.lit(1).alias("attr")))
+    return Graph.from_edges(kept.select("src", "dst", F.lit(1).alias("attr")).persist())
 
 
 def reservoir_sample(items: DataFrame, key: str, item: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -240,7 +240,7 @@ def with_vertex(rows: DataFrame, vertex: int, **values: float) -> DataFrame:
 
 def best_of_node_samples(g: Graph, fraction: float, trials: int, seed: int = 42) -> DataFrame:
     """(trial, l1): 1 + trials + 1 node samples by their L1 distance in clustering to the graph; the smallest is the sample to take."""
-    truth = global_clustering(g)
+    truth = global_clustering(g).persist()
     rows = None
     for t in range(trials + 2):
         one = l1_vertices(global_clustering(node_sample(g, fraction, seed + t)), truth).select(F.lit(t).alias("trial"), "l1")
