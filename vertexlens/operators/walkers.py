@@ -208,7 +208,7 @@ def swapped_degrees(g: Graph, degrees: DataFrame, chosen: DataFrame, added: int,
     from vertexlens.graph import neighbor_sets
 
     rows = neighbor_sets(g.edges, direction)
-    stays = chosen.where(F.col("id") != removed)
+    stays = chosen.where(F.col("id") != removed).select("id")
     # v's degree counts its neighbours inside: one less for those that have `removed` as one, one more for `added`
     touched = rows.where(F.col("other").isin(added, removed)).select("id", F.when(F.col("other") == added, 1).otherwise(-1).alias("degree"))
     old = degrees.where(F.col("id") != removed).select("id", F.col("degree").cast("bigint").alias("degree"))

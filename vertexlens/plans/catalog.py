@@ -224,7 +224,18 @@ def _(spark, d):
     return me.mean_abs_error(*_both(spark, d)).select(F.round("error", 6).alias("error"))
 
 
-@query("pagerank_edit_distance")
+# The longest common subsequence of two lists of distinct ids is the longest increasing run of places.
+_LCS = (
+    "a as (select id, row_number() over (order by round(r, 9) desc, id) as i from p10 qualify i <= 100)",
+    "b as (select id, row_number() over (order by round(r, 9) desc, id) as j from ps10 qualify j <= 100)",
+    "pl as (select coalesce(list(j order by i), []) as p from a join b using (id))",
+    "ls as (select 0 as i, []::bigint[] as l, p from pl union all select i + 1, list_append(l, 1 + coalesce(list_max(list_transform(range(1, i + 1), lambda x: case when p[x] < p[i + 1] then l[x] else 0 end)), 0)), p from ls where i < len(p))",
+    "ed as (select ((select count(*) from a) + (select count(*) from b) - 2 * coalesce(list_max(l), 0))::int as edit_distance from ls order by i desc limit 1)",
+)
+_EDIT = _with("copurchase", *_PAIR, *_LCS, final="select edit_distance from ed").replace("with e as", "with recursive e as", 1)
+
+
+@query("pagerank_edit_distance", _EDIT)
 def _(spark, d):
     return me.topk_edit_distance(*_both(spark, d))
 
@@ -295,12 +306,19 @@ def _(spark, d):
     return rk.kdegenerate_heuristic(fixtures.graph(spark, d, "events"), 130)
 
 
-@query("kcore_exact")
+_PEEL = (
+    "u as materialized (select distinct src as id, dst as other from (select src, dst from e union all select dst, src from e) where src <> dst)",
+    "k0 as materialized (select distinct id from u)",
+    *(f"k{i + 1} as materialized (select id from u where id in (select id from k{i}) and other in (select id from k{i}) group by id having count(*) >= 80)" for i in range(25)),
+)
+
+
+@query("kcore_exact", _with("copurchase", *_PEEL, final="select id from k25"))
 def _(spark, d):
     return rk.kcore(fixtures.graph(spark, d, "copurchase"), 80)
 
 
-@query("kdegenerate_exact")
+@query("kdegenerate_exact", _with("copurchase", *_PEEL, final="select id from v where id not in (select id from k25)"))
 def _(spark, d):
     return rk.kdegenerate(fixtures.graph(spark, d, "copurchase"), 79)
 
@@ -384,6 +402,39 @@ query("l1_vertices", _with("events_simple", *_gcc("e", "v", "w"), *_TRIALS[0], f
     lambda s, d: me.l1_vertices(cl.global_clustering(sa.node_sample(fixtures.graph(s, d, "events_simple"), 0.4, SEED)), cl.global_clustering(fixtures.graph(s, d, "events_simple"))).select(F.round("l1", 6).alias("l1"))
 )
 
+_IN, _OUT = 3, 100  # the vertices that enter and leave: ids below 100 are chosen
+_SWAP = (f"iv as (select id from v where (id < 100 or id = {_OUT}) and id <> {_IN})", "ie as (select src, dst from e where src in (select id from iv) and dst in (select id from iv))")
+
+
+def _swap(s: SparkSession, d: str) -> tuple[Graph, DataFrame]:
+    g = fixtures.graph(s, d, "events_simple")
+    return g, g.vertices.where("id < 100")
+
+
+query("swapped_degrees", _with("events_simple", *_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree from lc"))(
+    lambda s, d: (lambda g, c: wk.swapped_degrees(g, cl.set_degrees(g, "either", c), c, _OUT, _IN))(*_swap(s, d))
+)
+query("swapped_coefficients", _with("events_simple", *_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree, round(cc, 6)::double as cc from lc"))(
+    lambda s, d: (lambda g, c: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, _OUT, _IN).select("id", "degree", F.round("cc", 6).alias("cc")))(*_swap(s, d))
+)
+
+
+@query("edges_of_vertex", _with("events", final="select src, dst from e where src = 7"))
+def _(spark, d):
+    return wk.edges_of(fixtures.edges(spark, d, "events"), 7)
+
+
+@query("sorted_edges", _with("events", final="select src, dst from e order by src, dst"))
+def _(spark, d):
+    return wk.sorted_edges(fixtures.edges(spark, d, "events"))
+
+
+@query("random_subset", _with("events_simple", "n as (select src as id, list_sort(list(dst)) as l from e group by src)", "x as (select id, l[i] as x, i - 1 as i from (select id, l, unnest(range(1, len(l) + 1)) as i from n))", f"r as (select id, x, row_number() over (partition by id order by {uniform_sql(SEED, 'x', 'i')}, x) as r from x)", final="select id, x from r where r <= 3"))
+def _(spark, d):
+    rows = fixtures.edges(spark, d, "events_simple").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("l"))
+    return rows.select("id", F.explode(scalars.random_subset(F.col("l"), 3, SEED)).alias("x"))
+
+
 # --- walks ------------------------------------------------------------------------------------------------------------
 _LENGTH, _THETA = 7, 3  # three segments of 3, 3 and 1 steps
 _ETA = 3
@@ -470,4 +521,5 @@ query("random_walk_sample")(lambda s, d: wk.random_walk_sample(fixtures.graph(s,
 query("random_jump_sample")(lambda s, d: wk.random_jump_sample(fixtures.graph(s, d, "events_simple"), 0.2, samples=2, seed=SEED))
 query("random_jump_vertices")(lambda s, d: wk.random_jump_vertices(fixtures.graph(s, d, "events_simple"), 0.3, samples=2, seed=SEED))
 query("metropolis_run")(lambda s, d: wk.metropolis_sample(fixtures.graph(s, d, "events_simple"), 0.2, 20, 10.0, chains=2, seed=SEED))
-query("experiment")(lambda s, d: run_experiment(fixtures.graph(s, d, "copurchase"), "edge", FRACTION).select("sampleType", "sampleFrac", "queryAlgo", "metricName", "metricScore", "numSamples", "stitchStrategy"))
+_ROW = "select 'edge' as sampleType, 0.15::double as sampleFrac, 'pageRank' as queryAlgo, {} as metricName, ({})::double as metricScore, 1 as numSamples, 'first' as stitchStrategy"
+query("experiment", _EDIT.replace("select edit_distance from ed", "", 1) + " " + _ROW.format("'edit distance'", "select edit_distance from ed") + " union all " + _ROW.format("'intersection'", "select count(*) from a where id in (select id from b)"))(lambda s, d: run_experiment(fixtures.graph(s, d, "copurchase"), "edge", FRACTION).select("sampleType", "sampleFrac", "queryAlgo", "metricName", "metricScore", "numSamples", "stitchStrategy"))
