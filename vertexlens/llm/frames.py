@@ -14,18 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> DataFrame:
+    """Lets Arrow batches of whole texts hold at most so many records and bytes, for this session, as texts can be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def id_and_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the whole text as UTF-8 bytes, null as empty; all other columns are pruned."""
-    return docs.select("doc_id", F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("body"))
+    return bounded_batches(docs).select("doc_id", F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("body"))
 
 
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the id written as text, modulo m."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
-
-
-def bounded_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> DataFrame:
-    """Lets Arrow batches of whole texts hold at most so many records and bytes, for this session, as texts can be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    return df

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexlens.llm.frames import crc_mod, table
+from vertexlens.llm.frames import bounded_batches, crc_mod, table
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters says nothing of the language; A-Z are lower-cased beforehand.
@@ -120,7 +120,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangIdPara
     Null, empty and letterless texts get `und` and are rejected. Existing columns of those names are replaced.
     """
     out = ("lang_pred", "lang_score", "lang_accepted")
-    docs = docs.drop(*out)
+    docs = bounded_batches(docs).drop(*out)
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most max_langs x sample_docs x piece_chars
     names = docs.columns
 

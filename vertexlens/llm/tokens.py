@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexlens.llm.frames import table
+from vertexlens.llm.frames import bounded_batches, table
 
 #: Pre-tokens whose counts a worker remembers; the memory is dropped and begun anew beyond it.
 MEMO = 400_000
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return bounded_batches(docs).select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
