@@ -40,6 +40,7 @@ def preference_pairs(turns: DataFrame, t: ChatTemplate = ChatTemplate()) -> Data
     """
     rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
     rows = rows.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition("pair_id")  # serves every window and the aggregation below
     at = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(at))
     place = Window.partitionBy("pair_id", "place")
