@@ -1,8 +1,9 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Pieces are taken longest first. A piece goes to the open bin that it leaves fullest; if none has room, the length is
-opened that costs least for what the piece fills of it, counting free room at a discount because later pieces may use
-it. At the end every bin is downsized to the shortest permitted length that holds its contents.
+opened whose final cost per token is least when the pieces still to come fill it, longest first. At the end every bin is
+downsized to the shortest permitted length that holds its contents. Opening the shortest length that holds the piece is
+tried beside it, and each shard keeps the cheaper packing of the two: where small pieces abound, that is the shortest.
 
 Documents are dealt to shards by hash, as many as the corpus needs, and each shard is packed alone: a shard's size is
 bounded, and only a few bins per shard are left part empty.
@@ -11,7 +12,7 @@ bounded, and only a few bins per shard are left part empty.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,7 +26,8 @@ from vertexlens.llm.frames import table
 class PackParams:
     """lengths: permitted sequence lengths, ascending. A bin of length n costs n * (1 + n / attention).
 
-    discount: share of its proportional cost that room left in a new bin is thought to be worth.
+    discount: in pack() without an opening rule, the share of its proportional cost that room left in a new bin is thought
+    to be worth; up to 1 that opens the shortest length that holds the piece.
     shard_rows: about how many documents are packed together.
     """
 
@@ -44,20 +46,49 @@ def pieces(length: int, longest: int) -> list[int]:
     return [longest] * whole + ([rest] if rest else [])
 
 
-def pack(sizes: list[int], p: PackParams) -> tuple[list[int], list[int], list[int]]:
-    """(bin, offset) of each piece and the final length of each bin, for pieces in descending order of size."""
+def look_ahead(sizes: list[int], p: PackParams) -> Callable[[int], int]:
+    """The length to open for the piece at a place of `sizes`, from the final cost per token after filling it with those behind it."""
+    neg = [-s for s in sizes]
+
+    def opening(at: int) -> int:
+        found = []
+        for n in p.lengths:
+            if n < sizes[at]:
+                continue
+            free, i = n - sizes[at], at + 1
+            while (i := bisect.bisect_left(neg, -free, i)) < len(neg):
+                end = bisect.bisect_right(neg, neg[i], i)  # pieces of one size at a time
+                free -= min(end - i, free // sizes[i]) * sizes[i]
+                i = end
+            final = next(m for m in p.lengths if m >= n - free)
+            found.append((p.cost(final) / (n - free), n))
+        return min(found)[1]
+
+    return opening
+
+
+def cheapest(sizes: list[int], p: PackParams) -> tuple[list[int], list[int], list[int]]:
+    """pack() by look_ahead() or by the shortest length that holds a piece, whichever costs less."""
+    return min(pack(sizes, p), pack(sizes, p, look_ahead(sizes, p)), key=lambda x: sum(map(p.cost, x[2])))
+
+
+def pack(sizes: list[int], p: PackParams, opening: Callable[[int], int] | None = None) -> tuple[list[int], list[int], list[int]]:
+    """(bin, offset) of each piece and the final length of each bin, for pieces in descending order of size.
+
+    opening: the length of the bin that the piece at a place opens.
+    """
     room: list[tuple[int, int]] = []  # (free, -bin) ascending: the best fit is the first with free >= size, the oldest bin of equals
     capacity: list[int] = []
     used: list[int] = []
     place, offset = [], []
-    for s in sizes:
+    for i, s in enumerate(sizes):
         at = bisect.bisect_left(room, (s, -len(capacity)))
         if at < len(room):
             free, b = room.pop(at)
             b = -b
         else:
             fits = [n for n in p.lengths if n >= s]
-            n = min(fits, key=lambda n: (p.cost(n) - p.discount * p.cost(n) * (n - s) / n, n))
+            n = opening(i) if opening else min(fits, key=lambda n: (p.cost(n) - p.discount * p.cost(n) * (n - s) / n, n))
             b, free = len(capacity), n
             capacity.append(n)
             used.append(0)
@@ -86,7 +117,7 @@ def packed(lengths: DataFrame, p: PackParams = PackParams()) -> DataFrame:
         def done() -> pa.RecordBatch:
             cut = [(-n, d is not None, d or 0, k) for d, size in held for k, n in enumerate(pieces(size, p.lengths[-1]))]
             cut.sort()
-            place, offset, final = pack([-n for n, *_ in cut], p)
+            place, offset, final = cheapest([-n for n, *_ in cut], p)
             out = [(d if known else None, k, -n, now, b, o, final[b]) for (n, known, d, k), b, o in zip(cut, place, offset)]
             out += [(d, 0, 0, now, None, None, None) for d, size in held if not size]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
