@@ -282,6 +282,20 @@ def _(spark, d):
     return component_count(connected_components(sa.edge_sample(fixtures.graph(spark, d, "supppart"), _SPARSE, SEED)))
 
 
+# The two above answer for the edge sample that their SQL names; these answer for every vertex and edge.
+_CC_WHOLE = _cc_ctes("e", "v", "f")
+
+
+@query("connected_components_whole", _with("supppart", *_CC_WHOLE, final="select id, l as component from f8"))
+def _(spark, d):
+    return connected_components(fixtures.graph(spark, d, "supppart"))
+
+
+@query("component_count_whole", _with("supppart", *_CC_WHOLE, final="select count(distinct l) as n_components from f8"))
+def _(spark, d):
+    return component_count(connected_components(fixtures.graph(spark, d, "supppart")))
+
+
 @query("cc_fraction_wrong", _with("supppart", *_CC, *_cc_ctes("e", "v", "f"), final="select round(1 - avg((a.l = b.l)::int), 6) as fraction_wrong from c8 a left join f8 b using (id)"))
 def _(spark, d):
     g = fixtures.graph(spark, d, "supppart")
