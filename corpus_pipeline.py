@@ -26,11 +26,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 80 %): that of least doc_id, once. Rows without an id stay."""
-    copies = near_duplicates(docs, NearDupParams()).where("not kept").select("doc_id")
-    docs = docs.select(*COLUMNS)
-    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near-duplicates (five words, 80 %): that of least doc_id, null last. Texts without words stay.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are allowed. Rows alike in both
+    are one; of their other columns the least are kept. Rows without id and words are all kept.
+    """
+    nulls = [F.col(c).isNull() for c in ("doc_id", "text")]
+    keyed = docs.select(F.xxhash64(*nulls, "doc_id", "text").alias("key"), *COLUMNS)
+    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = keyed.where(~nameless).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    one = cut_lineage(one)
+    found = near_duplicates(one.select(F.col("key").alias("doc_id"), "text"), NearDupParams()).where("n_shingles > 0")
+    groups = cut_lineage(found.select(F.col("doc_id").alias("key"), "component_id"))
+    linked = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = one.select("key", "doc_id").join(groups.join(linked, "component_id"), "key")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")).select("best.key")
+    copies = members.select("key").join(best, "key", "left_anti")
+    kept = one.join(copies, "key", "left_anti").select("doc_id", "text", "rest.*")
+    return kept.unionByName(keyed.where(nameless).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +54,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    told = leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:])
+    return told.where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,8 +169,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans array<struct<a, z>> of every row.
+def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans array<struct<a, z>> and the columns of `keep`, of every row.
 
     spans are the maximal hit runs of words. A null or empty text has no words, hits nothing and is not
     contaminated; n_items then is 0 and items_sha256 that of the empty string. Repeated rows stay repeated, items
@@ -198,9 +198,11 @@ def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(
                 spans.append([{"a": a, "z": z} for a, z in hits])
             bad = [h > 0 and p.share_denominator * h >= n for h, n in zip(n_hit, n_words)]
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, kind)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, kind), *batch.columns[2:]], [*names, *keep])
 
-    return id_and_bytes(docs).mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<a bigint, z bigint>>")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return id_and_bytes(docs, keep=keep).mapInArrow(run, f"doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<a bigint, z bigint>>{kinds}")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

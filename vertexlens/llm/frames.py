@@ -21,9 +21,9 @@ def bounded_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> Da
     return df
 
 
-def id_and_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the whole text as UTF-8 bytes, null as empty; all other columns are pruned."""
-    return bounded_batches(docs).select("doc_id", F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("body"))
+def id_and_bytes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the whole text as UTF-8 bytes, null as empty, and the columns of `keep`; all other columns are pruned."""
+    return bounded_batches(docs).select("doc_id", F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("body"), *keep)
 
 
 def crc_mod(column: str, m: int) -> Column:

@@ -200,9 +200,9 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     component_id is the smallest doc_id reachable over links; kept where it is the row's own doc_id. Null, empty
-    and blank texts have no shingles, link with nothing and are kept. Equal texts always link. Rows that repeat a
-    doc_id are taken as texts of one document (all of them linked); a null doc_id is kept unless a text with an id
-    has the same shingles. Other columns are ignored, whatever their names.
+    and blank texts have no shingles, link with nothing and are kept. Equal texts always link. Ids are to name one text
+    each: different texts of one id are not linked by it, and a text whose id is null meets only texts of the same
+    shingles. Callers with other ids give a key of their own. Other columns are ignored, whatever their names.
     """
     rows = cut_lineage(sketch(docs, p))
     full = rows.where("n_shingles > 0")
