@@ -432,6 +432,28 @@ query("swapped_coefficients", _with("events_simple", *_SWAP, *_local_ctes("eithe
     lambda s, d: (lambda g, c: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, _OUT, _IN).select("id", "degree", F.round("cc", 6).alias("cc")))(*_swap(s, d))
 )
 
+# The two above choose the ids their SQL names; these a share of all vertices. The least vertex outside enters, the least inside leaves.
+_SUBSET_SWAP = (
+    f"rn as (select id, row_number() over (order by {uniform_sql(SEED, 'id')}, id) as r, count(*) over () as c from v)",
+    f"ch as (select id from rn where r <= floor(c * {FRACTION}))",
+    "iv as (select id from ch where id <> (select min(id) from ch) union all select min(id) from v where id not in (select id from ch))",
+    _SWAP[1],
+)
+
+
+def _subset_swap(s: SparkSession, d: str) -> tuple[Graph, DataFrame, int, int]:
+    g = fixtures.graph(s, d, "events_simple")
+    chosen = sa.uniform_subset(g.vertices, FRACTION, SEED).select("id").persist()
+    return g, chosen, g.vertices.join(chosen, "id", "left_anti").agg(F.min("id")).first()[0], chosen.agg(F.min("id")).first()[0]
+
+
+query("swapped_degrees_subset", _with("events_simple", *_SUBSET_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree from lc"))(
+    lambda s, d: (lambda g, c, added, removed: wk.swapped_degrees(g, cl.set_degrees(g, "either", c), c, added, removed))(*_subset_swap(s, d))
+)
+query("swapped_coefficients_subset", _with("events_simple", *_SUBSET_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree, round(cc, 6)::double as cc from lc"))(
+    lambda s, d: (lambda g, c, added, removed: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, added, removed).select("id", "degree", F.round("cc", 6).alias("cc")))(*_subset_swap(s, d))
+)
+
 
 @query("edges_of_vertex", _with("events", final="select src, dst from e where src = 7"))
 def _(spark, d):
