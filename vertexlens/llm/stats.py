@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vertexlens.llm.frames import id_and_bytes
-from vertexlens.llm.textbytes import IS_SPACE, Block, RangeHash, blocks, byte_table, grouped, owner, per_text, runs
+from vertexlens.llm.textbytes import IS_SPACE, Block, SpanHash, blocks, byte_table, grouped, owner, per_text, runs
 
 #: Symbols that the rules count.
 SYMBOLS = byte_table(b"#*$%&|<>")
@@ -39,7 +39,7 @@ def measure(b: Block) -> dict[str, np.ndarray]:
     count = lambda at: np.bincount(at, minlength=n).astype(np.int64)
     space = IS_SPACE[b.buf]
     ws, we = runs(~space)
-    h = RangeHash(b.buf)
+    h = SpanHash(b.buf)
     doc, word = owner(b, ws), h(ws, we)
     m = {"n_bytes": b.end - b.start, "n_words": count(doc), "word_chars": per_text(b, ~space & ~_CONT[b.buf])}
     for name, t in (("n_symbols", SYMBOLS), ("n_upper", _UPPER), ("n_lower", _LOWERCASE), ("n_digits", _DIGIT), ("n_punct", _PUNCT), ("n_bang", _BANG), ("n_high", _HIGH)):

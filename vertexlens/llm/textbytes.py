@@ -13,30 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_MULT = 0x9E3779B97F4A7C15  # odd, = 5 mod 8: no short cycles in its powers
-_MASK = (1 << 64) - 1
-
-
-def _inverse(odd: int) -> int:
-    x = 1
-    for _ in range(7):
-        x = x * (2 - odd * x) & _MASK
-    return x
-
-
-_BYTE_VALUE = np.random.default_rng(20240131).integers(1, _MASK, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        for name, base in (("up", _MULT), ("down", _inverse(_MULT))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+#: Ranges that SpanHash hashes at a time: what it needs beside its results does not grow with a text's length.
+_RANGES = 1 << 16
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,22 +28,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class RangeHash:
-    """64-bit hash of any byte range of a buffer in constant time (random byte values, polynomial mod 2^64)."""
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of buf as a little-endian number, zeros beyond its end; a view that costs no memory per place."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
 
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        up, self._down = _powers(n)
-        self._sum = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUE[buf] * up[:n], out=self._sum[1:])
 
-    def rolling(self, k: int) -> np.ndarray:
-        """Unmixed hashes of all k-byte ranges."""
-        return (self._sum[k:] - self._sum[:-k]) * self._down[: len(self._sum) - k]
+class SpanHash:
+    """64-bit hashes of byte ranges: the sum of the range's 8-byte pieces, each mixed with its place in the range.
+
+    A sum of mixed values has no algebra that strings could cancel by, unlike a polynomial modulo 2^64. Other seeds
+    give independent hashes. The work is that of the ranges' bytes, so it suits ranges that overlap little.
+    """
+
+    def __init__(self, buf: np.ndarray, seed: int = 0):
+        self._at = words_at(buf)
+        self._seed = U64(seed * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        h = (self._sum[hi] - self._sum[lo]) * self._down[lo]
-        return mix(h + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+        out = np.empty(len(lo), U64)
+        for i in range(0, len(lo), _RANGES):
+            out[i : i + _RANGES] = self._some(lo[i : i + _RANGES], hi[i : i + _RANGES])
+        return out
+
+    def rolling(self, k: int) -> np.ndarray:
+        """Hashes of all k-byte ranges of the buffer, in turn; k is a multiple of 8. Not those that a call gives."""
+        n = max(0, len(self._at) - k)
+        w = self._at[: max(0, n + k - 8)] * U64(0x9FB21C651E98DF25)
+        w ^= w >> U64(32)
+        out = np.zeros(n, U64)
+        for i in range(0, k, 8):
+            out += w[i : i + n] * (self._seed + U64(i) * U64(0xBF58476D1CE4E5B8) | U64(1))
+        out ^= out >> U64(32)
+        out *= U64(0xD6E8FEB86659FD93)
+        return out
+
+    def _pieces(self, at: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        piece = self._at[at] & _MASKS[np.minimum(size, 8)]
+        return mix(mix(piece ^ self._seed) + (place.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
+
+    def _some(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        size = hi - lo
+        h = self._pieces(lo, size, np.zeros(1, np.int64))
+        long = np.flatnonzero(size > 8)
+        while len(long):  # so many longer ranges at a time that their pieces stay bounded, a longer one alone
+            ends = np.cumsum((size[long] - 1) // 8)
+            some = max(1, int(np.searchsorted(ends, 8 * _RANGES, side="right")))
+            part, more = long[:some], np.diff(ends[:some], prepend=0)
+            first = ends[:some] - more
+            place = np.arange(int(ends[some - 1])) - np.repeat(first, more) + 1
+            at = np.repeat(lo[part], more) + 8 * place
+            h[part] += np.add.reduceat(self._pieces(at, np.repeat(hi[part], more) - at, place), first)
+            long = long[some:]
+        return mix(h + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -120,9 +136,9 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def per_text(block: Block, flags: np.ndarray) -> np.ndarray:
     """Number of True bytes in each text."""
-    c = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=c[1:])
-    return c[block.end] - c[block.start]
+    if not len(block.start):
+        return np.zeros(0, np.int64)
+    return np.add.reduceat(flags.view(np.uint8), block.start, dtype=np.int64) - flags[block.end]
 
 
 def owner(block: Block, pos: np.ndarray) -> np.ndarray:
