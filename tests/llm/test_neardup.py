@@ -4,10 +4,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vertexlens.llm import neardup
+from vertexlens.llm.neardup import OP4_PARAMS as OP4
 from vertexlens.llm.neardup import NearDupParams, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-OP4 = NearDupParams(words=3, percent=85, chunks=8)
 
 
 def brute(rows, p):
@@ -45,7 +46,7 @@ def family(r, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize("p", [OP4, NearDupParams(), NearDupParams(words=3, percent=85, chunks=8, block=7)])
+@pytest.mark.parametrize("p", [OP4, NearDupParams(), NearDupParams(words=3, percent=85, chunks=12, far=31, block=7, block_bytes=6000)])
 def test_groups_equal_brute_force(docs_of, p):
     r = random.Random(11)
     texts = [None, "", "  ", "One two", "one  TWO", "one two three", "ONE TWO three", "solo"]
@@ -72,3 +73,40 @@ def test_a_very_long_text(docs_of):
     long = " ".join(f"w{r.randrange(9000)}" for _ in range(60_000))
     got = {x.doc_id: x.component_id for x in near_duplicates(docs_of([(1, long), (2, long + " tail"), (3, "w1 w2 w3")]), OP4).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_ids_may_be_null_or_name_several_texts(docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c + " end"), (None, b + " end"), (None, "x y z")]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(docs_of(rows), OP4).collect())
+    assert got == [(0, 0, True)] * 3 + [(0, 5, False), (3, 3, True), (5, 3, False), (5, 5, True)]
+
+
+def test_pairs_within_the_guaranteed_distance_share_a_key(spark):
+    r = random.Random(2)
+    p = NearDupParams(chunks=4, width=3, errors=1)
+    base = [r.randrange(1 << 16) for _ in range(p.symbols)]
+    rows = []
+    for k in range(200):  # as many wrong symbols as the pigeonhole allows, anywhere
+        sig = list(base)
+        for i in r.sample(range(p.symbols), p.chunks * (p.errors + 1) - 1):
+            sig[i] ^= 1 + r.randrange(1 << 15)
+        rows.append((k, bytearray(b"".join(x.to_bytes(2, "little") for x in sig))))
+    rows.append((-1, bytearray(b"".join(x.to_bytes(2, "little") for x in base))))
+    keys = {x.nid: set(x.k) for x in spark.createDataFrame(rows, "nid bigint, sig binary").select("nid", neardup.chunk_keys(p).alias("k")).collect()}
+    assert len(keys[-1]) == p.chunks * p.width and all(keys[k] & keys[-1] for k in range(200))
+
+
+def test_boilerplate_costs_no_comparison_of_all_with_all(docs_of, monkeypatch):
+    """Texts that share a third of their shingles do not come together, and copies among them are found."""
+    r = random.Random(3)
+    shared = [f"b{i}" for i in range(90)]
+    texts = [" ".join(shared + [f"u{k}_{i}" for i in range(90)]) for k in range(400)]
+    texts += [texts[k] + " end" for k in range(0, 400, 20)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    sets = []
+    monkeypatch.setattr(neardup, "shingle_sets", lambda df, p, own=neardup.shingle_sets: sets.append(df.count()) or own(df, p))
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs_of(rows), OP4).collect()}
+    assert got == {i: i if i < 400 else (i - 400) * 20 for i in range(len(texts))}
+    assert sets == [40]  # full sets are built for the copies alone
