@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexlens.llm.decontam import DecontamParams, leaks
-from vertexlens.llm.repeats import RepeatParams, remove_repeats, repeated_windows
+from vertexlens.llm.repeats import RepeatParams, corpus_order, remove_repeats, repeated_windows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -129,3 +129,50 @@ def test_long_text_is_cut_into_pieces(docs_of):
 
 def test_suffix_ranks():
     assert [f.tolist() for f in repeated_windows([b"abcdefghij", b"xxbcdefghi", b""], 8)] == [[False, True, False], [False, False, True], []]
+
+
+def test_corpus_order_is_the_order_of_suffixes():
+    r = random.Random(6)
+    word = lambda: bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(0, 400)))
+    base = [word() for _ in range(6)]
+    parts = [b"", *(b"".join(r.choice(base) for _ in range(3)) for _ in range(12)), b"a" * 900, b"ab" * 300, b"\x00" * 50, b""]
+    order, first = corpus_order(parts)
+    ends = [a + len(x) for a, x in zip(first, parts)]
+    text = b"".join(parts)
+    owner = [next(k for k, z in enumerate(ends) if i < z) for i in range(len(text))]
+    suffixes = [text[i : ends[owner[i]]] for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(text))) and suffixes == sorted(suffixes)
+
+
+@pytest.mark.parametrize("window", [8, 20, 200])
+def test_windows_of_strange_bytes(window):
+    r = random.Random(window)
+    tm = "a"
+    while len(tm) < 4096:
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    base = [bytes(r.choice(b"ab\x00\n") for _ in range(r.randrange(1, 300))) for _ in range(5)]
+    parts = [tm.encode()[:600], tm.encode()[1024:1700], *(b"".join(r.choice(base) for _ in range(4)) for _ in range(20)), b"z" * 300, b""]
+    seen = {}
+    for k, x in enumerate(parts):
+        for i in range(len(x) - window + 1):
+            seen.setdefault(x[i : i + window], []).append((k, i))
+    want = [[False] * max(0, len(x) - window + 1) for x in parts]
+    for at in seen.values():
+        for k, i in at:
+            want[k][i] = len(at) > 1
+    assert [f.tolist() for f in repeated_windows(parts, window)] == want
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n]
+
+
+def test_removal_from_texts_that_cancel_in_polynomials(docs_of):
+    t = thue_morse(8192)
+    flip = t.translate(str.maketrans("ab", "ba"))
+    texts = [t[:1024] + "1" * 50 + flip[:1024], flip[:2048] + "2" * 60 + t[:4096], t, "x" + flip]
+    got = {r.doc_id: r for r in remove_repeats(docs_of(list(enumerate(texts)))).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(4)] == brute_removal(texts, 200)

@@ -3,15 +3,16 @@
 Every window of `window` bytes has a trigger: the leftmost k-gram of least rolling hash in it. Consecutive windows
 with one trigger form a phrase, so phrases overlap by window - 1 bytes, none is a proper prefix of another at its
 trigger, every window lies in exactly one phrase of its text, and equal windows lie at the same place relative to
-equal triggers, wherever they occur. Repeats are then found on the dictionary, not on the text:
+equal triggers, wherever they occur. Repeats are then found on the dictionary of distinct phrases, not on the texts:
 
 1. a phrase whose trigger occurs once in the corpus holds no repeat;
 2. a phrase that occurs twice or more is repeated as a whole;
-3. phrases that share a trigger but differ go through a suffix array of the distinct phrases (ordered as far as
-   `window` bytes), in batches of whole trigger groups; equal ranks are repeated windows;
-4. triggers with more than `group` distinct phrases would crowd one task: their windows are counted by hash instead,
-   after cells of `cell` windows have been ruled out, if the bytes that their windows share occur once, or taken whole,
-   if all their bytes occur twice.
+3. phrases that share a trigger but differ are put into corpus order, in batches of whole trigger groups: the batch,
+   which is highly repetitive, is parsed again, prefix-free, at a finer grain; the suffix arrays of that dictionary and of
+   that parse combine into the order of all its windows, and windows are compared with their neighbours byte by byte;
+4. a trigger with more than `group` distinct phrases would not fit one task: its windows are dealt by content over all
+   tasks and counted, told by 128 bits, after cells of `cell` windows have been ruled out, if the bytes that their windows
+   share occur once, or taken whole, if all their bytes occur twice. The answer is the same.
 
 Occurrences (the parse) carry the dictionary's answers back to the texts.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexlens.llm.frames import bounded_batches, cut_lineage, table
-from vertexlens.llm.textbytes import U64, Block, RangeHash, blocks_of, grouped
+from vertexlens.llm.textbytes import U64, Block, SpanHash, blocks_of, grouped, words_at
 
 _POS_BITS = 20
 _POS = U64((1 << _POS_BITS) - 1)
@@ -39,14 +40,14 @@ _PIECE = 1 << 18
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """window: least repeat in bytes; gram: bytes of a trigger; group: distinct phrases per trigger that go to the suffix array;
+    """window: least repeat in bytes; gram: bytes of a trigger, a multiple of 8; group: distinct phrases per trigger that one task orders;
 
     cell: windows that are ruled out or taken together beyond that.
     """
 
     window: int = 200
     gram: int = 48
-    group: int = 64
+    group: int = 4096
     cell: int = 16
 
 
@@ -59,21 +60,21 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - r], x[r:]) if r else x
 
 
-def _trigger_places(h: RangeHash, n: int, p: RepeatParams) -> np.ndarray:
-    """Place of the trigger of the window at each start: the leftmost k-gram of least hash in it."""
-    gram = h.rolling(p.gram) * U64(0x9FB21C651E98DF25)
+def _trigger_places(gram: np.ndarray, p: RepeatParams) -> np.ndarray:
+    """Place of the trigger of the window at each start, from the hashes of all grams: the leftmost one of least hash in it."""
     at = np.arange(len(gram), dtype=U64)
     return (_sliding_min((gram & ~_POS) | at, p.window - p.gram + 1) & _POS).astype(np.int64)
 
 
 def phrases(b: Block, p: RepeatParams) -> tuple[np.ndarray, ...]:
     """(text of the block, first window start in the text, windows, trigger hash, phrase hash) of every phrase of the block."""
-    w, k = p.window, p.gram
+    w = p.window
     none = np.zeros(0, np.int64)
     if len(b.buf) < w or not (b.end - b.start >= w).any():
         return none, none, none, none.view(U64), none.view(U64)
-    h = RangeHash(b.buf)
-    pos = _trigger_places(h, len(b.buf), p)
+    h = SpanHash(b.buf)
+    gram = h.rolling(p.gram)
+    pos = _trigger_places(gram, p)
     mark = np.zeros(len(pos) + 1, np.int32)
     fits = b.end - b.start >= w
     np.add.at(mark, b.start[fits], 1)
@@ -83,7 +84,7 @@ def phrases(b: Block, p: RepeatParams) -> tuple[np.ndarray, ...]:
     new[1:-1] = (pos[1:] != pos[:-1]) | (valid[1:] != valid[:-1])
     s, e = np.flatnonzero(valid & new[:-1]), np.flatnonzero(valid & new[1:])
     doc = np.searchsorted(b.start, s, side="right") - 1
-    return doc, s - b.start[doc], e - s + 1, h(pos[s], pos[s] + k), h(s, e + w)
+    return doc, s - b.start[doc], e - s + 1, gram[pos[s]], h(s, e + w)
 
 
 def _merged(s: np.ndarray, n: np.ndarray) -> list[dict]:
@@ -97,7 +98,7 @@ def _merged(s: np.ndarray, n: np.ndarray) -> list[dict]:
 
 
 def parsed(texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, s, n, trigger, phrase, more) of the phrases of texts(key, body): one row per distinct phrase of a piece of a text.
+    """(key, s, n, trigger, phrase, more) of the phrases of texts(key, packed body): one row per distinct phrase of a piece of a text.
 
     more is null, or, for a phrase that the piece has twice or more, the window runs of all its occurrences: texts that
     repeat themselves with a short period would else give a row every few bytes.
@@ -108,7 +109,7 @@ def parsed(texts: DataFrame, p: RepeatParams) -> DataFrame:
         for batch in batches:
             keys = np.asarray(batch.column(0))
             row, offset, piece = [], [], []
-            for r, t in enumerate(batch.column(1).to_pylist()):
+            for r, t in enumerate(map(unpacked, batch.column(1).to_pylist())):
                 for o in range(0, max(1, len(t) - p.window + 1), _PIECE):
                     row.append(r)
                     offset.append(o)
@@ -131,35 +132,99 @@ def parsed(texts: DataFrame, p: RepeatParams) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, s int, n int, trigger bigint, phrase bigint, more array<struct<s:int,n:int>>")
 
 
-def repeated_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each part, which of its windows also occur elsewhere in the parts, by a suffix array ordered to `window` bytes.
+#: Triggers of the fine parse: grams of 8 bytes whose hash is a multiple of this.
+_FINE = 32
+_GRAM = 8
+
+
+def _ranked(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks, from 1, of rows of numbers in order of the columns."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), np.int64)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) + 1
+    return rank
+
+
+def _doubled(rank: np.ndarray, left: np.ndarray, reach: int) -> np.ndarray:
+    """Ranks of suffixes by prefix doubling from ranks of their first `reach` symbols; left: symbols to each one's end."""
+    n = len(rank)
+    while reach < int(left.max(initial=0)) and int(rank.max()) < n:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - reach)] = rank[reach:]
+        after[left <= reach] = 0
+        rank = _ranked(rank * (n + 1) + after)
+        reach *= 2
+    return rank
 
-    Prefix doubling: ranks by 8 bytes, then by twice as many until half of the window is exceeded, then by the whole.
+
+def corpus_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first): all places of the joined parts in the order of the suffixes of their parts, and each part's first place.
+
+    Prefix-free parsing: grams whose hash is a multiple of _FINE are triggers, a phrase goes from a trigger through the next,
+    and none is a prefix of another. The suffix array of the parse orders what follows a phrase, that of the dictionary orders
+    the ends of phrases; a place's order is that of its phrase's end, then that of the parse behind it.
     """
-    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    text = np.frombuffer(b"".join(parts) + bytes(2 * window + 8), np.uint8)
-    n = int(lens.sum())
-    m = n + window
-    value = np.zeros(m, U64)
-    for j in range(8):
-        value = (value << U64(8)) | text[j : m + j]
-    rank = np.unique(value, return_inverse=True)[1].astype(U64)
-    size = 8
-    while 2 * size <= window:
-        other = np.zeros(m, U64)
-        other[: m - size] = rank[size:]
-        rank = np.unique(rank * U64(m) + other, return_inverse=True)[1].astype(U64)
-        size *= 2
-    if size < window:
-        other = np.zeros(m, U64)
-        other[: m - (window - size)] = rank[window - size :]
-        rank = rank * U64(m) + other
-    end = np.cumsum(lens)
-    start = end - lens
-    count = np.maximum(lens - window + 1, 0)
-    at = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    _, inverse, times = np.unique(rank[at], return_inverse=True, return_counts=True)
-    return np.split(times[inverse] > 1, np.cumsum(count)[:-1])
+    text, size = b"".join(parts), np.array([len(x) for x in parts], np.int64)
+    ends = np.cumsum(size)
+    first = ends - size
+    if not text:
+        return np.zeros(0, np.int64), first
+    gram = SpanHash(np.frombuffer(text, np.uint8), 7).rolling(_GRAM)
+    trigger = np.flatnonzero(gram >> U64(40) & U64(_FINE - 1) == 0)
+    owner = np.searchsorted(ends, trigger, side="right")
+    trigger = trigger[(trigger + _GRAM <= ends[owner]) & (trigger > first[owner])]
+    begin = np.sort(np.concatenate([first[size > 0], trigger]))
+    part = np.searchsorted(ends, begin, side="right")
+    last = np.ones(len(begin), bool)  # phrases that end with their part, not with a trigger
+    last[:-1] = part[1:] != part[:-1]
+    stop = np.where(last, ends[part], np.append(begin[1:], 0) + _GRAM)
+    stop = np.minimum(stop, ends[part])
+    seen: dict[bytes, int] = {}
+    parse = np.array([seen.setdefault(text[a:z], len(seen)) for a, z in zip(begin.tolist(), stop.tolist())])
+    entries = list(seen)
+    by_text = np.array(sorted(range(len(entries)), key=entries.__getitem__))
+    rank = np.empty(len(entries), np.int64)
+    rank[by_text] = np.arange(1, len(entries) + 1)
+    # suffix array of the parse, part by part
+    phrases_left = ends_of_runs(part) - np.arange(len(part))
+    behind = np.append(_doubled(rank[parse], phrases_left, 1)[1:], 0)
+    behind[last] = 0
+    # suffix array of the dictionary, entry by entry
+    length = np.array([len(x) for x in entries])
+    start = np.cumsum(length) - length
+    flat = np.frombuffer(b"".join(entries), np.uint8)
+    left = np.repeat(start + length, length) - np.arange(len(flat))
+    head = words_at(flat)[:-1].byteswap()
+    head &= ~((U64(1) << (U64(64) - U64(8) * np.minimum(left, 8).astype(U64))) - U64(1))  # nothing beyond the entry
+    suffix = _doubled(_ranked(head, np.minimum(left, 8)), left, 8)
+    # both together
+    own = np.append(begin[1:], len(text)) - begin
+    at = np.arange(len(text)) - np.repeat(begin, own)
+    order = np.argsort(suffix[np.repeat(start[parse], own) + at] * (len(parse) + 1) + np.repeat(behind, own), kind="stable")
+    return order, first
+
+
+def ends_of_runs(x: np.ndarray) -> np.ndarray:
+    """For each place of x, where its run of equal values ends."""
+    edge = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1
+    return np.repeat(edge, np.diff(edge, prepend=0))
+
+
+def repeated_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
+    """For each part, which of its windows also occur elsewhere in the parts: neighbours in corpus order of equal bytes."""
+    place, first = corpus_order(parts)
+    size = np.array([len(x) for x in parts])
+    place = place[np.repeat(first + size, size)[place] - place >= window]
+    at = words_at(np.frombuffer(b"".join(parts), np.uint8))
+    alike = np.arange(max(0, len(place) - 1))  # neighbours not yet told apart, from their last bytes on
+    for k in [window - 8, *range(0, window - 8, 8)]:
+        alike = alike[at[place[alike] + k] == at[place[alike + 1] + k]]
+    flags = np.zeros(int(size.sum()), bool)
+    flags[place[alike]] = flags[place[alike + 1]] = True
+    return [flags[a : a + max(0, n - window + 1)] for a, n in zip(first.tolist(), size.tolist())]
 
 
 def _runs(flags: np.ndarray) -> zip:
@@ -169,13 +234,13 @@ def _runs(flags: np.ndarray) -> zip:
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
-    """texts(doc_id, key, body, rest) with zstandard bodies: they are shuffled, and the texts are most of what moves."""
+    """texts(doc_id, body, rest) with zstandard bodies: they are written and shuffled, and the texts are most of what moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for batch in batches:
             body = pa.array([pack(x) for x in batch.column("body").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), body, batch.column("rest")], ["doc_id", "key", "body", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), body, batch.column("rest")], ["doc_id", "body", "rest"])
 
     return texts.mapInArrow(run, texts.schema)
 
@@ -204,7 +269,7 @@ def phrase_bytes(texts: DataFrame, wanted: DataFrame, p: RepeatParams) -> DataFr
     return joined.mapInArrow(run, "trigger bigint, key bigint, s int, body binary")
 
 
-def by_suffix_array(parts: DataFrame, p: RepeatParams, batch_bytes: int = 1 << 18) -> DataFrame:
+def by_corpus_order(parts: DataFrame, p: RepeatParams, batch_bytes: int = 1 << 18) -> DataFrame:
     """(key, s, n) runs of repeated windows of phrases (trigger, key, s, body), trigger group by trigger group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +308,9 @@ def common_cells(parts: DataFrame, p: RepeatParams) -> DataFrame:
         for batch in batches:
             keys, start = np.asarray(batch.column("key")), np.asarray(batch.column("s"))
             for b in blocks_of(batch.column("body").to_pylist(), 1 << 18):
-                h = RangeHash(b.buf)
+                h = SpanHash(b.buf)
                 n = b.end - b.start - p.window + 1
-                a = _trigger_places(h, len(b.buf), p)[b.start] - b.start
+                a = _trigger_places(h.rolling(p.gram), p)[b.start] - b.start
                 lo, hi = (a - n + 1) // p.cell, a // p.cell
                 count = hi - lo + 1
                 doc = np.repeat(np.arange(len(n)), count)
@@ -261,27 +326,28 @@ def common_cells(parts: DataFrame, p: RepeatParams) -> DataFrame:
     return _repeated(parts.mapInArrow(run, "trigger bigint, phrase bigint, key bigint, s int, n int"), "trigger")
 
 
-def _repeated(rows: DataFrame, h: str) -> DataFrame:
-    """The rows whose h occurs twice or more; the join is on the complement, so that a hot value can be split."""
-    again = rows.groupBy(h).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.bitwise_not(h).alias("_h"))
-    return rows.withColumn("_h", F.bitwise_not(h)).join(again, "_h").select(*rows.columns)
+def _repeated(rows: DataFrame, *told: str) -> DataFrame:
+    """The rows whose values of `told` occur twice or more; the join is on complements, so that hot values can be split."""
+    names = [f"_{c}" for c in told]
+    again = rows.groupBy(*told).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*(F.bitwise_not(c).alias(n) for c, n in zip(told, names)))
+    return rows.withColumns({n: F.bitwise_not(c) for c, n in zip(told, names)}).join(again, names).select(*rows.columns)
 
 
-def by_window_hash(parts: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, s, n=1) of repeated windows, counted by hash with pre-aggregation: for triggers of any number of phrases."""
+def by_content(parts: DataFrame, p: RepeatParams) -> DataFrame:
+    """(key, s, n=1) of repeated windows, counted by 128 bits with pre-aggregation: for triggers of any number of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, first = np.asarray(batch.column("key")), np.asarray(batch.column("s"))
-            for b in blocks_of(batch.column("body").to_pylist(), 1 << 17):
-                h = RangeHash(b.buf)
+            for b in blocks_of(batch.column("body").to_pylist(), 1 << 16):
                 n = b.end - b.start - p.window + 1
                 doc = np.repeat(np.arange(len(n)), n)
                 i = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 at = b.start[doc] + i
-                yield pa.RecordBatch.from_arrays([pa.array(keys[b.first + doc]), pa.array((first[b.first + doc] + i).astype(np.int32)), pa.array(h(at, at + p.window).view(np.int64))], ["key", "s", "h"])
+                h = [SpanHash(b.buf, seed)(at, at + p.window).view(np.int64) for seed in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[b.first + doc]), pa.array((first[b.first + doc] + i).astype(np.int32)), *map(pa.array, h)], ["key", "s", "h", "g"])
 
-    return _repeated(parts.mapInArrow(run, "key bigint, s int, h bigint"), "h").select("key", "s", F.lit(1).alias("n"))
+    return _repeated(parts.mapInArrow(run, "key bigint, s int, h bigint, g bigint"), "h", "g").select("key", "s", F.lit(1).alias("n"))
 
 
 def _dictionary(seen: DataFrame, times: Column, spans: Column) -> tuple[DataFrame, DataFrame]:
@@ -293,13 +359,13 @@ def _dictionary(seen: DataFrame, times: Column, spans: Column) -> tuple[DataFram
     return dictionary, whole.select("key", F.inline(spans))
 
 
-def repeated_spans(plain: DataFrame, texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """(key, spans array<struct<s, n>>): runs of n repeated windows from byte s, for plain(key, body).
+def repeated_spans(texts: DataFrame, p: RepeatParams) -> DataFrame:
+    """(key, spans array<struct<s, n>>): runs of n repeated windows from byte s, for texts(key, packed body).
 
-    texts has the bodies once more, packed, with all the columns that the caller joins later: the plans then share
-    one shuffle of the texts. Joins are on complements of grouping keys, so that Spark can split a hot trigger.
+    texts has all the columns that the caller joins later: the plans then share one shuffle of the texts. Joins are on
+    complements of grouping keys, so that Spark can split a hot trigger.
     """
-    rows = parsed(plain, p)
+    rows = parsed(texts.select("key", "body"), p)
     times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("c")
     shared = rows.groupBy("trigger").agg(times).where("c > 1").select(F.bitwise_not("trigger").alias("t"))
     seen = rows.withColumn("t", F.bitwise_not("trigger")).join(shared, "t").select("key", "s", "n", "trigger", "phrase", "more")
@@ -307,11 +373,11 @@ def repeated_spans(plain: DataFrame, texts: DataFrame, p: RepeatParams) -> DataF
     entries = dictionary.select("one.key", "one.s", "one.n", F.expr("phrase ^ check").alias("trigger"))
     sizes = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.bitwise_not("trigger").alias("t"), "m")
     differing = cut_lineage(entries.withColumn("t", F.bitwise_not("trigger")).join(sizes, "t").select("key", "s", "n", "trigger", "m"))
-    few = by_suffix_array(phrase_bytes(texts, differing.where(f"m <= {p.group}").drop("m"), p), p)
+    few = by_corpus_order(phrase_bytes(texts, differing.where(f"m <= {p.group}").drop("m"), p), p)
     cells = cut_lineage(common_cells(phrase_bytes(texts, differing.where(f"m > {p.group}").drop("m"), p), p))
     cell_dictionary, whole_cells = _dictionary(cells, F.count(F.lit(1)).alias("c"), F.array(F.struct("s", "n")))
     left = cell_dictionary.select("one.key", "one.s", "one.n", F.col("phrase").alias("trigger"))
-    many = whole_cells.unionByName(by_window_hash(phrase_bytes(texts, left, p), p))
+    many = whole_cells.unionByName(by_content(phrase_bytes(texts, left, p), p))
     spans = whole.unionByName(few).unionByName(many)
     return spans.groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
@@ -330,13 +396,12 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), keep: tupl
 
     A null text is empty: nothing is removed and kept_text is null. A repeated row is another document, so its bytes
     (from `window` on) go. Where a removed run ends inside a character, kept_text drops the character's rest; the digest is
-    of the bytes. Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are allowed.
+    of the bytes. Rows are numbered as they are written, once, so null and repeated ids are allowed.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    key = F.xxhash64("doc_id", body).alias("key")
-    docs = bounded_batches(docs)
-    texts = packed_texts(docs.select("doc_id", key, body.alias("body"), F.struct(F.col("text").isNull().alias("_null"), *keep).alias("rest")))
-    spans = repeated_spans(docs.select(key, body.alias("body")), texts, p)
+    packed = packed_texts(bounded_batches(docs).select("doc_id", body.alias("body"), F.struct(F.col("text").isNull().alias("_null"), *keep).alias("rest")))
+    texts = cut_lineage(packed.withColumn("key", F.monotonically_increasing_id()))
+    spans = repeated_spans(texts, p)
     joined = texts.join(spans.hint("shuffle_hash"), "key", "left")
     names = ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
@@ -368,7 +433,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
-w as (select doc_id, p, hash(substr(h, 2 * p + 1, 400)) as x from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as p from d)),
+w as (select doc_id, p, substr(h, 2 * p + 1, 400) as x from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as p from d)),
 r as (select doc_id, p from w where x in (select x from w group by x having count(*) > 1)),
 g as (select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 200 then 0 else 1 end as new from r),
 i as (select doc_id, p, sum(new) over (partition by doc_id order by p) as run from g),
