@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexlens.llm.decontam import leaks
-from vertexlens.llm.frames import crc_mod, cut_lineage, table
+from vertexlens.llm.frames import broadcast_if_small, crc_mod, cut_lineage, table
 from vertexlens.llm.langid import classify, learn
-from vertexlens.llm.neardup import NearDupParams, near_duplicates
+from vertexlens.llm.neardup import NearDupParams, near_duplicate_groups, row_keys
 from vertexlens.llm.packing import packed, word_lengths
 from vertexlens.llm.repeats import remove_repeats
 
@@ -28,22 +28,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, 80 %): that of least doc_id, null last. Texts without words stay.
 
-    Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are allowed. Rows alike in both
-    are one; of their other columns the least are kept. Rows without id and words are all kept.
+    Null and repeated ids are allowed: rows are told apart by id and text. Rows alike in both are one; of their other
+    columns the least are kept. Rows without id and words are all kept.
     """
-    nulls = [F.col(c).isNull() for c in ("doc_id", "text")]
-    keyed = docs.select(F.xxhash64(*nulls, "doc_id", "text").alias("key"), *COLUMNS)
-    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = keyed.where(~nameless).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
-    one = cut_lineage(one)
-    found = near_duplicates(one.select(F.col("key").alias("doc_id"), "text"), NearDupParams()).where("n_shingles > 0")
-    groups = cut_lineage(found.select(F.col("doc_id").alias("key"), "component_id"))
-    linked = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = one.select("key", "doc_id").join(groups.join(linked, "component_id"), "key")
-    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")).select("best.key")
-    copies = members.select("key").join(best, "key", "left_anti")
-    kept = one.join(copies, "key", "left_anti").select("doc_id", "text", "rest.*")
-    return kept.unionByName(keyed.where(nameless).select(*COLUMNS))
+    found = cut_lineage(near_duplicate_groups(docs, NearDupParams()))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    best = found.where("nid is not null").groupBy("nid").agg(F.min(key).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("nid", "best")
+    grouped = found.join(best, "nid").select("k1", "k2", ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("stays"))
+    blank = found.where("nid is null and doc_id is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("stays"))
+    marked = cut_lineage(grouped.unionByName(blank).distinct())  # the rows of which there are others
+    rows = docs.select(*COLUMNS, *row_keys())
+    alone = rows.join(broadcast_if_small(marked.select("k1", "k2")), ["k1", "k2"], "left_anti")
+    one = rows.join(broadcast_if_small(marked.where("stays").select("k1", "k2")), ["k1", "k2"], "left_semi")
+    one = one.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return alone.select(*COLUMNS).unionByName(one.select("doc_id", "text", "rest.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
