@@ -1,6 +1,8 @@
 import random
 
-from vertexlens.llm.chat import preference_pairs
+from pyspark.sql import functions as F
+
+from vertexlens.llm.chat import echoed, preference_pairs
 from vertexlens.llm.packing import PackParams, pack, packed, pieces, word_lengths
 
 
@@ -93,3 +95,34 @@ def test_pairs(spark):
 
 def test_empty_pairs(spark):
     assert preference_pairs(spark.createDataFrame([], "pair_id bigint, side string, turn bigint, role string, text string, s string")).count() == 0
+
+
+def test_a_rejected_conversation_shares_all_but_its_answer(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "good"), (2, 0, "user", "alone"), (3, 0, "assistant", "first"), (4, 5, "user", "a"), (4, 5, "assistant", None)]
+    turns = spark.createDataFrame(rows, "pair_id bigint, turn bigint, role string, text string").repartition("pair_id")
+    got = {r.pair_id: r for r in preference_pairs(echoed(turns), dealt=True).collect()}
+    assert got[1].n_common == 3 and got[1].prompt == render([("user", "hi"), ("assistant", "yes"), ("user", "more")])
+    assert got[1].chosen == render([("assistant", "good")]) and got[1].rejected == render([("assistant", "more")])
+    assert got[2].n_common == 1 and got[2].chosen == got[2].rejected == ""
+    assert got[3].prompt == "" and got[3].chosen == render([("assistant", "first")]) and got[3].rejected == render([("assistant", "")])
+    assert got[4].n_common == 2 and got[4].prompt == render([("assistant", ""), ("user", "a")]) and got[4].rejected == got[4].chosen == ""
+
+
+def test_long_conversations_and_equal_turn_numbers(spark):
+    turns = [(7, side, i // 3, "user" if i % 2 else "assistant", f"t{i:05d}" + "x" * (50_000 if i == 9 else 0)) for side in ("chosen", "rejected") for i in range(3000)]
+    turns[-1] = (7, "rejected", 999, "user", "z")
+    df = spark.createDataFrame(turns, "pair_id bigint, side string, turn bigint, role string, text string").repartition(5)
+    (got,) = preference_pairs(df.withColumn("place", F.lit(1)).withColumn("same", F.lit(2))).collect()
+    ordered = sorted((t[2:] for t in turns[:3000]), key=lambda t: (t[0], t[1], t[2]))
+    assert got.n_common == 2999 and got.prompt == render([t[1:] for t in ordered[:-1]]) and got.rejected == render([("user", "z")])
+
+
+def test_a_hot_row_is_dealt_over_all_shards(spark):
+    rows = [(None, 100)] * 9000 + [(i, 50 + i % 90) for i in range(3000)]
+    p = PackParams(shard_rows=1000)
+    got = packed(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").withColumn("shard", F.lit("x")).withColumn("c", F.lit("y")), p).collect()
+    hot = {}
+    for r in got:
+        hot[r.shard] = hot.get(r.shard, 0) + (r.doc_id is None)
+    assert len(got) == 12000 and len(hot) == 12 and set(hot.values()) == {750}
+    assert packed(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0

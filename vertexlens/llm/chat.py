@@ -27,9 +27,11 @@ class ChatTemplate:
         return F.concat(F.lit(self.before), role, F.lit(self.between))
 
 
-def preference_pairs(turns: DataFrame, t: ChatTemplate = ChatTemplate()) -> DataFrame:
+def preference_pairs(turns: DataFrame, t: ChatTemplate = ChatTemplate(), dealt: bool = False) -> DataFrame:
     """One row per pair_id, from rows (pair_id, side, turn, role, text) with side `chosen` or `rejected`.
 
+    dealt: turns are partitioned by pair_id already.
+
     n_common: turns of the longest common prefix (equal role and text at equal place); prompt: its rendering; and for
     each side: the completion, and its mask as runs `masked:trained` of code points joined by commas (the head of a
     turn is masked, a trained turn's text and end mark are not).
@@ -40,7 +42,7 @@ def preference_pairs(turns: DataFrame, t: ChatTemplate = ChatTemplate()) -> Data
     """
     rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
     rows = rows.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("pair_id")  # serves every window and the aggregation below
+    rows = rows if dealt else rows.repartition("pair_id")  # serves every window and the aggregation below
     at = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(at))
     place = Window.partitionBy("pair_id", "place")
@@ -69,15 +71,31 @@ def preference_pairs(turns: DataFrame, t: ChatTemplate = ChatTemplate()) -> Data
     return grouped.select("pair_id", "n_common", text("_p").alias("prompt"), text("_c").alias("chosen"), mask("_c").alias("chosen_mask"), text("_r").alias("rejected"), mask("_r").alias("rejected_mask"))
 
 
+def echoed(turns: DataFrame) -> DataFrame:
+    """(pair_id, side, turn, role, text): each conversation of turns(pair_id, turn, role, text) as chosen, and once more as rejected.
+
+    In the rejected one the last assistant turn echoes the turn before it (empty if there is none). Without an assistant
+    turn both are equal. Turns are in order of turn, role and text.
+    """
+    at = Window.partitionBy("pair_id").orderBy("turn", "role", "text")
+    placed = turns.withColumn("place", F.row_number().over(at)).withColumn("before", F.coalesce(F.lag("text").over(at), F.lit("")))
+    last = F.max(F.when(F.col("role") == "assistant", F.col("place"))).over(Window.partitionBy("pair_id"))
+    both = placed.withColumn("last", last).withColumn("side", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))
+    text = F.when((F.col("side") == "rejected") & (F.col("place") == F.col("last")), F.col("before")).otherwise(F.col("text"))
+    return both.select("pair_id", "side", "turn", "role", text.alias("text"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    """A pair for each conversation: chosen as it is, rejected with a worse last assistant turn."""
     c = table(spark, sf_dir, "conversations")
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference_pairs(c.select(F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    pairs = echoed(c.select(F.col("conv_id").cast("bigint").alias("pair_id"), "turn", "role", "text").repartition("pair_id"))
+    return preference_pairs(pairs, dealt=True)
 
 
 OP5_SQL = r"""
-with t as (select conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+with o as (select conv_id, turn, role, text, row_number() over q as place, lag(text) over q as before from conversations where conv_id is not null window q as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
+e as (select *, max(place) filter (role = 'assistant') over (partition by conv_id) as last from o),
+t as (select conv_id as pair_id, side, turn, coalesce(role, '') as role, coalesce(case when side = 'rejected' and place = last then before else text end, '') as text from e, (values ('chosen'), ('rejected')) as s(side)),
 p as (select *, row_number() over (partition by pair_id, side order by turn, role, text) as place from t),
 s as (select pair_id, place, count(*) = 2 and min(role || chr(0) || text) = max(role || chr(0) || text) as same from p group by pair_id, place),
 n as (select pair_id, coalesce(min(case when not same then place end) - 1, max(place)) as common from s group by pair_id),

@@ -6,7 +6,7 @@ downsized to the shortest permitted length that holds its contents. Opening the
 tried beside it, and each shard keeps the cheaper packing of the two: where small pieces abound, that is the shortest.
 
 Documents are dealt to shards by hash, as many as the corpus needs, and each shard is packed alone: a shard's size is
-bounded, and only a few bins per shard are left part empty.
+bounded, and only a few bins per shard are left part empty. Equal rows are counted first and dealt evenly over all shards.
 """
 
 from __future__ import annotations
@@ -104,11 +104,16 @@ def packed(lengths: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     """doc_id, piece, n_tokens, shard, bin, bin_offset, bin_length: one row per piece, from rows (doc_id, n_tokens).
 
     Null, zero and negative lengths take no room: one row with n_tokens 0 and bin, bin_offset, bin_length null. Repeated
-    rows are packed once each; ties go by doc_id, then piece. The result does not depend on partitions.
+    rows are packed once each, as many in one shard as in another, so a row (or a null id) that makes up much of the table
+    is no task's burden; ties go by doc_id, then piece. An empty table gives no rows; other columns are ignored. The
+    result does not depend on partitions.
     """
     rows = lengths.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
     shards = max(1, -(-rows.count() // p.shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)))
+    equal = rows.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
+    equal = equal.withColumn("at", F.explode(F.sequence(F.lit(0), F.least("c", F.lit(shards)) - 1)))
+    share = F.expr(f"c div {shards}") + F.when(F.col("at") < F.col("c") % shards, 1).otherwise(0)
+    dealt = equal.select("doc_id", "n_tokens", share.alias("c"), F.pmod(F.xxhash64("doc_id", "n_tokens") % shards + F.col("at"), F.lit(shards)).alias("shard"))
     names = ["doc_id", "piece", "n_tokens", "shard", "bin", "bin_offset", "bin_length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +128,12 @@ def packed(lengths: DataFrame, p: PackParams = PackParams()) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
         for batch in batches:
-            for s, d, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens"))):
+            for s, d, n, c in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "c"))):
                 if s != now and held:
                     yield done()
                     held = []
                 now = s
-                held.append((d, n))
+                held += [(d, n)] * c
         if held:
             yield done()
 
