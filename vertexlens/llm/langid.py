@@ -28,21 +28,18 @@ _LEAST = 16
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """sample_docs x piece_chars bounds what is learned per language; max_langs the number of languages.
+    """sample_docs x piece_chars bounds what is learned per language, of which any number may be: a model is about 120 KB for each.
 
-    Languages beyond max_langs (by labelled documents, then name) or without a letter in their sample are not learned.
+    Languages without a letter in their sample are not learned.
     block: bytes compressed at a time, so that the dictionary weighs as much at a long text's end as at its start.
-    levels: compression levels whose sizes are summed; texts of at most `short` bytes take short_levels, as one byte counts there.
+    level: compression level, the same for every text.
     margin: least share of the winner's bytes by which the runner-up must be longer, else the text is rejected.
     """
 
     sample_docs: int = 200
     piece_chars: int = 600
-    max_langs: int = 200
     block: int = 2048
-    levels: tuple[int, ...] = (9,)
-    short: int = 600
-    short_levels: tuple[int, ...] = (9, 12, 19)
+    level: int = 12
     margin: float = 0.003
 
 
@@ -50,10 +47,11 @@ def learn(docs: DataFrame, learnable: Column, params: LangIdParams = LangIdParam
     """lang -> dictionary, from the rows where `learnable` holds and lang and text are not null.
 
     Which documents are sampled follows a hash of doc_id, so it does not depend on order or partitions; the hash
-    bound is set per language from its count, hence a bounded number of pieces reaches the driver.
+    bound is set per language from its count. An id counts once, with the least of its texts, hence a bounded number of
+    pieces reaches the driver, however often rows are repeated. Rows without an id are not learned from.
     """
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.max_langs).collect()
+    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row per language
     if not counts:
         return {}
     place = (F.xxhash64("doc_id", F.lit(7)) / F.lit(2.0**64)) + 0.5
@@ -63,7 +61,8 @@ def learn(docs: DataFrame, learnable: Column, params: LangIdParams = LangIdParam
         near = F.when(F.col("lang") == r["lang"], bound) if near is None else near.when(F.col("lang") == r["lang"], bound)
     last = F.greatest(F.lit(1), F.length("text") - params.piece_chars)
     piece = F.substring(F.col("text"), 1 + F.pmod(F.xxhash64("doc_id", F.lit(8)), last).cast("int"), F.lit(params.piece_chars))
-    sample = rows.where(place <= near).select("lang", place.alias("at"), "doc_id", piece.alias("piece")).collect()
+    sample = rows.where(place <= near).groupBy("lang", "doc_id").agg(F.min(F.struct(place.alias("at"), piece.alias("piece"))).alias("one"))
+    sample = sample.select("lang", "one.at", "doc_id", "one.piece").collect()
     pieces: dict[str, list[tuple]] = {}
     for r in sample:
         pieces.setdefault(r["lang"], []).append((r["at"], r["doc_id"], r["piece"]))
@@ -84,7 +83,8 @@ class Compressors:
 
     def __init__(self, dictionaries: dict[str, bytes], params: LangIdParams):
         self.langs, self.params = list(dictionaries), params
-        self.at_level = {n: [self._compressor(body, n) for body in dictionaries.values()] for n in {*params.levels, *params.short_levels}}
+        self.compress = [self._compressor(body, params.level) for body in dictionaries.values()]
+        self.frame = [len(c(b"")) for c in self.compress]
 
     @staticmethod
     def _compressor(body: bytes, level: int):
@@ -93,12 +93,10 @@ class Compressors:
         return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def sizes(self, text: str) -> list[int]:
+        """Bytes per language, framing aside, so that a text that begins another block is not longer for it."""
         data, step = prepared(text), self.params.block
-        # a short rest joins the block before it
-        cuts = [*range(0, max(1, len(data) - step // 2), step), len(data)]
-        parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        at = [self.at_level[n] for n in (self.params.short_levels if len(data) <= self.params.short else self.params.levels)]
-        return [sum(len(c[k](p)) for c in at for p in parts) for k in range(len(self.langs))]
+        parts = [data[a : a + step] for a in range(0, len(data), step)]
+        return [max(1, sum(len(c(p)) for p in parts) - frame * len(parts)) for c, frame in zip(self.compress, self.frame)]
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): `und`, 0, 0 without a letter or without languages; a tie goes to the language with more labelled rows.
@@ -117,11 +115,12 @@ class Compressors:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangIdParams = LangIdParams()) -> DataFrame:
     """All columns of docs and lang_pred, lang_score, lang_accepted, for every row and whole texts.
 
-    Null, empty and letterless texts get `und` and are rejected. Existing columns of those names are replaced.
+    Null, empty and letterless texts get `und` and are rejected. Existing columns of those names are replaced. Repeated rows
+    stay repeated; an empty table gives no rows. A text of any length is classified by all of it, in the same way.
     """
     out = ("lang_pred", "lang_score", "lang_accepted")
     docs = bounded_batches(docs).drop(*out)
-    model = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most max_langs x sample_docs x piece_chars
+    model = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages x sample_docs x piece_chars
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +138,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], params: LangIdPara
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out, nor is its row learned from."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 3) == 1
     dictionaries = learn(docs, ~held_out)
-    return classify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_accepted")
+    return classify(docs.select("doc_id", "text"), dictionaries).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_accepted")
