@@ -176,3 +176,15 @@ def test_removal_from_texts_that_cancel_in_polynomials(docs_of):
     texts = [t[:1024] + "1" * 50 + flip[:1024], flip[:2048] + "2" * 60 + t[:4096], t, "x" + flip]
     got = {r.doc_id: r for r in remove_repeats(docs_of(list(enumerate(texts)))).collect()}
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(4)] == brute_removal(texts, 200)
+
+
+@pytest.mark.parametrize("block", [30, 10**6])
+def test_long_items_are_cut_without_losing_a_window(docs_of, spark, block):
+    r = random.Random(12)
+    long = [f"w{r.randrange(500)}" for _ in range(400)]
+    items = [(1, " ".join(long)), (2, "short one"), (1, " ".join(long[::-1]))] + [(3, "again and again " * 10)] * 30
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("automaton", F.lit("x"))
+    texts = [" ".join(long[i : i + 13]) + " zz" * k for i, k in ((0, 3), (17, 0), (18, 400), (387, 2))]
+    texts += ["a short one there " * 20_000, " ".join(long[5:17]), " ".join(long)]
+    for x in leaks(docs_of(list(enumerate(texts))), bench, DecontamParams(block_words=block)).collect():
+        assert (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) == brute_leaks(texts[x.doc_id], items), x.doc_id

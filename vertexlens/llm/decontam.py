@@ -8,11 +8,13 @@ linear time. Passages of at least `window` words (or a whole shorter item) hit t
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,13 @@ from vertexlens.llm.frames import id_and_bytes, table
 class DecontamParams:
     """window: item words that count as a leak. A text is contaminated if hits >= 1 / share_denominator of its words.
 
-    block_words: item words per automaton. A larger benchmark is cut into more automata, each walked by every
-    text, so what travels to a task at once is bounded; more_than is the longest item that one block takes whole.
+    block_words: most item words per automaton. A larger benchmark is cut into more automata, each walked by every text;
+    the driver and a worker hold one at a time.
     """
 
     window: int = 13
     share_denominator: int = 20
-    block_words: int = 400_000
+    block_words: int = 200_000
 
 
 #: Words are runs of digits, letters and non-ASCII characters; A-Z are lower-cased.
@@ -141,21 +143,49 @@ class SuffixAutomaton:
         return found, items
 
 
-def automata(items: DataFrame, p: DecontamParams) -> list[SuffixAutomaton]:
-    """The benchmark's automata, block by block. Items without words (null, empty) have no window and are left out."""
+def automata(items: DataFrame, p: DecontamParams) -> DataFrame:
+    """(automaton binary): the benchmark's pickled automata, built in tasks. Items without words (null, empty) are left out.
+
+    Each holds at most block_words words: an item that has more is cut into parts that overlap by window - 1 words, so
+    every window lies whole in one of them.
+    """
     rows = items.select(F.col("item_id").cast("string").alias("k"), F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
-    blocks: list[list[tuple[str, list[bytes]]]] = []
-    room = 0
-    for r in rows.orderBy("k", "body").toLocalIterator():  # the query set, in order; the corpus never comes to the driver
-        ws = words(bytes(r["body"]))
-        if not ws:
-            continue
-        if not blocks or room < len(ws):
-            blocks.append([])
-            room = p.block_words
-        blocks[-1].append((r["k"], ws))
-        room -= len(ws)
-    return [SuffixAutomaton(b, p.window) for b in blocks]
+    size = rows.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
+    most = max(p.block_words, 2 * p.window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[bytes]]] = []
+        room = most
+
+        def built() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(SuffixAutomaton(held, p.window), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["automaton"])
+
+        for batch in batches:
+            for k, body in zip(batch.column("k").to_pylist(), batch.column("body").to_pylist()):
+                ws = words(body)
+                for i in range(0, max(1, len(ws) - p.window + 1), most - p.window + 1):
+                    part = ws[i : i + most]
+                    if len(part) > room:
+                        yield built()
+                        held, room = [], most
+                    if part:
+                        held.append((k, part))
+                        room -= len(part)
+        if held:
+            yield built()
+
+    # a word and the space behind it have two bytes at least, so the parts are about a block each
+    return rows.repartition(max(1, -(-size // (6 * most)))).mapInArrow(run, "automaton binary")
+
+
+def walkers(sent: list[Broadcast], cached: dict[int, SuffixAutomaton]) -> Iterator[SuffixAutomaton]:
+    """The automata in turn. A single one is kept from batch to batch; of several one is in memory at a time."""
+    for i, b in enumerate(sent):
+        w = cached.get(i) or pickle.loads(b.value)
+        b.__dict__.pop("_value", None)  # the worker's copy of the bytes; they stay in the executor's files
+        if len(sent) == 1:
+            cached[i] = w
+        yield w
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -174,28 +204,29 @@ def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(
 
     spans are the maximal hit runs of words. A null or empty text has no words, hits nothing and is not
     contaminated; n_items then is 0 and items_sha256 that of the empty string. Repeated rows stay repeated, items
-    of one id count once, other columns are ignored. An empty benchmark hits nothing.
+    of one id count once, other columns are ignored. An empty benchmark hits nothing, an empty table gives no rows.
     """
-    sent = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, p)]  # each within block_words
+    sc = docs.sparkSession.sparkContext
+    sent = [sc.broadcast(bytes(r["automaton"])) for r in automata(items, p).toLocalIterator()]  # one block at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walkers = [b.value for b in sent]
+        cached: dict[int, SuffixAutomaton] = {}
         for batch in batches:
-            n_words, n_hit, n_items, digest, spans = [], [], [], [], []
-            for body in batch.column(1).to_pylist():
-                ws = words(body)
-                hits: list[tuple[int, int]] = []
-                found: set[str] = set()
-                for w in walkers:
+            bodies = batch.column(1).to_pylist()
+            hits: list[list[tuple[int, int]]] = [[] for _ in bodies]
+            found: list[set[str]] = [set() for _ in bodies]
+            n_words = [0 if sent else len(words(body)) for body in bodies]
+            for w in walkers(sent, cached):
+                for i, body in enumerate(bodies):
+                    ws = words(body)
+                    n_words[i] = len(ws)
                     more, items_of = w.spans(ws)
-                    hits += more
-                    found.update(w.items[k] for k in items_of)
-                hits = merged(hits)
-                n_words.append(len(ws))
-                n_hit.append(sum(z - a for a, z in hits))
-                n_items.append(len(found))
-                digest.append(hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
-                spans.append([{"a": a, "z": z} for a, z in hits])
+                    hits[i] = merged(hits[i] + more)
+                    found[i].update(w.items[k] for k in items_of)
+            n_hit = [sum(z - a for a, z in h) for h in hits]
+            n_items = [len(f) for f in found]
+            digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
+            spans = [[{"a": a, "z": z} for a, z in h] for h in hits]
             bad = [h > 0 and p.share_denominator * h >= n for h, n in zip(n_hit, n_words)]
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, kind), *batch.columns[2:]], [*names, *keep])
