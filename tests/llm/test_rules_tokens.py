@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from vertexlens.llm.neardup import NearDupParams, near_duplicates
 from vertexlens.llm.rules import BASE, POLICIES, RULES, ablations, apply_policy, bits, ledger
 from vertexlens.llm.tokens import load_spec, text_counter, token_counts
 
@@ -42,6 +43,19 @@ def test_measures_against_brute_force(docs_of):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t), repr(t)[:80]
 
 
+@pytest.mark.parametrize("n", [512, 1024, 8192])
+def test_lines_and_words_that_cancel_in_polynomials(docs_of, n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    flip = t.translate(str.maketrans("ab", "ba"))
+    texts = [t + "\n" + flip, f"{t} {flip} {t}\n{flip} {t} {flip}\n{t} {flip} {t}"]
+    for r in ledger(docs_of(list(enumerate(texts)))).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id])
+    groups = near_duplicates(docs_of([(1, f"{t} x y z"), (2, f"{flip} x y z"), (3, f"{t} x y z")]), NearDupParams()).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {1: 1, 2: 2, 3: 1}
+
+
 def test_policies_and_ablations(docs_of):
     good = " ".join(f"word{i} thing" for i in range(60))
     rows = ledger(docs_of([(1, good), (2, "short"), (3, good + " ###" * 80), (4, "la la la " * 60), (5, None)]))

@@ -108,14 +108,17 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-raw))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, size: int) -> DataFrame:
-    """doc_id, text, label of at most `size` learnable rows with a label, chosen by hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, label and the columns of `keep` of at most `size` learnable documents with a label, chosen by hash of doc_id.
 
-    If a document has several labels the largest counts. The sample is bounded, hence the broadcast.
+    If a document has several labels the largest counts; if several rows have its id, the one of least text. The sample is
+    bounded, hence the broadcast. Null ids have no label.
     """
     chosen = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_label").cast("double").alias("label"))
+    rows = docs.select("doc_id", F.struct("text", *keep).alias("_row")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "_label").agg(F.min("_row").alias("_row"))
+    return one.select("doc_id", "_row.text", F.col("_label").cast("double").alias("label"), *(F.col(f"_row.`{c}`") for c in keep))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, p: BoostParams = BoostParams()) -> BoostedTrees:
@@ -129,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, p:
 
 
 def scored(docs: DataFrame, model: BoostedTrees) -> DataFrame:
-    """doc_id, score of every row's whole text; null and empty texts are scored as texts without words. Other columns are ignored."""
+    """doc_id, score of every row's whole text; null and empty texts are scored as texts without words.
+
+    Repeated rows stay repeated and score alike; an empty table gives no rows. Other columns are ignored, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # trees x nodes, independent of the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,8 @@ def scored(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out, and has no label to learn from."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 5) == 0
     model = train(docs, labels, "quality", ~held_out)
-    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -58,7 +58,7 @@ class SpanHash:
         w ^= w >> U64(32)
         out = np.zeros(n, U64)
         for i in range(0, k, 8):
-            out += w[i : i + n] * (self._seed + U64(i) * U64(0xBF58476D1CE4E5B8) | U64(1))
+            out += w[i : i + n] * U64((int(self._seed) + i * 0xBF58476D1CE4E5B8 | 1) & (1 << 64) - 1)
         out ^= out >> U64(32)
         out *= U64(0xD6E8FEB86659FD93)
         return out

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from vertexlens.llm.frames import bounded_batches, table
 
-#: Pre-tokens whose counts a worker remembers; the memory is dropped and begun anew beyond it.
+#: Pre-tokens whose counts a worker remembers; the memory is dropped and begun anew beyond it. Longer ones are not remembered.
 MEMO = 400_000
+MEMO_CHARS = 64
 
 
 def byte_symbols() -> list[str]:
@@ -42,9 +43,11 @@ class MergeCounter(dict):
         self.rank = {(number(a), number(b)): (i, number(a + b)) for i, (a, b) in enumerate(merges)}
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[word] = self.merged(word.encode())
+        n = self.merged(word.encode())
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
         return n
 
     def merged(self, data: bytes) -> int:
