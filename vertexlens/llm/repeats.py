@@ -137,25 +137,33 @@ _FINE = 32
 _GRAM = 8
 
 
-def _ranked(*columns: np.ndarray) -> np.ndarray:
-    """Dense ranks, from 1, of rows of numbers in order of the columns."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), np.int64)
-    for c in columns:
-        new[1:] |= c[order[1:]] != c[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) + 1
-    return rank
-
+def _refined(rank: np.ndarray, tied: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Orders the places `tied`, whose ranks others share, by `after` as well; which of them still share theirs.
 
-def _doubled(rank: np.ndarray, left: np.ndarray, reach: int) -> np.ndarray:
-    """Ranks of suffixes by prefix doubling from ranks of their first `reach` symbols; left: symbols to each one's end."""
-    n = len(rank)
-    while reach < int(left.max(initial=0)) and int(rank.max()) < n:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - reach)] = rank[reach:]
-        after[left <= reach] = 0
-        rank = _ranked(rank * (n + 1) + after)
+    A rank is the number of places before its first one, so no other place's rank changes.
+    """
+    key = rank[tied] * (int(after.max(initial=0)) + 1) + after
+    order = np.argsort(key)
+    key, own, at = key[order], rank[tied][order], np.arange(len(order))
+    new, other = np.ones(len(order) + 1, bool), np.ones(len(order), bool)
+    new[1:-1], other[1:] = key[1:] != key[:-1], own[1:] != own[:-1]
+    first = lambda flag: np.maximum.accumulate(np.where(flag, at, 0))
+    rank[tied[order]] = own + first(new[:-1]) - first(other)
+    return tied[order[~(new[:-1] & new[1:])]]
+
+
+def _doubled(first: np.ndarray, left: np.ndarray, reach: int) -> np.ndarray:
+    """Ranks, from 0, of suffixes by prefix doubling from the values of their first `reach` symbols; left: symbols to each one's end."""
+    n = len(first)
+    order = np.argsort(first)
+    new = np.append(True, first[order[1:]] != first[order[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = order[~(new & np.append(new[1:], True))]
+    tied = _refined(rank, tied, np.minimum(left[tied], reach))
+    while (left[tied] > reach).any():
+        tied = tied[left[tied] >= reach]  # shorter ones that are tied are equal; those that end here come before those that go on
+        tied = _refined(rank, tied, np.where(left[tied] > reach, rank[np.minimum(tied + reach, n - 1)] + 1, 0))
         reach *= 2
     return rank
 
@@ -190,7 +198,7 @@ def corpus_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rank[by_text] = np.arange(1, len(entries) + 1)
     # suffix array of the parse, part by part
     phrases_left = ends_of_runs(part) - np.arange(len(part))
-    behind = np.append(_doubled(rank[parse], phrases_left, 1)[1:], 0)
+    behind = np.append(_doubled(rank[parse], phrases_left, 1)[1:] + 1, 0)
     behind[last] = 0
     # suffix array of the dictionary, entry by entry
     length = np.array([len(x) for x in entries])
@@ -199,7 +207,7 @@ def corpus_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(start + length, length) - np.arange(len(flat))
     head = words_at(flat)[:-1].byteswap()
     head &= ~((U64(1) << (U64(64) - U64(8) * np.minimum(left, 8).astype(U64))) - U64(1))  # nothing beyond the entry
-    suffix = _doubled(_ranked(head, np.minimum(left, 8)), left, 8)
+    suffix = _doubled(head, left, 8)
     # both together
     own = np.append(begin[1:], len(text)) - begin
     at = np.arange(len(text)) - np.repeat(begin, own)
