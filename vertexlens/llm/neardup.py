@@ -308,12 +308,12 @@ def open_links(ids: list[int], side: list[int], tied: list[bool], sigs: list[byt
 def confirmed_links(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b): links on full sets that connect what is connected among sets(nid, cl, sig, set)."""
     first = cut_lineage(least_links(sets, p))
-    room = F.ceil(F.greatest(F.count(F.lit(1)) / p.block, F.sum(F.octet_length("set")) / p.block_bytes)).cast("int")
-    left = first.where("not ok").select("nid", F.lit(True).alias("open"))
-    marked = sets.join(first.where("not ok").select("cl").distinct(), "cl", "left_semi").join(left, "nid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    all_parts = marked.groupBy("cl").agg(room.alias("parts"))
-    open_parts = marked.where("open").groupBy("cl").agg(room.alias("open_parts"))
-    rows = marked.join(all_parts, "cl").join(open_parts, "cl").withColumn("h", F.xxhash64("nid", F.lit(5)))
+    room = lambda some: F.ceil(F.greatest(F.count_if(some) / p.block, F.sum(F.when(some, F.octet_length("set")).otherwise(0)) / p.block_bytes)).cast("int")
+    marked = sets.join(first.where("not ok").select("nid", F.lit(True).alias("open")), "nid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    # a row for each component with an open class; the join is on the complement, so that a large component can be split
+    parts = marked.groupBy("cl").agg(room(F.lit(True)).alias("parts"), room(F.col("open")).alias("open_parts")).where("open_parts > 0")
+    parts = cut_lineage(parts.select(F.bitwise_not("cl").alias("c"), "parts", "open_parts"))
+    rows = marked.withColumn("c", F.bitwise_not("cl")).join(broadcast_if_small(parts), "c").withColumn("h", F.xxhash64("nid", F.lit(5)))
     tied = ~F.col("open")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod("h", F.col(n)).cast("int")
