@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ class BloomFilter:
     def build(ids: DataFrame, m: int, k: int, seed: int = 42) -> BloomFilter:
         return BloomFilter(BloomFilter.positions(ids, m, k, seed).select("pos").distinct(), m, k, seed)
 
+    @staticmethod
+    def sized(ids: DataFrame, rate: float, seed: int = 42) -> BloomFilter:
+        """A filter whose bits and hashes give about `rate` false positives for the distinct ids."""
+        n = max(1, ids.select("id").distinct().count())
+        return BloomFilter.build(ids, math.ceil(-n * math.log(rate) / math.log(2) ** 2), max(1, round(-math.log2(rate))), seed)
+
     def add(self, ids: DataFrame) -> BloomFilter:
         return self.merge(BloomFilter.build(ids, self.m, self.k, self.seed))
 

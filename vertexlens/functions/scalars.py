@@ -19,8 +19,17 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
 
 
+def date_text(at: Column, pattern: str = "yyyy-MM-dd_HH-mm-ss") -> Column:
+    return F.date_format(at, pattern)
+
+
 def current_date_text(pattern: str = "yyyy-MM-dd_HH-mm-ss") -> Column:
-    return F.date_format(F.current_timestamp(), pattern)
+    return date_text(F.current_timestamp(), pattern)
+
+
+def long_key(x: Column) -> Column:
+    """A bigint as 8 bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(x.cast("bigint")), 16, "0"))
 
 
 def max_pair(pairs: Column, field: str = "attr") -> Column:

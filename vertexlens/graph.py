@@ -48,9 +48,12 @@ class Graph:
 
     def induced(self, chosen: DataFrame) -> Graph:
         """chosen(id, attr) with the edges between its vertices, cached; multiplicity stays, edge attributes become 1."""
+        return Graph(chosen, self.inside(chosen).select("src", "dst", F.lit(1).alias("attr")).persist())
+
+    def inside(self, chosen: DataFrame) -> DataFrame:
+        """The edges between vertices of chosen(id)."""
         keep = chosen.select("id")
-        edges = self.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return Graph(chosen, edges.select("src", "dst", F.lit(1).alias("attr")).persist())
+        return self.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def ends(edges: DataFrame, direction: Direction) -> DataFrame:
@@ -102,8 +105,8 @@ def aggregate_messages(g: Graph, merge: Callable[[Column], Column], to_src: Colu
     return rows.groupBy("id").agg(merge(F.col("m")).alias("message"))
 
 
-def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 1) -> DataFrame:
-    """Synchronous rounds over state(id, label, ...) and edges(src, dst, ...).
+def pregel(state: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], send: Column, merge: Callable[[Column], Column], program: Column, rounds: int, cut_every: int = 1) -> DataFrame:
+    """Synchronous rounds over state(id, label, ...) and edges(src, dst, ...), or a function that joins a state to its edges.
 
     Each round every edge whose `send` (over the source's state and the edge) is not null sends it to dst; a vertex
     with messages gets label = `program`, over its state and `message`; a vertex without keeps its label.
@@ -114,7 +117,8 @@ def pregel(state: DataFrame, edges: DataFrame, send: Column, merge: Callable[[Co
     kinds = dict(state.dtypes)
     for i in range(rounds):
         own = state.select("id", *kept, F.lit(None).cast("bigint").alias("m"))
-        mail = state.join(edges, state["id"] == edges["src"]).select(F.col("dst").alias("id"), *(F.lit(None).cast(kinds[c]).alias(c) for c in kept), send.cast("bigint").alias("m"))
+        met = edges(state) if callable(edges) else state.join(edges, state["id"] == edges["src"])
+        mail = met.select(F.col("dst").alias("id"), *(F.lit(None).cast(kinds[c]).alias(c) for c in kept), send.cast("bigint").alias("m"))
         met = own.unionByName(mail.where("m is not null")).groupBy("id").agg(*(F.max(c).alias(c) for c in kept), merge(F.col("m")).alias("message"))
         state = met.select("id", *(F.when(F.col("message").isNull(), F.col("label")).otherwise(program).alias("label") if c == "label" else F.col(c) for c in kept))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:

@@ -14,6 +14,12 @@ def _with_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the driver and all executors see, for files that a job writes and reads back."""
+    _with_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it back, so lost executors cost no recomputation.
 

@@ -17,17 +17,26 @@ def occurrences(edges: DataFrame) -> DataFrame:
     return counts.select("src", "dst", "attr", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("occ"))
 
 
-def rank_within(rows: DataFrame, key: str, slice_of: Column, *order: str, hub_rows: int = HUB_ROWS) -> DataFrame:
+def rank_within(rows: DataFrame, key: str, slice_of: Column | None, *order: str, hub_rows: int | None = None) -> DataFrame:
     """rows with rank (from 1) and n, the rows of the key. slice_of is in [0, 1) and agrees with the order where it decides.
 
-    Keys of up to hub_rows rows are ranked by a window in order of `order`. A larger key is ranked by (slice, order)
-    in slices of about that size, whose first ranks are the cumulated slice counts.
+    Keys of up to hub_rows (HUB_ROWS) rows are ranked by a window in order of `order`. A larger key is ranked in slices of
+    about that size, whose first ranks are the cumulated slice counts. Without slice_of they are cut at approximate
+    quantiles of the first column of the order, so the ranks are the same whatever the size.
     """
+    hub_rows = hub_rows or HUB_ROWS
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     joined = rows.join(counts, key)
-    if counts.where(F.col("n") > hub_rows).isEmpty():
+    hubs = counts.where(F.col("n") > hub_rows)
+    most = hubs.agg(F.max("n")).first()[0]
+    if most is None:
         return joined.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint"))
-    cut = joined.withColumn("_slice", F.floor(slice_of * F.ceil(F.col("n") / hub_rows)).cast("bigint"))
+    if slice_of is None:
+        pieces = min(1000, -(-most // hub_rows))
+        cuts = rows.join(hubs.select(key), key, "left_semi").groupBy(key).agg(F.percentile_approx(order[0], [i / pieces for i in range(1, pieces)] or [0.5]).alias("_cuts"))
+        cut = joined.join(cuts, key, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order[0]))), F.lit(0)).cast("bigint")).drop("_cuts")
+    else:
+        cut = joined.withColumn("_slice", F.floor(slice_of * F.ceil(F.col("n") / hub_rows)).cast("bigint"))
     sizes = cut.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(key, "_slice", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))

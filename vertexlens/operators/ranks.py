@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,41 @@ from vertexlens.graph import Graph, degrees, ends, pregel
 from vertexlens.lineage import cut_lineage
 
 
-def by_source(links: DataFrame, column: str = "src") -> DataFrame:
-    """links cached, dealt by source in as many partitions as an aggregation by vertex has, so joining to one moves no link."""
-    return links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), column).persist()
+#: Links of one source that one partition may hold; more are dealt over several.
+HUB_LINKS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Links:
+    """rows(src, dst, ..., salt) cached, dealt by source and salt; hubs(hub, salts) of the sources dealt over several salts."""
+
+    rows: DataFrame
+    hubs: DataFrame | None
+
+    def meet(self, state: DataFrame, key: str = "id") -> DataFrame:
+        """state joined to the links of its `key`: a hub's row goes to each of its salts, everything else to one place."""
+        if self.hubs is None:
+            return state.join(self.rows, state[key] == self.rows["src"])
+        spread = state.join(F.broadcast(self.hubs), state[key] == self.hubs["hub"], "left")  # at most a row per HUB_LINKS links
+        spread = spread.withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        return spread.join(self.rows, (spread[key] == self.rows["src"]) & (spread["at"] == self.rows["salt"]))
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
+
+
+def by_source(links: DataFrame, most: int | None = None) -> Links:
+    """links(src, dst, ...) in as many partitions as an aggregation by vertex has, so joining to one moves no link.
+
+    A source with more than `most` (HUB_LINKS) links is salted by target, so no partition holds all of them.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most or HUB_LINKS))
+    hubs = cut_lineage(counts.select(F.col("src").alias("hub"), F.ceil(F.col("n") / (most or HUB_LINKS)).cast("int").alias("salts")))
+    if hubs.isEmpty():
+        return Links(links.repartition(parts, "src").persist(), None)
+    salted = links.join(F.broadcast(hubs), links["src"] == hubs["hub"], "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return Links(salted.drop("hub", "salts").repartition(parts, "src", "salt").persist(), hubs)
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -21,9 +55,9 @@ def weighted(edges: DataFrame) -> DataFrame:
     return pairs.join(total, "src").select("src", "dst", (F.col("c") / F.col("degree")).alias("w"))
 
 
-def _surfer(ranks: DataFrame, base: DataFrame, links: DataFrame, keep: float) -> DataFrame:
+def _surfer(ranks: DataFrame, base: DataFrame, links: Links, keep: float) -> DataFrame:
     """base(id, rank) plus keep * what flows over links: one join and one aggregation."""
-    flow = ranks.join(links, ranks["id"] == links["src"]).select(F.col("dst").alias("id"), (F.col("rank") * F.col("w") * keep).alias("rank"))
+    flow = links.meet(ranks).select(F.col("dst").alias("id"), (F.col("rank") * F.col("w") * keep).alias("rank"))
     return base.unionByName(flow).groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
@@ -58,12 +92,15 @@ def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init
 
 
 def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: int = 2) -> DataFrame:
-    """(source, target, score) of every source: the walk stops with probability alpha a step. Pairs reached only."""
-    links = by_source(weighted(g.edges).select(F.col("src").alias("at"), "dst", "w"), "at")
+    """(source, target, score) of every source: the walk stops with probability alpha a step. Pairs reached only.
+
+    By definition that is up to |V|^2 rows; ppr_monte_carlo is bounded by its walks.
+    """
+    links = by_source(weighted(g.edges))
     base = g.vertices.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(float(alpha)).alias("score"))
     now = base
     for i in range(iterations):
-        flow = now.join(links, now["target"] == links["at"]).select("source", F.col("dst").alias("target"), (F.col("score") * F.col("w") * (1 - alpha)).alias("score"))
+        flow = links.meet(now, "target").select("source", F.col("dst").alias("target"), (F.col("score") * F.col("w") * (1 - alpha)).alias("score"))
         now = base.unionByName(flow).groupBy("source", "target").agg(F.sum("score").alias("score"))
         if (i + 1) % cut_every == 0 and i + 1 < iterations:
             now = cut_lineage(now)
@@ -76,7 +113,7 @@ def _label_rounds(g: Graph, k: int, at_least: bool, rounds: int) -> DataFrame:
     state = out.select("id", holds(F.col("out_degree")).cast("int").alias("label"), "out_degree")
     links = by_source(g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")))
     send = F.when(F.col("label") == 1, F.col("c"))
-    return pregel(state, links, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label")
+    return pregel(state, links.meet, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label")
 
 
 def kcore_heuristic(g: Graph, k: int, rounds: int = 15) -> DataFrame:

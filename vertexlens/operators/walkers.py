@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexlens.functions.rng import uniform_value
 from vertexlens.graph import Direction, Graph
 from vertexlens.operators.clustering import degree_cumavg, global_clustering, local_clustering, set_degrees
 from vertexlens.operators.metrics import NORMS, l1_vertices
@@ -53,31 +54,32 @@ def _walk(g: Graph, target: int, count: str, jump: float, home_moves: bool, ever
 
     def run(sample: int) -> pd.DataFrame:
         src, dst, ids = sent.value
-        r = np.random.default_rng([seed, sample])
         first = np.searchsorted(src, ids)
         last = np.searchsorted(src, ids, side="right")
         span = {int(v): (int(a), int(z)) for v, a, z in zip(ids, first, last)}
-        here = home = int(ids[r.integers(len(ids))]) if len(ids) else -1
-        seen_v, seen_e = {here}, set()
+        draw = lambda what, n: int(uniform_value(seed, sample, moved, what) * n)
+        anywhere = lambda what: int(ids[draw(what, len(ids))])
         moved = 0
+        here = home = anywhere("start") if len(ids) else -1
+        seen_v, seen_e = {here}, set()
         while (len(seen_e) if count == "edges" else len(seen_v)) < target:
             moved += 1
             if moved > limit:
                 raise RuntimeError(f"{target} {count} not reached in {limit} steps: the walk cannot leave a part of the graph")
-            if r.random() < jump:
-                here = home if home_moves else int(ids[r.integers(len(ids))])
+            if uniform_value(seed, sample, moved, "jump") < jump:
+                here = home if home_moves else anywhere("to")
             if home_moves and moved % every == 0:
-                home = int(ids[r.integers(len(ids))]) if here == home else here
+                home = anywhere("home") if here == home else here
                 here = home
             a, z = span[here]
             if z > a:
-                nxt = int(dst[r.integers(a, z)])
+                nxt = int(dst[a + draw("step", z - a)])
                 seen_e.add((here, nxt))
                 here = nxt
             elif home_moves:  # a sink: home is left for good, as no step can leave it
-                here = home = int(ids[r.integers(len(ids))]) if here == home else home
+                here = home = anywhere("sink") if here == home else home
             else:
-                here = int(ids[r.integers(len(ids))])
+                here = anywhere("sink")
             seen_v.add(here)
         pairs = sorted(seen_e)
         found = [(sample, "edge", a, b) for a, b in pairs] + [(sample, "vertex", v, None) for v in sorted(seen_v)]
@@ -125,28 +127,56 @@ def _adjacency(src: np.ndarray, dst: np.ndarray, direction: str) -> dict[int, se
     return adj
 
 
-def _coefficient(near: set[int], adj: dict[int, set[int]], direction: str) -> float:
-    d = len(near)
-    if d < 2:
-        return 0.0
-    linked = [(u, w) for u in near for w in adj.get(u, ()) if w in near]
-    if direction == "either":
-        return len(linked) / (d * (d - 1))
-    return len({(min(p), max(p)) for p in linked}) / (d * (d - 1) / 2)
+class _Subset:
+    """A vertex set's statistic, kept up to date under swaps: a swap looks at the two vertices' neighbourhoods only.
 
+    Per degree it has the number of members and the sum of their linked pairs, both whole numbers, so nothing drifts.
+    """
 
-def _statistic(chosen: set[int], adj: dict[int, set[int]], direction: str, evaluation: Evaluation) -> dict[int, float]:
-    near = {v: adj.get(v, set()) & chosen for v in chosen}
-    by: dict[int, list[float]] = {}
-    for v, s in near.items():
-        by.setdefault(len(s), []).append(_coefficient(s, adj, direction) if evaluation is Evaluation.CLUSTERING else 1.0)
-    if evaluation is Evaluation.CLUSTERING:
-        return {d: sum(c) / len(c) for d, c in by.items()}
-    out, total = {}, 0
-    for j, d in enumerate(sorted(by), 1):
-        total += len(by[d])
-        out[d] = total / j
-    return out
+    def __init__(self, chosen: set[int], adj: dict[int, set[int]], back: dict[int, set[int]], direction: str, evaluation: Evaluation):
+        self.chosen, self.adj, self.back, self.direction, self.evaluation = set(chosen), adj, back, direction, evaluation
+        self.members: dict[int, int] = {}
+        self.linked: dict[int, int] = {}
+        self.own = {v: self._of(v) for v in self.chosen}
+        for x in self.own.values():
+            self._count(x, 1)
+
+    def _of(self, v: int) -> tuple[int, int]:
+        """(degree, linked pairs) of a member."""
+        near = self.adj.get(v, set()) & self.chosen
+        if self.evaluation is not Evaluation.CLUSTERING or len(near) < 2:
+            return len(near), 0
+        pairs = ((u, w) for u in near for w in self.adj.get(u, set()) & near)
+        return len(near), sum(1 for _ in pairs) if self.direction == "either" else len({(min(p), max(p)) for p in pairs})
+
+    def _count(self, x: tuple[int, int], sign: int) -> None:
+        d, linked = x
+        self.members[d] = self.members.get(d, 0) + sign
+        self.linked[d] = self.linked.get(d, 0) + sign * linked
+        if not self.members[d]:
+            del self.members[d], self.linked[d]
+
+    def swap(self, leaves: int, enters: int) -> None:
+        """A member can only have changed if it has one of the two as a neighbour."""
+        self.chosen.remove(leaves)
+        self.chosen.add(enters)
+        self._count(self.own.pop(leaves), -1)
+        touched = (self.back.get(leaves, set()) | self.back.get(enters, set())) & self.chosen - {enters}
+        for v in touched:
+            self._count(self.own[v], -1)
+        for v in (*touched, enters):
+            self.own[v] = self._of(v)
+            self._count(self.own[v], 1)
+
+    def statistic(self) -> dict[int, float]:
+        if self.evaluation is Evaluation.CLUSTERING:
+            pairs = lambda d: d * (d - 1) / (1 if self.direction == "either" else 2)
+            return {d: self.linked[d] / pairs(d) / n if d > 1 else 0.0 for d, n in self.members.items()}
+        out, total = {}, 0
+        for j, d in enumerate(sorted(self.members), 1):
+            total += self.members[d]
+            out[d] = total / j
+        return out
 
 
 def _norm(a: dict[int, float], b: dict[int, float], evaluation: Evaluation) -> float:
@@ -169,21 +199,24 @@ def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float,
         src, dst, ids = sent.value
         r = np.random.default_rng([seed, sample])
         adj = _adjacency(src, dst, direction)
-        full = _statistic(set(ids.tolist()), adj, direction, evaluation)
+        back = adj if direction == "either" else _adjacency(dst, src, direction)
+        full = _Subset(set(ids.tolist()), adj, back, direction, evaluation).statistic()
         order = r.permutation(ids).tolist()
         inside, outside = order[:size], order[size:]
-        now = set(inside)
-        old = best = _norm(_statistic(now, adj, direction, evaluation), full, evaluation)
-        top = set(now)
+        now = _Subset(set(inside), adj, back, direction, evaluation)
+        old = best = _norm(now.statistic(), full, evaluation)
+        top = set(inside)
         for _ in range(iterations if inside and outside else 0):
             i, j = int(r.integers(len(inside))), int(r.integers(len(outside)))
-            trial = (now - {inside[i]}) | {outside[j]}
-            new = _norm(_statistic(trial, adj, direction, evaluation), full, evaluation)
+            now.swap(inside[i], outside[j])
+            new = _norm(now.statistic(), full, evaluation)
             if new <= 0 or r.random() < (old / new) ** power:
-                now, old = trial, new
+                old = new
                 inside[i], outside[j] = outside[j], inside[i]
                 if new < best:
-                    best, top = new, set(trial)
+                    best, top = new, set(now.chosen)
+            else:
+                now.swap(outside[j], inside[i])
         return pd.DataFrame({"sample_id": sample, "id": sorted(top), "norm": best}, columns=["sample_id", "id", "norm"])
 
     return _chains(g, chains, run, "sample_id bigint, id bigint, norm double")
@@ -228,7 +261,9 @@ def swapped_coefficients(g: Graph, coefficients: DataFrame, chosen: DataFrame, a
     own = g.vertices.sparkSession.range(1).select(F.lit(added).cast("bigint").alias("id"))
     inside = chosen.select("id").where(F.col("id") != removed).unionByName(own)
     near = neighbor_sets(g.edges, direction).where(F.col("other").isin(added, removed)).select("id").unionByName(own).distinct()
-    fresh = local_clustering(g, direction, inside).join(near, "id", "left_semi")
+    # their coefficients need their neighbours, and the edges between those, and no others
+    around = neighbor_sets(g.edges, direction).join(near, "id", "left_semi").select(F.col("other").alias("id")).unionByName(near).distinct()
+    fresh = local_clustering(g, direction, inside.join(around, "id", "left_semi")).join(near, "id", "left_semi")
     return coefficients.where(F.col("id") != removed).join(near, "id", "left_anti").unionByName(fresh)
 
 

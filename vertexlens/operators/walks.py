@@ -7,6 +7,8 @@ are numbered, so a step reads one row per walk and no neighbour list is ever col
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,35 @@ from vertexlens.operators.ranking import rank_within
 
 
 def numbered_neighbors(edges: DataFrame, direction: Direction = "either") -> DataFrame:
-    """(id, place, other, n): the neighbours of each vertex with multiplicity, numbered from 0 in ascending order."""
-    rows = ends(edges, direction)
-    spread = F.pmod(F.xxhash64("other"), F.lit(1 << 20)) / float(1 << 20)
-    return rank_within(rows, "id", spread, "other").select("id", (F.col("rank") - 1).alias("place"), "other", "n")
+    """(id, place, other, n, n_other): the neighbours of each vertex with multiplicity, numbered from 0 in ascending order.
+
+    n is how many there are, n_other how many the neighbour has (null for none), so that a walker knows it on arrival.
+    """
+    rows = rank_within(ends(edges, direction), "id", None, "other").select("id", (F.col("rank") - 1).alias("place"), "other", "n")
+    return rows.join(sizes(edges, direction).select(F.col("id").alias("other"), F.col("n").alias("n_other")), "other", "left")
+
+
+def sizes(edges: DataFrame, direction: Direction) -> DataFrame:
+    return ends(edges, direction).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def moved(walks: DataFrame, steps: DataFrame, u: Column, moves: Column) -> DataFrame:
+    """walks(last, n, ...) with `other`: the neighbour of place floor(u * n) where `moves` holds and there is one, else null.
+
+    last and n are those after the move. The join is on vertex and place, so walkers that meet at a hub part again.
+    """
+    drawn = walks.withColumn("place", F.when(moves, F.floor(u * F.col("n")).cast("bigint")))
+    to = steps.select(F.col("id").alias("last"), "place", "other", "n_other")
+    picked = drawn.join(to, ["last", "place"], "left")
+    kept = [c for c in walks.columns if c not in ("last", "n")]
+    return picked.select(*kept, F.coalesce("other", "last").alias("last"), F.when(F.col("other").isNull(), F.col("n")).otherwise(F.col("n_other")).alias("n"), "other")
 
 
 def step(walks: DataFrame, steps: DataFrame, u: Column, moves: Column) -> DataFrame:
-    """Moves the walks(last, path, ...) for which `moves` holds to the neighbour of place floor(u * n)."""
-    sizes = steps.select(F.col("id").alias("last"), "n").where("place = 0")
-    drawn = walks.join(sizes, "last", "left").withColumn("place", F.when(moves, F.floor(u * F.col("n")).cast("bigint")))
-    picked = drawn.join(steps.select(F.col("id").alias("last"), "place", "other"), ["last", "place"], "left")
-    others = [c for c in walks.columns if c not in ("last", "path")]
-    return picked.select(*others, F.when(F.col("other").isNull(), F.col("path")).otherwise(F.concat("path", F.array("other"))).alias("path"), F.coalesce("other", "last").alias("last"))
+    """Moves the walks(last, n, path, ...) for which `moves` holds, and appends where they come to."""
+    rows = moved(walks, steps, u, moves)
+    path = F.when(F.col("other").isNull(), F.col("path")).otherwise(F.concat("path", F.array("other")))
+    return rows.withColumn("path", path).select(*walks.columns)
 
 
 def walk_segments(g: Graph, length: int, theta: int, seed: int = 42, cut_every: int = 4) -> DataFrame:
@@ -40,7 +58,8 @@ def walk_segments(g: Graph, length: int, theta: int, seed: int = 42, cut_every:
     eta = -(-length // theta)
     rest = length - theta * (length // theta) or theta
     steps = cut_lineage(numbered_neighbors(g.edges))
-    rows = g.vertices.select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(eta))).alias("seg"), F.array().cast("array<bigint>").alias("path"), F.col("id").alias("last"))
+    starts = g.vertices.select("id").join(sizes(g.edges, "either"), "id", "left")
+    rows = starts.select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(eta))).alias("seg"), F.array().cast("array<bigint>").alias("path"), F.col("id").alias("last"), "n")
     for j in range(1, theta + 1):
         moves = (F.col("seg") < eta) | F.lit(j <= rest)
         rows = step(rows, steps, uniform(seed, "source", "seg", j), moves)
@@ -96,11 +115,12 @@ def walk_lengths(count: int, alpha: float, seed: int) -> list[int]:
     return [geometric_value(uniform_value(seed, "len", r), alpha) for r in range(count)]
 
 
-def ppr_monte_carlo(g: Graph, budget: int, alpha: float, seed: int = 42, per_source_length: bool = False, cut_every: int = 4) -> DataFrame:
+def ppr_monte_carlo(g: Graph, budget: int, alpha: float, seed: int = 42, per_source_length: bool = False) -> DataFrame:
     """(source, target, score) from max(1, floor(alpha * budget)) walks per source; all walks of all rounds advance together.
 
     A round's length is geometric and shared by all sources, or drawn per source if per_source_length. Scores are visits,
-    the start included, over the sum of lengths, so a source's scores add up to (sum + walks) / sum.
+    the start included, over the sum of lengths, so a source's scores add up to (sum + walks) / sum. A walk is its place;
+    visits are counted step by step, and walks that are over are not carried on.
     """
     rounds = max(1, int(alpha * budget))
     lengths = walk_lengths(rounds, alpha, seed)
@@ -114,10 +134,12 @@ def ppr_monte_carlo(g: Graph, budget: int, alpha: float, seed: int = 42, per_sou
         rows = cut_lineage(rows.withColumn("steps", geometric(uniform(seed, F.lit("len"), "source", "round"), alpha).cast("int")))
         most = rows.agg(F.max("steps")).first()[0] or 0
     total = rows.groupBy("source").agg(F.sum("steps").alias("total"))
-    walks = rows.select("source", "round", "steps", F.array("source").alias("path"), F.col("source").alias("last"))
+    visits = [rows.select("source", F.col("source").alias("target"))]
+    walks = rows.join(sizes(g.edges, "out").withColumnRenamed("id", "source"), "source", "left").select("source", "round", "steps", F.col("source").alias("last"), "n")
     for j in range(1, most + 1):
-        walks = step(walks, steps, uniform(seed, "source", "round", j), F.col("steps") >= j)
-        if j % cut_every == 0 and j < most:
-            walks = cut_lineage(walks)
-    counts = visit_counts(walks)
+        on = moved(walks.where(F.col("steps") >= j), steps, uniform(seed, "source", "round", j), F.lit(True))
+        walks = cut_lineage(on.where("other is not null").drop("other"))
+        visits.append(walks.select("source", F.col("last").alias("target")))
+    counts = functools.reduce(DataFrame.unionByName, (v.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")) for v in visits))
+    counts = counts.groupBy("source", "target").agg(F.sum("n").alias("n"))
     return counts.join(total, "source").select("source", "target", (F.col("n") / F.col("total")).alias("score"))
