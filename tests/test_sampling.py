@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from vertexlens.functions.bloom import BloomFilter
 from vertexlens.functions.rng import geometric, geometric_continue, geometric_value, uniform, uniform_value
 from vertexlens.functions.scalars import edit_distance, max_pair, random_element, random_subset
 from vertexlens.graph import degrees
+from vertexlens.operators import ranks as rk
 from vertexlens.operators import sampling as sa
 from vertexlens.operators import walkers as wk
 from vertexlens.operators import walks as wl
@@ -123,6 +125,40 @@ def test_layered_keeps_dense(g):
     assert all(ids[r.id] == r.degree for r in d.collect() if r.id in ids)
 
 
+@pytest.mark.parametrize("direction", ["either", "out"])
+def test_neighbours_of_a_hub_are_numbered_in_the_same_order(spark, monkeypatch, direction):
+    g = from_rows(spark, [*EDGES, *((7, 100 + k % 60) for k in range(200)), *((200 + k, 7) for k in range(90))])
+    rows = lambda: sorted(map(tuple, wl.numbered_neighbors(g.edges, direction).select("id", "place", "other", "n", "n_other").collect()), key=str)
+    plain, walks = rows(), sorted(map(str, wl.doubling_walk(g, 6, 2).collect()))
+    scores = sorted(map(str, wl.ppr_monte_carlo(g, 20, 0.3).collect()))
+    monkeypatch.setattr("vertexlens.operators.ranking.HUB_ROWS", 10)
+    assert rows() == plain and sorted(map(str, wl.doubling_walk(g, 6, 2).collect())) == walks
+    assert sorted(map(str, wl.ppr_monte_carlo(g, 20, 0.3).collect())) == scores
+
+
+def test_a_hub_is_dealt_over_several_salts(spark, monkeypatch):
+    g = from_rows(spark, [*EDGES, *((7, 100 + k) for k in range(200)), *((100 + k, 3) for k in range(50))])
+    rows = lambda: [{r[0]: round(r[1], 9) for r in df.collect()} for df in (rk.pagerank(g, 3), rk.pagerank_until(g, 0.01), rk.kcore_heuristic(g, 8))]
+    pairs_of = lambda: {(r.source, r.target): round(r.score, 9) for r in rk.ppr_exact(g, 0.2, 3).collect()}
+    plain, exact = rows(), pairs_of()
+    monkeypatch.setattr(rk, "HUB_LINKS", 25)
+    assert rk.by_source(rk.weighted(g.edges)).hubs.count() == 1
+    assert rows() == plain and pairs_of() == exact
+
+
+def test_chains_keep_their_statistic_up_to_date(g):
+    src, dst = map(list, zip(*EDGES))
+    r = random.Random(1)
+    for direction in ("either", "in", "out"):
+        for evaluation in wk.Evaluation:
+            adj = wk._adjacency(wk.np.array(src), wk.np.array(dst), direction)
+            back = wk._adjacency(wk.np.array(dst), wk.np.array(src), direction)
+            s = wk._Subset(set(range(0, 40, 2)), adj, back, direction, evaluation)
+            for _ in range(60):
+                s.swap(r.choice(sorted(s.chosen)), r.choice([v for v in range(40) if v not in s.chosen]))
+                assert s.statistic() == wk._Subset(s.chosen, adj, back, direction, evaluation).statistic()
+
+
 def test_walks(spark):
     g = from_rows(spark, EDGES)
     near = {frozenset(e) for e in EDGES}
@@ -204,6 +240,8 @@ def test_bloom(spark, tmp_path):
     f = BloomFilter.build(ids.where("id % 3 = 0"), 4096, 3)
     got = {r.id: r.might_contain for r in f.test(ids).collect()}
     assert all(got[i] for i in range(0, 300, 3)) and sum(got.values()) < 150
+    sized = BloomFilter.sized(ids.where("id % 3 = 0"), 0.01)
+    assert (sized.m, sized.k) == (959, 7) and sum(r.might_contain for r in sized.test(spark.range(1000, 3000)).collect()) < 60
     f.save(str(tmp_path / "f"))
     again = BloomFilter.load(spark, str(tmp_path / "f"), 4096, 3).add(spark.range(1, 2))
     assert {r.id: r.might_contain for r in again.test(ids).collect()}[1]

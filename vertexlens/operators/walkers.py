@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform_value
 from vertexlens.graph import Direction, Graph
+from vertexlens.lineage import cut_lineage
 from vertexlens.operators.clustering import degree_cumavg, global_clustering, local_clustering, set_degrees
 from vertexlens.operators.metrics import NORMS, l1_vertices
 from vertexlens.operators.sampling import node_sample
@@ -260,10 +261,10 @@ def swapped_coefficients(g: Graph, coefficients: DataFrame, chosen: DataFrame, a
 
     own = g.vertices.sparkSession.range(1).select(F.lit(added).cast("bigint").alias("id"))
     inside = chosen.select("id").where(F.col("id") != removed).unionByName(own)
-    near = neighbor_sets(g.edges, direction).where(F.col("other").isin(added, removed)).select("id").unionByName(own).distinct()
+    near = cut_lineage(neighbor_sets(g.edges, direction).where(F.col("other").isin(added, removed)).select("id").unionByName(own).distinct())
     # their coefficients need their neighbours, and the edges between those, and no others
     around = neighbor_sets(g.edges, direction).join(near, "id", "left_semi").select(F.col("other").alias("id")).unionByName(near).distinct()
-    fresh = local_clustering(g, direction, inside.join(around, "id", "left_semi")).join(near, "id", "left_semi")
+    fresh = local_clustering(g, direction, cut_lineage(inside.join(around, "id", "left_semi"))).join(near, "id", "left_semi")
     return coefficients.where(F.col("id") != removed).join(near, "id", "left_anti").unionByName(fresh)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from vertexlens.functions import scalars
 from vertexlens.functions.bloom import BloomFilter
 from vertexlens.functions.rng import geometric, geometric_continue, geometric_value, uniform, uniform_sql, uniform_value
 from vertexlens.graph import Graph, aggregate_messages, degrees, neighbor_attrs, neighbor_ids
+from vertexlens.lineage import shared_folder
 from vertexlens.operators import clustering as cl
 from vertexlens.operators import metrics as me
 from vertexlens.operators import ranks as rk
@@ -21,7 +23,7 @@ from vertexlens.operators.components import component_count, connected_component
 from vertexlens.operators.split import split_by_degree
 from vertexlens.plans.experiment import run_experiment
 from vertexlens.sources import fixtures
-from vertexlens.sources.edges import canonical_edges
+from vertexlens.sources.edges import append_csv, canonical_edges, read_delimited_edges, read_edge_list, read_graph, write_graph
 
 SEED = 42
 FRACTION = 0.15
@@ -106,6 +108,60 @@ def _(spark, d):
     return aggregate_messages(Graph(out, g.edges), F.sum, to_dst=F.col("src_attr").cast("bigint"))
 
 
+# --- sources and sinks: written to the shared folder and read back ------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("edge_list_scan", _with("events", final="select src, dst, 1 as attr from e"))
+def _(spark, d):
+    path = _folder(spark, "edge_list")
+    fixtures.edges(spark, d, "events").select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+    return read_edge_list(spark, path)
+
+
+@query("graph_round_trip", _with("events", final="select src, dst, 1 as attr from e"))
+def _(spark, d):
+    path = _folder(spark, "graph")
+    write_graph(fixtures.graph(spark, d, "events"), path)
+    return read_graph(spark, path).edges
+
+
+@query("csv_append", _with("events", final="select dst as id, count(*) as degree from e group by dst union all select src, count(*) from e group by src"))
+def _(spark, d):
+    path = _folder(spark, "csv")
+    for k in ("in", "out"):
+        append_csv(degrees(fixtures.edges(spark, d, "events"), k), path)
+    return spark.read.schema("id bigint, degree bigint").csv(path)
+
+
+@query("tab_separated_signatures", _with("events", final="select src as id, count(*) as in_degree from e group by src"))
+def _(spark, d):
+    path = _folder(spark, "tsv")
+    fixtures.edges(spark, d, "events").write.csv(path, sep="\t")
+    return read_delimited_edges(spark, path)[1]
+
+
+@query("map_vertices", _with("events", final="select id, (id % 7)::int as attr from v"))
+def _(spark, d):
+    return fixtures.graph(spark, d, "events").map_vertices((F.col("id") % 7).cast("int")).vertices
+
+
+@query("sorted_vertices", _with("events", final="select id, 1 as attr from v order by id"))
+def _(spark, d):
+    return fixtures.graph(spark, d, "events").vertices.orderBy("id")
+
+
+@query("distinct_edges", _with("events", final="select distinct src, dst, 1 as attr from e"))
+def _(spark, d):
+    return fixtures.graph(spark, d, "events").edges.dropDuplicates(["src", "dst", "attr"])
+
+
+@query("degree_lines", _with("events", f"n as ({_DEG['either']})", final="select concat_ws(',', id, count(*)) as line from n group by id"))
+def _(spark, d):
+    return degrees(fixtures.edges(spark, d, "events")).select(F.concat_ws(",", "id", "degree").alias("line"))
+
+
 # --- samplers -------------------------------------------------------------------------------------------------------
 _OCC = "o as (select src, dst, row_number() over (partition by src, dst) as occ from e)"
 _U_EDGE = uniform_sql(SEED, "src", "dst", "occ")
@@ -132,6 +188,11 @@ for _f in ("copurchase", "events"):
     )
 
 
+@query("no_sample", _with("events", final="select src, dst from e"))
+def _(spark, d):
+    return _edge_rows(sa.sampler(sa.SampleKind.NONE)(fixtures.graph(spark, d, "events"), FRACTION, SEED))
+
+
 @query("reservoir_k", f"with r as (select user_id, event_id, row_number() over (partition by user_id order by {uniform_sql(SEED, 'user_id', 'event_id')}, event_id) as r, count(*) over (partition by user_id) as n from events) select user_id, event_id from r where r <= floor(n * 0.25 + 0.5)")
 def _(spark, d):
     return sa.reservoir_sample(spark.read.parquet(f"{d}/events.parquet"), "user_id", "event_id", 0.25, SEED)
@@ -195,8 +256,8 @@ def _(spark, d):
 
 
 # --- ranks ----------------------------------------------------------------------------------------------------------
-def _pagerank_ctes(edges: str = "e", vertices: str = "v", tag: str = "", rounds: int = 10) -> list[str]:
-    steps = [f"o{tag} as (select src, count(*) as n from {edges} group by src)", f"p{tag}0 as (select id, 0.15::double as r from {vertices})"]
+def _pagerank_ctes(edges: str = "e", vertices: str = "v", tag: str = "", rounds: int = 10, init: float = 0.15) -> list[str]:
+    steps = [f"o{tag} as (select src, count(*) as n from {edges} group by src)", f"p{tag}0 as (select id, {init}::double as r from {vertices})"]
     for i in range(rounds):
         steps.append(f"p{tag}{i + 1} as (select v.id, 0.15 + 0.85 * coalesce(f, 0) as r from {vertices} v left join (select e.dst, sum(p.r / o.n) as f from {edges} e join p{tag}{i} p on p.id = e.src join o{tag} o on o.src = e.src group by e.dst) x on x.dst = v.id)")
     return steps
@@ -240,9 +301,17 @@ def _(spark, d):
     return me.topk_edit_distance(*_both(spark, d))
 
 
-@query("pagerank_tolerance")
+_MOST_ROUNDS = 60  # the score falls by 0.85 a round at least as long as it moves, so 0.001 is reached before
+_UNTIL = (
+    *(c.replace(" as (", " as materialized (", 1) for c in _pagerank_ctes(rounds=_MOST_ROUNDS, init=1.0)),
+    "mv as (" + " union all ".join(f"select {i + 1} as k, max(abs(a.r - b.r)) as m from p{i + 1} a join p{i} b using (id)" for i in range(_MOST_ROUNDS)) + ")",
+    "stop as (select min(k) as k from mv where m <= 0.001)",
+)
+
+
+@query("pagerank_tolerance", _with("events", *_UNTIL, final=" union all ".join(f"select id, round(r, 6) as score from p{k} where {k} = (select k from stop)" for k in range(1, _MOST_ROUNDS + 1))))
 def _(spark, d):
-    return rk.pagerank_until(fixtures.graph(spark, d, "events"), 0.001)
+    return rk.pagerank_until(fixtures.graph(spark, d, "events"), 0.001).select("id", F.round("score", 6).alias("score"))
 
 
 def _ppr_exact_ctes(rounds: int, alpha: float = 0.15) -> list[str]:
@@ -268,34 +337,23 @@ def _cc_ctes(edges: str = "se", vertices: str = "sv", tag: str = "c", rounds: in
     return steps
 
 
-_SPARSE = 0.05
-_CC = (_OCC, f"se as (select src, dst from o where {_U_EDGE} < {_SPARSE})", "sv as (select distinct unnest([src, dst]) as id from se)", *_cc_ctes())
-
-
-@query("connected_components", _with("supppart", *_CC, final="select id, l as component from c8"))
-def _(spark, d):
-    return connected_components(sa.edge_sample(fixtures.graph(spark, d, "supppart"), _SPARSE, SEED))
-
-
-@query("component_count", _with("supppart", *_CC, final="select count(distinct l) as n_components from c8"))
-def _(spark, d):
-    return component_count(connected_components(sa.edge_sample(fixtures.graph(spark, d, "supppart"), _SPARSE, SEED)))
-
-
-# The two above answer for the edge sample that their SQL names; these answer for every vertex and edge.
 _CC_WHOLE = _cc_ctes("e", "v", "f")
 
 
-@query("connected_components_whole", _with("supppart", *_CC_WHOLE, final="select id, l as component from f8"))
+@query("connected_components", _with("supppart", *_CC_WHOLE, final="select id, l as component from f8"))
 def _(spark, d):
     return connected_components(fixtures.graph(spark, d, "supppart"))
 
 
-@query("component_count_whole", _with("supppart", *_CC_WHOLE, final="select count(distinct l) as n_components from f8"))
+@query("component_count", _with("supppart", *_CC_WHOLE, final="select count(distinct l) as n_components from f8"))
 def _(spark, d):
     return component_count(connected_components(fixtures.graph(spark, d, "supppart")))
 
 
+_SPARSE = 0.05
+_CC = (_OCC, f"se as (select src, dst from o where {_U_EDGE} < {_SPARSE})", "sv as (select distinct unnest([src, dst]) as id from se)", *_cc_ctes())
+
+
 @query("cc_fraction_wrong", _with("supppart", *_CC, *_cc_ctes("e", "v", "f"), final="select round(1 - avg((a.l = b.l)::int), 6) as fraction_wrong from c8 a left join f8 b using (id)"))
 def _(spark, d):
     g = fixtures.graph(spark, d, "supppart")
@@ -354,15 +412,16 @@ def _(spark, d):
     return cl.global_clustering(fixtures.graph(spark, d, "copurchase")).select("id", F.round("cc", 6).alias("cc"))
 
 
-def _local_ctes(direction: str, edges: str = "e", vertices: str = "v") -> list[str]:
+def _local_ctes(direction: str, edges: str = "e", vertices: str = "v", tag: str = "") -> list[str]:
     ends = _ENDS[direction].replace(" from e", f" from {edges}")
     pairs = "count(*)" if direction == "either" else "count(distinct (least(u, w), greatest(u, w)))"
-    share = "l / (d * (d - 1)::double)" if direction == "either" else "l / (d * (d - 1) / 2.0)"
+    share = "1 / (d * (d - 1)::double)" if direction == "either" else "1 / (d * (d - 1) / 2.0)"
+    n, d, li = f"n{tag}", f"d{tag}", f"l{tag}"
     return [
-        f"n as (select distinct * from ({ends}))",
-        "d as (select id, count(*) as d from n group by id)",
-        f"l as (select id, {pairs} as l from (select a.id, a.other as u, b.other as w from n a join n b on b.id = a.other join n c on c.id = a.id and c.other = b.other) group by id)",
-        f"lc as (select v.id, coalesce(d, 0) as degree, case when d > 1 then coalesce(l, 0)::double * ({share.replace('l /', '1 /')}) else 0 end as cc from {vertices} v left join d on d.id = v.id left join l on l.id = v.id)",
+        f"{n} as (select distinct * from ({ends}))",
+        f"{d} as (select id, count(*) as d from {n} group by id)",
+        f"{li} as (select id, {pairs} as l from (select a.id, a.other as u, b.other as w from {n} a join {n} b on b.id = a.other join {n} c on c.id = a.id and c.other = b.other) group by id)",
+        f"lc{tag} as (select v.id, coalesce(d, 0) as degree, case when d > 1 then coalesce(l, 0)::double * ({share}) else 0 end as cc from {vertices} v left join {d} x on x.id = v.id left join {li} y on y.id = v.id)",
     ]
 
 
@@ -416,42 +475,51 @@ query("l1_vertices", _with("events_simple", *_gcc("e", "v", "w"), *_TRIALS[0], f
     lambda s, d: me.l1_vertices(cl.global_clustering(sa.node_sample(fixtures.graph(s, d, "events_simple"), 0.4, SEED)), cl.global_clustering(fixtures.graph(s, d, "events_simple"))).select(F.round("l1", 6).alias("l1"))
 )
 
-_IN, _OUT = 3, 100  # the vertices that enter and leave: ids below 100 are chosen
-_SWAP = (f"iv as (select id from v where (id < 100 or id = {_OUT}) and id <> {_IN})", "ie as (select src, dst from e where src in (select id from iv) and dst in (select id from iv))")
+# A share of all vertices is chosen; the least vertex outside enters, the least inside leaves.
+_CHOSEN = (
+    f"rn as (select id, row_number() over (order by {uniform_sql(SEED, 'id')}, id) as r, count(*) over () as c from v)",
+    f"ch as (select id from rn where r <= floor(c * {FRACTION}))",
+)
+_SWAP = (
+    *_CHOSEN,
+    "iv as (select id from ch where id <> (select min(id) from ch) union all select min(id) from v where id not in (select id from ch))",
+    "ie as (select src, dst from e where src in (select id from iv) and dst in (select id from iv))",
+)
 
 
-def _swap(s: SparkSession, d: str) -> tuple[Graph, DataFrame]:
+def _chosen(s: SparkSession, d: str) -> tuple[Graph, DataFrame]:
     g = fixtures.graph(s, d, "events_simple")
-    return g, g.vertices.where("id < 100")
+    return g, sa.uniform_subset(g.vertices, FRACTION, SEED).select("id").persist()
+
+
+def _swap(s: SparkSession, d: str) -> tuple[Graph, DataFrame, int, int]:
+    g, chosen = _chosen(s, d)
+    return g, chosen, g.vertices.join(chosen, "id", "left_anti").agg(F.min("id")).first()[0], chosen.agg(F.min("id")).first()[0]
 
 
 query("swapped_degrees", _with("events_simple", *_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree from lc"))(
-    lambda s, d: (lambda g, c: wk.swapped_degrees(g, cl.set_degrees(g, "either", c), c, _OUT, _IN))(*_swap(s, d))
+    lambda s, d: (lambda g, c, added, removed: wk.swapped_degrees(g, cl.set_degrees(g, "either", c), c, added, removed))(*_swap(s, d))
 )
 query("swapped_coefficients", _with("events_simple", *_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree, round(cc, 6)::double as cc from lc"))(
-    lambda s, d: (lambda g, c: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, _OUT, _IN).select("id", "degree", F.round("cc", 6).alias("cc")))(*_swap(s, d))
+    lambda s, d: (lambda g, c, added, removed: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, added, removed).select("id", "degree", F.round("cc", 6).alias("cc")))(*_swap(s, d))
 )
+_INSIDE = (*_CHOSEN, "ie as (select src, dst from e where src in (select id from ch) and dst in (select id from ch))")
+_BOTH_DEGREES = (*_degree_stats("e", "v", "a"), *_INSIDE, *_degree_stats("ie", "ch", "b"), "df as (select abs(coalesce(x.value, 0) - coalesce(y.value, 0)) as d from sa x full join sb y using (degree))")
+_MEANS = [f"m{t} as (select degree, avg(cc) as value from lc{t} group by degree)" for t in "ab"]
+_BOTH_CLUSTERING = (*_local_ctes("either", tag="a"), *_INSIDE, *_local_ctes("either", "ie", "ch", "b"), *_MEANS, "df as (select abs(coalesce(x.value, 0) - coalesce(y.value, 0)) as d from ma x full join mb y using (degree))")
 
-# The two above choose the ids their SQL names; these a share of all vertices. The least vertex outside enters, the least inside leaves.
-_SUBSET_SWAP = (
-    f"rn as (select id, row_number() over (order by {uniform_sql(SEED, 'id')}, id) as r, count(*) over () as c from v)",
-    f"ch as (select id from rn where r <= floor(c * {FRACTION}))",
-    "iv as (select id from ch where id <> (select min(id) from ch) union all select min(id) from v where id not in (select id from ch))",
-    _SWAP[1],
+query("subset_statistic", _with("events_simple", *_BOTH_DEGREES, final="select degree, round(value, 6) as value from sb"))(
+    lambda s, d: (lambda g, c: wk.statistic(g, "either", wk.Evaluation.DEGREES, c).select("degree", F.round("value", 6).alias("value")))(*_chosen(s, d))
 )
-
-
-def _subset_swap(s: SparkSession, d: str) -> tuple[Graph, DataFrame, int, int]:
-    g = fixtures.graph(s, d, "events_simple")
-    chosen = sa.uniform_subset(g.vertices, FRACTION, SEED).select("id").persist()
-    return g, chosen, g.vertices.join(chosen, "id", "left_anti").agg(F.min("id")).first()[0], chosen.agg(F.min("id")).first()[0]
-
-
-query("swapped_degrees_subset", _with("events_simple", *_SUBSET_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree from lc"))(
-    lambda s, d: (lambda g, c, added, removed: wk.swapped_degrees(g, cl.set_degrees(g, "either", c), c, added, removed))(*_subset_swap(s, d))
+query("subset_norm_degrees", _with("events_simple", *_BOTH_DEGREES, final="select round(max(d), 6) as norm from df"))(lambda s, d: wk.subset_norm(*_chosen(s, d)).select(F.round("norm", 6).alias("norm")))
+query("subset_norm_clustering", _with("events_simple", *_BOTH_CLUSTERING, final="select round(avg(d), 6) as norm from df"))(
+    lambda s, d: wk.subset_norm(*_chosen(s, d), "either", wk.Evaluation.CLUSTERING).select(F.round("norm", 6).alias("norm"))
 )
-query("swapped_coefficients_subset", _with("events_simple", *_SUBSET_SWAP, *_local_ctes("either", "ie", "iv"), final="select id, degree, round(cc, 6)::double as cc from lc"))(
-    lambda s, d: (lambda g, c, added, removed: wk.swapped_coefficients(g, cl.local_clustering(g, "either", c), c, added, removed).select("id", "degree", F.round("cc", 6).alias("cc")))(*_subset_swap(s, d))
+query("with_vertex_degree", _with("events_simple", *_INSIDE, *_local_ctes("either", "ie", "ch"), final="select id, degree from lc where id <> -1 union all select -1, 5"))(
+    lambda s, d: (lambda g, c: wk.with_vertex(cl.set_degrees(g, "either", c), -1, degree=5))(*_chosen(s, d))
+)
+query("with_vertex_coefficient", _with("events_simple", *_INSIDE, *_local_ctes("either", "ie", "ch"), final="select id, degree, round(cc, 6)::double as cc from lc where id <> (select min(id) from ch) union all select min(id), 3, 0.5 from ch"))(
+    lambda s, d: (lambda g, c: wk.with_vertex(cl.local_clustering(g, "either", c), c.agg(F.min("id")).first()[0], degree=3, cc=0.5).select("id", "degree", F.round("cc", 6).alias("cc")))(*_chosen(s, d))
 )
 
 
@@ -489,7 +557,7 @@ def _segment_ctes() -> list[str]:
     return steps
 
 
-_SQRT = ["t0 as (select id as source, [id] as path, id as tail from v)"] + [f"t{i} as (select t.source, list_concat(t.path, w.path) as path, w.last as tail from t{i - 1} t join w3 w on w.source = t.tail and w.seg = {i})" for i in range(1, _ETA + 1)]
+_SQRT = ["t0 as materialized (select id as source, [id] as path, id as tail from v)"] + [f"t{i} as materialized (select t.source, list_concat(t.path, w.path) as path, w.last as tail from t{i - 1} t join w3 w on w.source = t.tail and w.seg = {i})" for i in range(1, _ETA + 1)]
 _DOUBLE = [
     "b1 as (select a.source, a.seg, list_concat(a.path, z.path) as path, z.last as last from w3 a join w3 z on z.source = a.last and z.seg = 3 where a.seg = 1 union all select source, seg, path, last from w3 where seg = 2)",
     "b2 as (select a.source, list_concat(a.path, z.path) as path from b1 a join b1 z on z.source = a.last and z.seg = 2 where a.seg = 1)",
@@ -521,14 +589,38 @@ query("ppr_monte_carlo", _with("nation", *_ppr_ctes(), final=f"select source, ta
 )
 
 # --- Bloom filter and scalars -----------------------------------------------------------------------------------------
-_BITS, _HASHES = 8192, 3
-_POS = "list_distinct([" + ", ".join(f"floor({uniform_sql(SEED, str(i), 'id')} * {_BITS})::bigint" for i in range(_HASHES)) + "])"
+_RATE, _HASHES = 0.01, 7  # false positives; hashes for that rate
+_POS = "list_distinct([" + ", ".join(f"floor({uniform_sql(SEED, str(i), 'id')} * m)::bigint" for i in range(_HASHES)) + "])"
+_BLOOM = _with("copurchase", f"m as (select ceil(-count(distinct src) * ln({_RATE}) / (ln(2) * ln(2)))::bigint as m from e)", f"p as (select id, unnest({_POS}) as pos from v, m)", "b as (select distinct pos from p where id in (select src from e))",
+    final="select id, bool_and(b.pos is not null) as might_contain from p left join b using (pos) group by id")
+
 
+def _sources(s: SparkSession, d: str) -> tuple[DataFrame, BloomFilter]:
+    g = fixtures.graph(s, d, "copurchase")
+    return g.vertices.select("id"), BloomFilter.sized(g.edges.select(F.col("src").alias("id")), _RATE, SEED)
 
-@query("bloom_membership", _with("copurchase", f"p as (select id, unnest({_POS}) as pos from v)", "b as (select distinct pos from p where id % 3 = 0)", final="select id, bool_and(b.pos is not null) as might_contain from p left join b using (pos) group by id"))
+
+@query("bloom_membership", _BLOOM)
+def _(spark, d):
+    ids, found = _sources(spark, d)
+    return found.test(ids)
+
+
+@query("bloom_round_trip", _BLOOM)
 def _(spark, d):
-    ids = fixtures.graph(spark, d, "copurchase").vertices.select("id")
-    return BloomFilter.build(ids.where("id % 3 = 0"), _BITS, _HASHES, SEED).test(ids)
+    (ids, found), path = _sources(spark, d), _folder(spark, "bloom")
+    found.save(path)
+    return BloomFilter.load(spark, path, found.m, found.k, SEED).test(ids)
+
+
+@query("date_texts", "select event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') as at from events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.date_text(F.col("ts")).alias("at"))
+
+
+@query("long_keys", "select event_id, printf('%016X', event_id) as key from events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.hex(scalars.long_key(F.col("event_id"))).alias("key"))
 
 
 @query("exp_decay", "select event_id, round(value * exp(-0.01 * (event_id % 100)), 6) as decayed from events")
@@ -553,9 +645,48 @@ def _(spark, d):
 
 
 # --- sequential samplers and the experiment ---------------------------------------------------------------------------
-query("random_walk_sample")(lambda s, d: wk.random_walk_sample(fixtures.graph(s, d, "events_simple"), 0.2, samples=2, seed=SEED))
-query("random_jump_sample")(lambda s, d: wk.random_jump_sample(fixtures.graph(s, d, "events_simple"), 0.2, samples=2, seed=SEED))
-query("random_jump_vertices")(lambda s, d: wk.random_jump_vertices(fixtures.graph(s, d, "events_simple"), 0.3, samples=2, seed=SEED))
+def _chain_sql(target: str, kind: str, home: bool, most: str) -> str:
+    """The chains of _walk, one step a round: draws are hashes of (seed, sample, step, purpose). Its steps before `target` is met count."""
+    u = lambda what, t="t", s="s": uniform_sql(SEED, s, t, f"'{what}'")
+    jumped, away, stays = ("home", "case when x = home then k.id else home end", "home") if home else ("j.id", "k.id", "0")
+    ctes = (
+        "vs as materialized (select id, row_number() over (order by id) - 1 as rn, count(*) over () as c from v)",
+        _numbered("out"),
+        "dg as materialized (select distinct id, n from nb)",
+        f"w as (select s, 0 as t, id as here, id as home, null::bigint as src, null::bigint as dst from (select unnest([0, 1]) as s) join vs on rn = floor({u('start', '0')} * c) union all "
+        f"select s, t, coalesce(nb.other, {away}), case when nb.other is null then {away} else {stays} end, case when nb.other is not null then x end, nb.other from (select w.s, w.t + 1 as t, w.home, case when {u('jump', 'w.t + 1', 'w.s')} < 0.15 then {jumped} else here end as x "
+        f"from w join vs j on j.rn = floor({u('to', 'w.t + 1', 'w.s')} * j.c) where w.t < {most}) z left join dg on dg.id = x left join nb on nb.id = x and nb.place = floor({u('step')} * dg.n) join vs k on k.rn = floor({u('sink')} * k.c))",
+        "fe as (select s, src, dst, min(t) as t from w where dst is not null group by s, src, dst)",
+        "fv as (select s, here as id, min(t) as t from w group by s, here)",
+        f"ft as (select s, t, row_number() over (partition by s order by t) as r from {'fe' if kind == 'edge' else 'fv'})",
+        f"st as (select s, t from ft where r = {target})",
+    )
+    rows = "select s as sample_id, 'edge' as kind, src, dst from fe join st using (s) where fe.t <= st.t union all select s, 'vertex', id, null from fv join st using (s) where fv.t <= st.t"
+    return _with("events_simple", *ctes, final=rows).replace("with e as", "with recursive e as", 1)
+
+
+_FIFTH = "(select floor(0.2 * count(*)) from e)"
+query("random_walk_sample", _chain_sql(_FIFTH, "edge", True, f"(40 * {_FIFTH})"))(lambda s, d: wk.random_walk_sample(fixtures.graph(s, d, "events_simple"), 0.2, samples=2, seed=SEED))
+query("random_jump_sample", _chain_sql(_FIFTH, "edge", False, f"(3 * {_FIFTH} + 100)"))(lambda s, d: wk.random_jump_sample(fixtures.graph(s, d, "events_simple"), 0.2, samples=2, seed=SEED))
+query("random_jump_vertices", _chain_sql("(select floor(0.3 * count(*)) from v)", "vertex", False, "(select 2 * count(*) + 100 from v)"))(lambda s, d: wk.random_jump_vertices(fixtures.graph(s, d, "events_simple"), 0.3, samples=2, seed=SEED))
 query("metropolis_run")(lambda s, d: wk.metropolis_sample(fixtures.graph(s, d, "events_simple"), 0.2, 20, 10.0, chains=2, seed=SEED))
 _ROW = "select 'edge' as sampleType, 0.15::double as sampleFrac, 'pageRank' as queryAlgo, {} as metricName, ({})::double as metricScore, 1 as numSamples, 'first' as stitchStrategy"
 query("experiment", _EDIT.replace("select edit_distance from ed", "", 1) + " " + _ROW.format("'edit distance'", "select edit_distance from ed") + " union all " + _ROW.format("'intersection'", "select count(*) from a where id in (select id from b)"))(lambda s, d: run_experiment(fixtures.graph(s, d, "copurchase"), "edge", FRACTION).select("sampleType", "sampleFrac", "queryAlgo", "metricName", "metricScore", "numSamples", "stitchStrategy"))
+
+
+def _experiment_sql(fixture: str, ctes: tuple[str, ...], query_name: str, metric: str, score: str) -> str:
+    row = f"select 'edge' as sampleType, {FRACTION}::double as sampleFrac, '{query_name}' as queryAlgo, '{metric}' as metricName, ({score})::double as metricScore, 1 as numSamples, 'first' as stitchStrategy"
+    return _with(fixture, _OCC, f"se as (select src, dst from o where {_U_EDGE} < {FRACTION})", "sv as (select distinct unnest([src, dst]) as id from se)", *ctes, final=row)
+
+
+def _experiment(s: SparkSession, d: str, fixture: str, query_name: str) -> DataFrame:
+    rows = run_experiment(fixtures.graph(s, d, fixture), "edge", FRACTION, query_name)
+    return rows.select("sampleType", "sampleFrac", "queryAlgo", "metricName", F.round("metricScore", 6).alias("metricScore"), "numSamples", "stitchStrategy")
+
+
+query("experiment_components", _experiment_sql("supppart", (*_cc_ctes(), *_cc_ctes("e", "v", "f")), "connectedComponents", "fraction wrong", "select round(1 - avg((a.l = b.l)::int), 6) from c8 a left join f8 b using (id)"))(
+    lambda s, d: _experiment(s, d, "supppart", "connectedComponents")
+)
+query("experiment_triangles", _experiment_sql("copurchase", (*_gcc("e", "v", "w"), *_gcc("se", "sv", "s")), "triangleCount", "mean absolute error", "select round(avg(abs(coalesce(x.c, 0) - coalesce(y.c, 0))), 6) from sv left join nw x using (id) left join ns y using (id)"))(
+    lambda s, d: _experiment(s, d, "copurchase", "triangleCount")
+)

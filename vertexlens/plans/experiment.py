@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("output", help="folder that result rows are appended to as CSV")
     p.add_argument("--seed", type=int, default=42)
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName(f"{a.query} on {a.sample_type} {a.fraction}").getOrCreate()
+    spark = SparkSession.builder.appName(f"{a.query} on {a.sample_type} {a.fraction}").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     g = Graph.from_edges(read_edge_list(spark, a.path, canonical=a.query == "triangleCount"))
     append_csv(run_experiment(g, a.sample_type, a.fraction, a.query, a.samples, a.stitching, a.seed), a.output)
