@@ -142,7 +142,7 @@ def test_a_hub_is_dealt_over_several_salts(spark, monkeypatch):
     pairs_of = lambda: {(r.source, r.target): round(r.score, 9) for r in rk.ppr_exact(g, 0.2, 3).collect()}
     plain, exact = rows(), pairs_of()
     monkeypatch.setattr(rk, "HUB_LINKS", 25)
-    assert rk.by_source(rk.weighted(g.edges)).hubs.count() == 1
+    assert rk.by_source(g.edges).hubs.count() == 1
     assert rows() == plain and pairs_of() == exact
 
 

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexlens.graph import Graph, degrees, ends, pregel
 from vertexlens.lineage import cut_lineage
 
 
-#: Links of one source that one partition may hold; more are dealt over several.
+#: Edges of one source that one partition may hold; more are dealt over several.
 HUB_LINKS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Links:
-    """rows(src, dst, ..., salt) cached, dealt by source and salt; hubs(hub, salts) of the sources dealt over several salts."""
+    """rows(src, dst, c, w, salt) cached, dealt and sorted by source and salt; hubs(hub, salts) of the sources dealt over several salts."""
 
     rows: DataFrame
     hubs: DataFrame | None
@@ -26,7 +26,7 @@ class Links:
         """state joined to the links of its `key`: a hub's row goes to each of its salts, everything else to one place."""
         if self.hubs is None:
             return state.join(self.rows, state[key] == self.rows["src"])
-        spread = state.join(F.broadcast(self.hubs), state[key] == self.hubs["hub"], "left")  # at most a row per HUB_LINKS links
+        spread = state.join(F.broadcast(self.hubs), state[key] == self.hubs["hub"], "left")  # at most a row per HUB_LINKS edges
         spread = spread.withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         return spread.join(self.rows, (spread[key] == self.rows["src"]) & (spread["at"] == self.rows["salt"]))
 
@@ -34,25 +34,26 @@ class Links:
         self.rows.unpersist()
 
 
-def by_source(links: DataFrame, most: int | None = None) -> Links:
-    """links(src, dst, ...) in as many partitions as an aggregation by vertex has, so joining to one moves no link.
+def by_source(edges: DataFrame, most: int | None = None) -> Links:
+    """The links of edges(src, dst): parallel edges merged to c, w the share of src's out-edges that they are.
 
-    A source with more than `most` (HUB_LINKS) links is salted by target, so no partition holds all of them.
+    They are in as many partitions as an aggregation by vertex has, so joining to one moves no link, and in order of source,
+    so no round sorts them. A source with more than `most` (HUB_LINKS) edges is salted by target, so no partition holds
+    all of them. Edges move once; what tells hubs is pre-aggregated.
     """
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most or HUB_LINKS))
-    hubs = cut_lineage(counts.select(F.col("src").alias("hub"), F.ceil(F.col("n") / (most or HUB_LINKS)).cast("int").alias("salts")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = most or HUB_LINKS
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hubs = cut_lineage(out.select(F.col("src").alias("hub"), F.ceil(F.col("n") / most).cast("int").alias("salts"), "n"))
     if hubs.isEmpty():
-        return Links(links.repartition(parts, "src").persist(), None)
-    salted = links.join(F.broadcast(hubs), links["src"] == hubs["hub"], "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
-    return Links(salted.drop("hub", "salts").repartition(parts, "src", "salt").persist(), hubs)
-
-
-def weighted(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): parallel edges merged, w their share of src's out-degree."""
-    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
-    total = pairs.groupBy("src").agg(F.sum("c").alias("degree"))
-    return pairs.join(total, "src").select("src", "dst", (F.col("c") / F.col("degree")).alias("w"))
+        pairs = edges.select("src", "dst").repartition(parts, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
+        total = F.sum("c").over(Window.partitionBy("src"))
+        return Links(pairs.withColumn("w", F.col("c") / total).persist(), None)
+    salted = edges.select("src", "dst").join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left")
+    salted = salted.select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "n")
+    pairs = salted.repartition(parts, "src", "salt").groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    total = F.coalesce("n", F.sum("c").over(Window.partitionBy("src", "salt")))
+    return Links(pairs.withColumn("w", F.col("c") / total).drop("n").persist(), hubs.drop("n"))
 
 
 def _surfer(ranks: DataFrame, base: DataFrame, links: Links, keep: float) -> DataFrame:
@@ -66,7 +67,7 @@ def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float =
 
     The links are dealt by source once and cached; each round then shuffles only the flow.
     """
-    links = by_source(weighted(g.edges))
+    links = by_source(g.edges)
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = g.vertices.select("id", F.lit(float(init)).alias("rank"))
     for i in range(iterations):
@@ -78,7 +79,7 @@ def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float =
 
 def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init: float = 1.0, most: int = 200) -> DataFrame:
     """(id, score) once no score moves by more than tolerance."""
-    links = by_source(weighted(g.edges))
+    links = by_source(g.edges)
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = cut_lineage(g.vertices.select("id", F.lit(float(init)).alias("rank")))
     for _ in range(most):
@@ -96,7 +97,7 @@ def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: in
 
     By definition that is up to |V|^2 rows; ppr_monte_carlo is bounded by its walks.
     """
-    links = by_source(weighted(g.edges))
+    links = by_source(g.edges)
     base = g.vertices.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(float(alpha)).alias("score"))
     now = base
     for i in range(iterations):
@@ -111,7 +112,7 @@ def _label_rounds(g: Graph, k: int, at_least: bool, rounds: int) -> DataFrame:
     out = g.vertices.select("id").join(degrees(g.edges, "out"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("out_degree"))
     holds = (lambda x: x >= k) if at_least else (lambda x: x <= k)
     state = out.select("id", holds(F.col("out_degree")).cast("int").alias("label"), "out_degree")
-    links = by_source(g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")))
+    links = by_source(g.edges)
     send = F.when(F.col("label") == 1, F.col("c"))
     return pregel(state, links.meet, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label")
 
