@@ -126,6 +126,20 @@ def test_pagerank_until_and_ppr(spark):
     close(total, {1: 1.0, 2: 1.0}, 6)
 
 
+def test_ppr_of_some_sources_is_part_of_that_of_all(spark):
+    g = from_rows(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (4, 2)])
+    pairs = lambda df: {(r.source, r.target): round(r.score, 9) for r in df.collect()}
+    every = pairs(rk.ppr_exact(g, 0.2, 6))
+    chosen = spark.createDataFrame([(2,), (4,), (4,), (99,), (None,)], "id bigint")
+    assert pairs(rk.ppr_exact(g, 0.2, 6, sources=chosen)) == {k: v for k, v in every.items() if k[0] in (2, 4)}
+
+
+def test_links_are_released(spark):
+    spark.catalog.clearCache()
+    rk.pagerank(from_rows(spark, [(1, 2), (2, 3), (3, 1)]), 3).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(60))
     random.Random(3).shuffle(ids)

@@ -65,15 +65,16 @@ def _surfer(ranks: DataFrame, base: DataFrame, links: Links, keep: float) -> Dat
 def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float = 0.15, cut_every: int = 2) -> DataFrame:
     """(id, score) after a fixed number of rounds; not normalised, mass of vertices without out-edges is lost.
 
-    The links are dealt by source once and cached; each round then shuffles only the flow.
+    The links are dealt by source once and cached; each round then shuffles only the flow. They are released at the end.
     """
     links = by_source(g.edges)
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = g.vertices.select("id", F.lit(float(init)).alias("rank"))
     for i in range(iterations):
         ranks = _surfer(ranks, base, links, 1 - reset)
-        if (i + 1) % cut_every == 0 and i + 1 < iterations:
+        if (i + 1) % cut_every == 0 or i + 1 == iterations:
             ranks = cut_lineage(ranks)
+    links.unpersist()
     return ranks.select("id", F.col("rank").alias("score"))
 
 
@@ -92,19 +93,22 @@ def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init
     return ranks.select("id", F.col("rank").alias("score"))
 
 
-def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: int = 2) -> DataFrame:
-    """(source, target, score) of every source: the walk stops with probability alpha a step. Pairs reached only.
+def ppr_exact(g: Graph, alpha: float = 0.15, iterations: int = 30, cut_every: int = 2, sources: DataFrame | None = None) -> DataFrame:
+    """(source, target, score) of every source (of sources(id), if given): the walk stops with probability alpha a step. Pairs reached only.
 
-    By definition that is up to |V|^2 rows; ppr_monte_carlo is bounded by its walks.
+    Ids that are no vertices have no rows. By definition there are up to |V| rows a source, so a large graph needs
+    `sources`; ppr_monte_carlo is bounded by its walks.
     """
     links = by_source(g.edges)
-    base = g.vertices.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(float(alpha)).alias("score"))
+    first = g.vertices.select("id") if sources is None else g.vertices.select("id").join(sources.select("id"), "id", "left_semi")
+    base = first.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(float(alpha)).alias("score"))
     now = base
     for i in range(iterations):
         flow = links.meet(now, "target").select("source", F.col("dst").alias("target"), (F.col("score") * F.col("w") * (1 - alpha)).alias("score"))
         now = base.unionByName(flow).groupBy("source", "target").agg(F.sum("score").alias("score"))
-        if (i + 1) % cut_every == 0 and i + 1 < iterations:
+        if (i + 1) % cut_every == 0 or i + 1 == iterations:
             now = cut_lineage(now)
+    links.unpersist()
     return now
 
 
@@ -114,7 +118,9 @@ def _label_rounds(g: Graph, k: int, at_least: bool, rounds: int) -> DataFrame:
     state = out.select("id", holds(F.col("out_degree")).cast("int").alias("label"), "out_degree")
     links = by_source(g.edges)
     send = F.when(F.col("label") == 1, F.col("c"))
-    return pregel(state, links.meet, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label")
+    found = cut_lineage(pregel(state, links.meet, send, F.sum, holds(F.col("out_degree") + F.col("message")).cast("int"), rounds).select("id", "label"))
+    links.unpersist()
+    return found
 
 
 def kcore_heuristic(g: Graph, k: int, rounds: int = 15) -> DataFrame:
@@ -134,11 +140,13 @@ def kcore(g: Graph, k: int) -> DataFrame:
     """(id): the textbook k-core of the undirected simple graph, by peeling until nothing goes."""
     both = ends(g.edges.where("src <> dst"), "either").distinct()
     both = cut_lineage(both)
+    rows = both.count()
     while True:
         strong = both.groupBy("id").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= k).select("id")
         left = both.join(strong, "id", "left_semi").join(strong.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other")
         left = cut_lineage(left)
-        if left.count() == both.count():
+        before, rows = rows, left.count()
+        if rows == before:
             return left.select("id").distinct() if k > 0 else g.vertices.select("id")
         both = left
 
