@@ -1,95 +1,196 @@
 """Single-walker samplers and Metropolis subgraph sampling.
 
-Both are sequential by nature: the next state depends on the last. One chain runs in one task on an adjacency that is
-checked to fit it (`most_edges`; beyond it they raise); what is distributed is the chains, by sample id.
+Both are sequential by nature: the next state depends on the last. One chain runs in one task, whose graph streams to it
+in order and lies in mapped files of the task's local folder, whatever its size; the driver holds none of it. What is
+distributed is the chains, by sample id.
 """
 
 from __future__ import annotations
 
 import enum
-from collections.abc import Iterator
+import os
+import tempfile
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform_value
-from vertexlens.graph import Direction, Graph
+from vertexlens.graph import Direction, Graph, neighbor_sets
 from vertexlens.lineage import cut_lineage
 from vertexlens.operators.clustering import degree_cumavg, global_clustering, local_clustering, set_degrees
 from vertexlens.operators.metrics import NORMS, l1_vertices
 from vertexlens.operators.sampling import node_sample
 
-#: Edges that one worker may hold as a sampler's adjacency (16 bytes each).
-MOST_EDGES = 5_000_000
+#: Result rows of a chain that leave its task at a time.
+_OUT_ROWS = 100_000
 
 
-def _local(g: Graph, most_edges: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """Edges and vertex ids on the driver, for broadcast; refused if they exceed the bound."""
-    edges = g.edges.select("src", "dst").limit(most_edges + 1).toPandas()
-    ids = g.vertices.select("id").limit(most_edges + 1).toPandas()["id"].to_numpy()
-    if len(edges) > most_edges or len(ids) > most_edges:
-        raise ValueError(f"more than {most_edges} edges or vertices: a sequential sampler cannot hold them; sample the graph first")
-    return edges.sort_values(["src", "dst"], kind="stable"), np.sort(ids)
+def _file():
+    """An unnamed file on the executor's own disk."""
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
 
 
-def _chains(g: Graph, samples: int, run, schema: str) -> DataFrame:
-    rows = g.vertices.sparkSession.range(samples).withColumnRenamed("id", "sample_id").repartition(samples, "sample_id")
+def _blank(n: int, kind: type) -> np.ndarray:
+    """n zeros in a mapped file: pages that the system can write out, not memory of the worker."""
+    return np.asarray(np.memmap(_file(), kind, "w+", shape=(n,))) if n else np.zeros(0, kind)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in batch["sample_id"]:
-                yield run(int(s))
 
-    return rows.mapInPandas(each, schema)
+class _Numbers:
+    """Numbers put into a file, then mapped."""
+
+    def __init__(self):
+        self._file, self._n = _file(), 0
+
+    def put(self, values: np.ndarray) -> None:
+        self._file.write(values.astype(np.int64).tobytes())
+        self._n += len(values)
+
+    def mapped(self) -> np.ndarray:
+        self._file.flush()
+        return np.asarray(np.memmap(self._file, np.int64, "r", shape=(self._n,))) if self._n else np.zeros(0, np.int64)
+
+
+class _Links:
+    """Each vertex's targets, ascending: those of ids[i] are others[first[i]:first[i + 1]]. Links of no vertex in ids are dropped."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.first, self._others = ids, _blank(len(ids) + 1, np.int64), _Numbers()
+
+    def put(self, a: np.ndarray, b: np.ndarray) -> None:
+        at = np.searchsorted(self.ids, a)
+        known = at < len(self.ids)
+        known[known] = self.ids[at[known]] == a[known]
+        places, n = np.unique(at[known], return_counts=True)
+        self.first[places + 1] += n
+        self._others.put(b[known])
+
+    def close(self) -> _Links:
+        np.cumsum(self.first, out=self.first)
+        self.others = self._others.mapped()
+        return self
+
+    def get(self, v: int, default: set[int] | None = None) -> set[int]:
+        i = int(np.searchsorted(self.ids, v))
+        if i == len(self.ids) or self.ids[i] != v:
+            return set() if default is None else default
+        return set(self.others[self.first[i] : self.first[i + 1]].tolist())
+
+
+def _chains(g: Graph, links: list[DataFrame], samples: int, run: Callable[..., Iterator[pa.RecordBatch]], schema: str, most_edges: int | None) -> DataFrame:
+    """The rows of run(sample, ids, *links) for each sample, with links(a, b) as _Links. A graph without vertices gives none."""
+    if most_edges is not None and max(g.edges.limit(most_edges + 1).count(), g.vertices.limit(most_edges + 1).count()) > most_edges:
+        raise ValueError(f"more than {most_edges} edges or vertices")
+    rows = g.vertices.select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    for k, pairs in enumerate(links, 1):
+        rows = rows.unionByName(pairs.toDF("a", "b").select(F.lit(k).alias("kind"), "a", "b"))
+    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_id"), "kind", "a", "b")
+    rows = rows.repartitionById(samples, F.col("sample_id")).sortWithinPartitions("sample_id", "kind", "a", "b")
+    n_links = len(links)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, ids, found = None, None, []
 
+        def close(upto: int) -> None:
+            """The vertices are whole once links come; links of a kind are whole once the next kind comes."""
+            nonlocal ids
+            while len(found) < upto:
+                if not found and isinstance(ids, _Numbers):
+                    ids = ids.mapped()
+                if found:
+                    found[-1].close()
+                found.append(_Links(ids))
 
-def _walk(g: Graph, target: int, count: str, jump: float, home_moves: bool, every: int, samples: int, seed: int, most_edges: int) -> DataFrame:
-    edges, ids = _local(g, most_edges)
-    distinct = len(edges.drop_duplicates())
-    if target > (distinct if count == "edges" else len(ids)):
+        def ended() -> Iterator[pa.RecordBatch]:
+            close(n_links)
+            found[-1].close()
+            return run(sample, ids, *found)
+
+        for batch in batches:
+            s, kind, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(kind) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
+                if i == j:
+                    continue
+                if sample != int(s[i]):
+                    if sample is not None:
+                        yield from ended()
+                    sample, ids, found = int(s[i]), _Numbers(), []
+                if kind[i] == 0:
+                    ids.put(a[i:j])
+                else:
+                    close(int(kind[i]))
+                    found[-1].put(a[i:j], b[i:j])
+        if sample is not None:
+            yield from ended()
+
+    return rows.mapInArrow(each, schema)
+
+
+def _walk(g: Graph, target: int, count: str, jump: float, home_moves: bool, every: int, samples: int, seed: int, most_edges: int | None) -> DataFrame:
+    pairs = g.edges.select("src", "dst")
+    if target > (pairs.distinct().count() if count == "edges" else g.vertices.count()):
         raise ValueError(f"target of {target} {count} cannot be reached")
-    sent = g.vertices.sparkSession.sparkContext.broadcast((edges["src"].to_numpy(), edges["dst"].to_numpy(), ids))
     limit = 200 * (target + 10) + 20 * every
+    names = ["sample_id", "kind", "src", "dst"]
+
+    def out(sample: int, kind: str, src: np.ndarray, dst: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(src), sample)), pa.array([kind] * len(src), pa.string()), pa.array(src), pa.nulls(len(src), pa.int64()) if dst is None else pa.array(dst)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    def run(sample: int) -> pd.DataFrame:
-        src, dst, ids = sent.value
-        first = np.searchsorted(src, ids)
-        last = np.searchsorted(src, ids, side="right")
-        span = {int(v): (int(a), int(z)) for v, a, z in zip(ids, first, last)}
+    def run(sample: int, vertices: np.ndarray, links: _Links) -> Iterator[pa.RecordBatch]:
+        """Vertices go by their place in order; an edge by the first place of its equals."""
+        n, ids, first, dst = len(vertices), memoryview(vertices), memoryview(links.first), memoryview(links.others)
+        seen_v, seen_e = _blank(n, np.uint8), _blank(len(dst), np.uint8)
+        in_v, in_e = memoryview(seen_v), memoryview(seen_e)
         draw = lambda what, n: int(uniform_value(seed, sample, moved, what) * n)
-        anywhere = lambda what: int(ids[draw(what, len(ids))])
         moved = 0
-        here = home = anywhere("start") if len(ids) else -1
-        seen_v, seen_e = {here}, set()
-        while (len(seen_e) if count == "edges" else len(seen_v)) < target:
+        here = home = draw("start", n)
+        in_v[here] = 1
+        n_v, n_e = 1, 0
+        while (n_e if count == "edges" else n_v) < target:
             moved += 1
             if moved > limit:
                 raise RuntimeError(f"{target} {count} not reached in {limit} steps: the walk cannot leave a part of the graph")
             if uniform_value(seed, sample, moved, "jump") < jump:
-                here = home if home_moves else anywhere("to")
+                here = home if home_moves else draw("to", n)
             if home_moves and moved % every == 0:
-                home = anywhere("home") if here == home else here
+                home = draw("home", n) if here == home else here
                 here = home
-            a, z = span[here]
+            a, z = first[here], first[here + 1]
             if z > a:
-                nxt = int(dst[a + draw("step", z - a)])
-                seen_e.add((here, nxt))
-                here = nxt
+                edge = a + draw("step", z - a)
+                nxt = dst[edge]
+                if edge > a and dst[edge - 1] == nxt:
+                    edge = bisect_left(dst, nxt, a, edge)
+                if not in_e[edge]:
+                    in_e[edge] = 1
+                    n_e += 1
+                here = bisect_left(ids, nxt)
+                if here == n or ids[here] != nxt:
+                    raise ValueError(f"an edge leads to {nxt}, which is no vertex")
             elif home_moves:  # a sink: home is left for good, as no step can leave it
-                here = home = anywhere("sink") if here == home else home
+                here = home = draw("sink", n) if here == home else home
             else:
-                here = anywhere("sink")
-            seen_v.add(here)
-        pairs = sorted(seen_e)
-        found = [(sample, "edge", a, b) for a, b in pairs] + [(sample, "vertex", v, None) for v in sorted(seen_v)]
-        return pd.DataFrame(found, columns=["sample_id", "kind", "src", "dst"]).astype({"dst": "Int64"})
+                here = draw("sink", n)
+            if not in_v[here]:
+                in_v[here] = 1
+                n_v += 1
+        for i in range(0, len(dst), _OUT_ROWS):
+            edges = i + np.flatnonzero(seen_e[i : i + _OUT_ROWS])
+            if len(edges):
+                yield out(sample, "edge", vertices[np.searchsorted(links.first, edges, side="right") - 1], links.others[edges])
+        for i in range(0, n, _OUT_ROWS):
+            yield out(sample, "vertex", vertices[i : i + _OUT_ROWS][seen_v[i : i + _OUT_ROWS] > 0], None)
 
-    return _chains(g, samples, run, "sample_id bigint, kind string, src bigint, dst bigint")
+    return _chains(g, [pairs], samples, run, "sample_id bigint, kind string, src bigint, dst bigint", most_edges)
 
 
-def random_walk_sample(g: Graph, fraction: float, samples: int = 1, seed: int = 42, back: float = 0.15, jump_every: int = 100_000, most_edges: int = MOST_EDGES) -> DataFrame:
+def random_walk_sample(g: Graph, fraction: float, samples: int = 1, seed: int = 42, back: float = 0.15, jump_every: int = 100_000, most_edges: int | None = None) -> DataFrame:
     """(sample_id, kind, src, dst): a walk over out-edges until floor(fraction * |E|) distinct edges are traversed.
 
     Rows of kind `edge` are edges, of kind `vertex` visited vertices (src). With probability `back` the walk goes home
@@ -98,12 +199,12 @@ def random_walk_sample(g: Graph, fraction: float, samples: int = 1, seed: int =
     return _walk(g, int(fraction * g.edges.count()), "edges", back, True, jump_every, samples, seed, most_edges)
 
 
-def random_jump_sample(g: Graph, fraction: float, samples: int = 1, seed: int = 42, jump: float = 0.15, most_edges: int = MOST_EDGES) -> DataFrame:
+def random_jump_sample(g: Graph, fraction: float, samples: int = 1, seed: int = 42, jump: float = 0.15, most_edges: int | None = None) -> DataFrame:
     """As random_walk_sample, but with probability `jump` the walk jumps to a uniform vertex before it steps."""
     return _walk(g, int(fraction * g.edges.count()), "edges", jump, False, 1, samples, seed, most_edges)
 
 
-def random_jump_vertices(g: Graph, fraction: float, samples: int = 1, seed: int = 42, jump: float = 0.15, most_edges: int = MOST_EDGES) -> DataFrame:
+def random_jump_vertices(g: Graph, fraction: float, samples: int = 1, seed: int = 42, jump: float = 0.15, most_edges: int | None = None) -> DataFrame:
     """As random_jump_sample until floor(fraction * |V|) distinct vertices are visited."""
     return _walk(g, int(fraction * g.vertices.count()), "vertices", jump, False, 1, samples, seed, most_edges)
 
@@ -128,13 +229,25 @@ def _adjacency(src: np.ndarray, dst: np.ndarray, direction: str) -> dict[int, se
     return adj
 
 
+def _by_degree(members: dict[int, int], linked: dict[int, int], direction: Direction, evaluation: Evaluation) -> dict[int, float]:
+    """degree -> value, from the members of each degree and the sum of their linked pairs."""
+    if evaluation is Evaluation.CLUSTERING:
+        pairs = lambda d: d * (d - 1) / (1 if direction == "either" else 2)
+        return {d: linked[d] / pairs(d) / n if d > 1 else 0.0 for d, n in members.items()}
+    out, total = {}, 0
+    for j, d in enumerate(sorted(members), 1):
+        total += members[d]
+        out[d] = total / j
+    return out
+
+
 class _Subset:
     """A vertex set's statistic, kept up to date under swaps: a swap looks at the two vertices' neighbourhoods only.
 
     Per degree it has the number of members and the sum of their linked pairs, both whole numbers, so nothing drifts.
     """
 
-    def __init__(self, chosen: set[int], adj: dict[int, set[int]], back: dict[int, set[int]], direction: str, evaluation: Evaluation):
+    def __init__(self, chosen: set[int], adj: dict[int, set[int]] | _Links, back: dict[int, set[int]] | _Links, direction: str, evaluation: Evaluation):
         self.chosen, self.adj, self.back, self.direction, self.evaluation = set(chosen), adj, back, direction, evaluation
         self.members: dict[int, int] = {}
         self.linked: dict[int, int] = {}
@@ -170,14 +283,7 @@ class _Subset:
             self._count(self.own[v], 1)
 
     def statistic(self) -> dict[int, float]:
-        if self.evaluation is Evaluation.CLUSTERING:
-            pairs = lambda d: d * (d - 1) / (1 if self.direction == "either" else 2)
-            return {d: self.linked[d] / pairs(d) / n if d > 1 else 0.0 for d, n in self.members.items()}
-        out, total = {}, 0
-        for j, d in enumerate(sorted(self.members), 1):
-            total += self.members[d]
-            out[d] = total / j
-        return out
+        return _by_degree(self.members, self.linked, self.direction, self.evaluation)
 
 
 def _norm(a: dict[int, float], b: dict[int, float], evaluation: Evaluation) -> float:
@@ -187,40 +293,51 @@ def _norm(a: dict[int, float], b: dict[int, float], evaluation: Evaluation) -> f
     return sum(diff) / len(diff) if evaluation is Evaluation.CLUSTERING else max(diff)
 
 
-def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float, direction: Direction = "either", evaluation: Evaluation = Evaluation.DEGREES, chains: int = 1, seed: int = 42, most_edges: int = MOST_EDGES) -> DataFrame:
+def _whole(g: Graph, direction: Direction, evaluation: Evaluation) -> dict[int, float]:
+    """The graph's own statistic: a row for each degree comes to the driver, with whole numbers, so it equals _Subset's to the bit."""
+    if evaluation is Evaluation.CLUSTERING:
+        pairs = F.col("degree") * (F.col("degree") - 1) / (1 if direction == "either" else 2)
+        rows, linked = local_clustering(g, direction), F.sum(F.round(F.col("cc") * pairs).cast("bigint"))
+    else:
+        rows, linked = set_degrees(g, direction), F.lit(0).cast("bigint")
+    found = rows.groupBy("degree").agg(F.count(F.lit(1)).alias("n"), linked.alias("linked")).collect()
+    return _by_degree({r["degree"]: r["n"] for r in found}, {r["degree"]: r["linked"] for r in found}, direction, evaluation)
+
+
+def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float, direction: Direction = "either", evaluation: Evaluation = Evaluation.DEGREES, chains: int = 1, seed: int = 42, most_edges: int | None = None) -> DataFrame:
     """(sample_id, id, norm): per chain the best vertex set of floor(fraction * |V|) met, and its distance to the graph.
 
     A move swaps a member for an outsider and is accepted with probability (old / new) ** power. An empty set has no rows.
     """
-    edges, ids = _local(g, most_edges)
-    size = int(fraction * len(ids))
-    sent = g.vertices.sparkSession.sparkContext.broadcast((edges["src"].to_numpy(), edges["dst"].to_numpy(), ids))
-
-    def run(sample: int) -> pd.DataFrame:
-        src, dst, ids = sent.value
-        r = np.random.default_rng([seed, sample])
-        adj = _adjacency(src, dst, direction)
-        back = adj if direction == "either" else _adjacency(dst, src, direction)
-        full = _Subset(set(ids.tolist()), adj, back, direction, evaluation).statistic()
-        order = r.permutation(ids).tolist()
+    near = lambda d: neighbor_sets(g.edges, d)
+    links = [near(direction)] if direction == "either" else [near(direction), near("in" if direction == "out" else "out")]
+    full = _whole(g, direction, evaluation)
+
+    def run(sample: int, ids: np.ndarray, adj: _Links, back: _Links | None = None) -> Iterator[pa.RecordBatch]:
+        r, size = np.random.default_rng([seed, sample]), int(fraction * len(ids))
+        order = r.permutation(ids)
         inside, outside = order[:size], order[size:]
-        now = _Subset(set(inside), adj, back, direction, evaluation)
+        now = _Subset(set(inside.tolist()), adj, back or adj, direction, evaluation)
         old = best = _norm(now.statistic(), full, evaluation)
-        top = set(inside)
-        for _ in range(iterations if inside and outside else 0):
+        top = set(now.chosen)
+        for _ in range(iterations if len(inside) and len(outside) else 0):
             i, j = int(r.integers(len(inside))), int(r.integers(len(outside)))
-            now.swap(inside[i], outside[j])
+            leaves, enters = int(inside[i]), int(outside[j])
+            now.swap(leaves, enters)
             new = _norm(now.statistic(), full, evaluation)
             if new <= 0 or r.random() < (old / new) ** power:
                 old = new
-                inside[i], outside[j] = outside[j], inside[i]
+                inside[i], outside[j] = enters, leaves
                 if new < best:
                     best, top = new, set(now.chosen)
             else:
-                now.swap(outside[j], inside[i])
-        return pd.DataFrame({"sample_id": sample, "id": sorted(top), "norm": best}, columns=["sample_id", "id", "norm"])
+                now.swap(enters, leaves)
+        found = np.fromiter(sorted(top), np.int64, len(top))
+        for i in range(0, len(found), _OUT_ROWS):
+            part = found[i : i + _OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sample)), pa.array(part), pa.array(np.full(len(part), best))], ["sample_id", "id", "norm"])
 
-    return _chains(g, chains, run, "sample_id bigint, id bigint, norm double")
+    return _chains(g, links, chains, run, "sample_id bigint, id bigint, norm double", most_edges)
 
 
 def statistic(g: Graph, direction: Direction, evaluation: Evaluation, chosen: DataFrame | None = None) -> DataFrame:
@@ -239,8 +356,6 @@ def subset_norm(g: Graph, chosen: DataFrame, direction: Direction = "either", ev
 
 def swapped_degrees(g: Graph, degrees: DataFrame, chosen: DataFrame, added: int, removed: int, direction: Direction = "either") -> DataFrame:
     """degrees(id, degree) of chosen(id) after `removed` leaves and `added` enters, from the two vertices' edges alone."""
-    from vertexlens.graph import neighbor_sets
-
     rows = neighbor_sets(g.edges, direction)
     stays = chosen.where(F.col("id") != removed).select("id")
     # v's degree counts its neighbours inside: one less for those that have `removed` as one, one more for `added`
@@ -257,8 +372,6 @@ def swapped_coefficients(g: Graph, coefficients: DataFrame, chosen: DataFrame, a
 
     That is at `added`, at members with either vertex in their neighbour set, and at no others.
     """
-    from vertexlens.graph import neighbor_sets
-
     own = g.vertices.sparkSession.range(1).select(F.lit(added).cast("bigint").alias("id"))
     inside = chosen.select("id").where(F.col("id") != removed).unionByName(own)
     near = cut_lineage(neighbor_sets(g.edges, direction).where(F.col("other").isin(added, removed)).select("id").unionByName(own).distinct())
