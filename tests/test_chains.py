@@ -58,3 +58,7 @@ def test_random_walk_streams(g):
     target = int(0.2 * len(EDGES))
     for every in (100_000, 30):
         same(wk.random_walk_sample(g, 0.2, samples=3, jump_every=every), *(plain(s, target, True, 0.15, True, every) for s in range(3)))
+
+
+def test_random_jump_sample_streams(g):
+    same(wk.random_jump_sample(g, 0.3, samples=2), *(plain(s, int(0.3 * len(EDGES)), True, 0.15, False) for s in range(2)))
