@@ -62,3 +62,7 @@ def test_random_walk_streams(g):
 
 def test_random_jump_sample_streams(g):
     same(wk.random_jump_sample(g, 0.3, samples=2), *(plain(s, int(0.3 * len(EDGES)), True, 0.15, False) for s in range(2)))
+
+
+def test_random_jump_vertices_streams(g):
+    same(wk.random_jump_vertices(g, 0.7, samples=2), *(plain(s, int(0.7 * len(IDS)), False, 0.15, False) for s in range(2)))
