@@ -66,3 +66,22 @@ def test_random_jump_sample_streams(g):
 
 def test_random_jump_vertices_streams(g):
     same(wk.random_jump_vertices(g, 0.7, samples=2), *(plain(s, int(0.7 * len(IDS)), False, 0.15, False) for s in range(2)))
+
+
+def test_metropolis_streams(g):
+    for direction in ("either", "out", "in"):
+        for evaluation in wk.Evaluation:
+            rows = wk.metropolis_sample(g, 0.4, 12, 5.0, direction, evaluation, chains=2).collect()
+            for s in (0, 1):
+                own = [r for r in rows if r.sample_id == s]
+                adj = {v: set() for v in IDS}
+                for a, b in EDGES:
+                    for x, y in ((a, b),) * (direction != "in") + ((b, a),) * (direction != "out"):
+                        adj[x].add(y)
+                sets = [wk._Subset(set(x), adj, adj, direction, evaluation).statistic() for x in ([r.id for r in own], IDS)]
+                assert len(own) == int(0.4 * len(IDS)) and {r.norm for r in own} == {wk._norm(*sets, evaluation)}
+
+
+def test_no_vertices_no_rows(spark):
+    none = Graph.from_edges(spark.createDataFrame([], "src bigint, dst bigint"))
+    assert wk.metropolis_sample(none, 0.4, 5, 5.0).count() == 0 and wk.random_jump_vertices(none, 0.5).count() == 0
