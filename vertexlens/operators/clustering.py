@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexlens.graph import Direction, Graph, degrees, neighbor_sets
 from vertexlens.lineage import cut_lineage
+from vertexlens.operators.triangles import triangles
 
 
 def closed_triangles(edges: DataFrame) -> DataFrame:
@@ -28,12 +29,6 @@ def closed_triangles(edges: DataFrame) -> DataFrame:
     return wedge.join(closing, ["v", "w"])
 
 
-def triangles(g: Graph) -> DataFrame:
-    """(id, triangles) of every vertex in the undirected simple graph."""
-    count = closed_triangles(g.edges).select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return g.vertices.select("id").join(count, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles"))
-
-
 def global_clustering(g: Graph) -> DataFrame:
     """(id, cc): 2 triangles / (d (d - 1)) with the multigraph degree d, 0 where d < 2."""
     d = degrees(g.edges, "either")
