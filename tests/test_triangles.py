@@ -59,3 +59,10 @@ def test_global_clustering_joins_no_wedges(spark, no_wedges):
         degree[v] = degree.get(v, 0) + 1
     rows = cl.global_clustering(Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))).collect()
     assert {r.id: round(r.cc, 9) for r in rows} == {v: round(2 * t / (degree[v] * (degree[v] - 1)), 9) if degree[v] > 1 else 0 for v, t in found.items()}
+
+
+def test_triangle_count_joins_no_wedges(spark, no_wedges):
+    g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
+    alone = spark.createDataFrame([(7777, 1)], "id bigint, attr int")
+    assert {r.id: r.triangles for r in cl.triangles(Graph(g.vertices.unionByName(alone), g.edges)).collect()} == plain(EDGES) | {7777: 0}
+    assert cl.triangles(Graph(alone, g.edges.limit(0))).collect() == [(7777, 0)]
