@@ -8,6 +8,7 @@ import pytest
 from vertexlens.graph import Graph
 from vertexlens.operators import clustering as cl
 from vertexlens.operators import triangles as tr
+from vertexlens.plans.experiment import run_experiment
 
 _R = random.Random(9)
 #: Two hubs with an edge between them, loops, edges both ways and repeated ones; ids of both signs and 60 bits.
@@ -66,3 +67,9 @@ def test_triangle_count_joins_no_wedges(spark, no_wedges):
     alone = spark.createDataFrame([(7777, 1)], "id bigint, attr int")
     assert {r.id: r.triangles for r in cl.triangles(Graph(g.vertices.unionByName(alone), g.edges)).collect()} == plain(EDGES) | {7777: 0}
     assert cl.triangles(Graph(alone, g.edges.limit(0))).collect() == [(7777, 0)]
+
+
+def test_experiment_joins_no_wedges(spark, no_wedges):
+    g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
+    assert run_experiment(g, "no sampling", 1.0, "triangleCount").first()["metricScore"] == 0
+    assert run_experiment(g, "edge", 0.5, "triangleCount").first()["metricScore"] > 0
