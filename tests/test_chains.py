@@ -5,8 +5,9 @@ import random
 import pytest
 
 from vertexlens.functions.rng import uniform_value
-from vertexlens.graph import Graph
+from vertexlens.graph import Graph, ends
 from vertexlens.operators import walkers as wk
+from vertexlens.operators.triangles import unpack
 
 _R = random.Random(5)
 #: Parallel edges, loops, sinks (50 to 59) and vertices without edges (90 to 94).
@@ -82,6 +83,40 @@ def test_metropolis_streams(g):
                 assert len(own) == int(0.4 * len(IDS)) and {r.norm for r in own} == {wk._norm(*sets, evaluation)}
 
 
+@pytest.fixture
+def short_runs(spark, monkeypatch):
+    """Packed runs of a few links."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(wk, "_PACKED", 7)
+    spark.conf.set(name, 5)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_links_are_packed_in_order(g, short_runs):
+    pairs = [p for a, b in EDGES for p in ((a, b), (b, a))]
+    for distinct, links in ((False, sorted(pairs)), (True, sorted(set(pairs)))):
+        found = [[], []]
+        rows = sorted(map(tuple, wk._packed(g, [ends(g.edges, "either")], distinct).collect()))
+        for kind, *_, blob in rows:
+            found[kind] += zip(*(c.tolist() for c in unpack(bytes(blob), 2)))
+        assert found == [[(v, 0) for v in IDS], links] and len(rows) > 20
+
+
+def test_metropolis_shuffles_no_sets(g, short_runs, monkeypatch):
+    """The neighbour sets and the graph's degrees come from the packed links, which the chains share."""
+
+    def refuse(*_):
+        raise AssertionError("neighbour sets are shuffled")
+
+    whole = [sorted(map(tuple, wk.metropolis_sample(g, 0.4, 12, 5.0, "in", chains=n).collect())) for n in (3, 1)]
+    monkeypatch.setattr(wk, "neighbor_sets", refuse)
+    monkeypatch.setattr(wk, "set_degrees", refuse)
+    again = sorted(map(tuple, wk.metropolis_sample(g, 0.4, 12, 5.0, "in", chains=3).collect()))
+    assert again == whole[0] and [r for r in again if r[0] == 0] == whole[1]
+
+
 def test_no_vertices_no_rows(spark):
     none = Graph.from_edges(spark.createDataFrame([], "src bigint, dst bigint"))
     assert wk.metropolis_sample(none, 0.4, 5, 5.0).count() == 0 and wk.random_jump_vertices(none, 0.5).count() == 0

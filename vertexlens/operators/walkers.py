@@ -2,7 +2,7 @@
 
 Both are sequential by nature: the next state depends on the last. One chain runs in one task, whose graph streams to it
 in order and lies in mapped files of the task's local folder, whatever its size; the driver holds none of it. What is
-distributed is the chains, by sample id.
+distributed is the sorting of the graph, once for all chains, and the chains, by sample id.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform_value
-from vertexlens.graph import Direction, Graph, neighbor_sets
+from vertexlens.graph import Direction, Graph, ends, neighbor_sets
 from vertexlens.lineage import cut_lineage
 from vertexlens.operators.clustering import degree_cumavg, global_clustering, local_clustering, set_degrees
 from vertexlens.operators.metrics import NORMS, l1_vertices
 from vertexlens.operators.sampling import node_sample
+from vertexlens.operators.triangles import pack, unpack
 
-#: Result rows of a chain that leave its task at a time.
-_OUT_ROWS = 100_000
+#: Result rows of a chain that leave its task at a time, and links of a packed row.
+_OUT_ROWS, _PACKED = 100_000, 100_000
 
 
 def _file():
@@ -81,15 +82,54 @@ class _Links:
         return set(self.others[self.first[i] : self.first[i + 1]].tolist())
 
 
-def _chains(g: Graph, links: list[DataFrame], samples: int, run: Callable[..., Iterator[pa.RecordBatch]], schema: str, most_edges: int | None) -> DataFrame:
-    """The rows of run(sample, ids, *links) for each sample, with links(a, b) as _Links. A graph without vertices gives none."""
-    if most_edges is not None and max(g.edges.limit(most_edges + 1).count(), g.vertices.limit(most_edges + 1).count()) > most_edges:
-        raise ValueError(f"more than {most_edges} edges or vertices")
+def _packed(g: Graph, links: list[DataFrame], distinct: bool) -> DataFrame:
+    """(kind, a0, b0, a1, b1, blob): vertices as kind 0, links as 1 and up, in packed runs told by their first and last pair.
+
+    Sorted in parallel, by ranges; in order of all columns but the blob the runs are each kind in order of (a, b). With
+    distinct, equal links are one: they meet in one range.
+    """
     rows = g.vertices.select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"))
     for k, pairs in enumerate(links, 1):
         rows = rows.unionByName(pairs.toDF("a", "b").select(F.lit(k).alias("kind"), "a", "b"))
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_id"), "kind", "a", "b")
-    rows = rows.repartitionById(samples, F.col("sample_id")).sortWithinPartitions("sample_id", "kind", "a", "b")
+    most = _PACKED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size, last = -1, [], 0, None
+
+        def full() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, last
+            a, b = map(np.concatenate, zip(*held))
+            if distinct and of:
+                new = np.concatenate([[(of, a[0], b[0]) != last], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                last = of, a[-1], b[-1]
+                a, b = a[new], b[new]
+            held, size = [], 0
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([of], pa.int32())} | {c: [int(x)] for c, x in zip(("a0", "b0", "a1", "b1"), (a[0], b[0], a[-1], b[-1]))} | {"blob": pa.array([pack(a, b)], pa.binary())})
+
+        for batch in batches:
+            kind, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = (np.flatnonzero(np.diff(kind)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(kind)]):
+                if i < j:
+                    if held and (kind[i] != of or size >= most):
+                        yield from full()
+                    of = int(kind[i])
+                    held.append((a[i:j], b[i:j]))
+                    size += j - i
+        if held:
+            yield from full()
+
+    rows = rows.repartitionByRange("kind", "a", "b").sortWithinPartitions("kind", "a", "b")
+    return rows.mapInArrow(run, "kind int, a0 bigint, b0 bigint, a1 bigint, b1 bigint, blob binary")
+
+
+def _chains(g: Graph, links: list[DataFrame], samples: int, run: Callable[..., Iterator[pa.RecordBatch]], schema: str, most_edges: int | None, distinct: bool = False) -> DataFrame:
+    """The rows of run(sample, ids, *links) for each sample, with links(a, b) as _Links. A graph without vertices gives none."""
+    if most_edges is not None and max(g.edges.limit(most_edges + 1).count(), g.vertices.limit(most_edges + 1).count()) > most_edges:
+        raise ValueError(f"more than {most_edges} edges or vertices")
+    rows = _packed(g, links, distinct).select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_id"), "*")
+    rows = rows.repartitionById(samples, F.col("sample_id")).sortWithinPartitions("sample_id", "kind", "a0", "b0", "a1", "b1").select("sample_id", "kind", "blob")
     n_links = len(links)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +151,18 @@ def _chains(g: Graph, links: list[DataFrame], samples: int, run: Callable[..., I
             return run(sample, ids, *found)
 
         for batch in batches:
-            s, kind, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(kind) != 0)) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
-                if i == j:
-                    continue
-                if sample != int(s[i]):
+            for s, kind, blob in zip(*batch.columns):
+                s, kind = s.as_py(), kind.as_py()
+                if sample != s:
                     if sample is not None:
                         yield from ended()
-                    sample, ids, found = int(s[i]), _Numbers(), []
-                if kind[i] == 0:
-                    ids.put(a[i:j])
+                    sample, ids, found = s, _Numbers(), []
+                a, b = unpack(blob.as_buffer().to_pybytes(), 2)
+                if kind == 0:
+                    ids.put(a)
                 else:
-                    close(int(kind[i]))
-                    found[-1].put(a[i:j], b[i:j])
+                    close(kind)
+                    found[-1].put(a, b)
         if sample is not None:
             yield from ended()
 
@@ -293,15 +331,11 @@ def _norm(a: dict[int, float], b: dict[int, float], evaluation: Evaluation) -> f
     return sum(diff) / len(diff) if evaluation is Evaluation.CLUSTERING else max(diff)
 
 
-def _whole(g: Graph, direction: Direction, evaluation: Evaluation) -> dict[int, float]:
-    """The graph's own statistic: a row for each degree comes to the driver, with whole numbers, so it equals _Subset's to the bit."""
-    if evaluation is Evaluation.CLUSTERING:
-        pairs = F.col("degree") * (F.col("degree") - 1) / (1 if direction == "either" else 2)
-        rows, linked = local_clustering(g, direction), F.sum(F.round(F.col("cc") * pairs).cast("bigint"))
-    else:
-        rows, linked = set_degrees(g, direction), F.lit(0).cast("bigint")
-    found = rows.groupBy("degree").agg(F.count(F.lit(1)).alias("n"), linked.alias("linked")).collect()
-    return _by_degree({r["degree"]: r["n"] for r in found}, {r["degree"]: r["linked"] for r in found}, direction, evaluation)
+def _coefficients(g: Graph, direction: Direction) -> dict[int, float]:
+    """The graph's own coefficients: a row for each degree comes to the driver, with whole numbers, so it equals _Subset's to the bit."""
+    pairs = F.col("degree") * (F.col("degree") - 1) / (1 if direction == "either" else 2)
+    found = local_clustering(g, direction).groupBy("degree").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("cc") * pairs).cast("bigint")).alias("linked")).collect()
+    return _by_degree({r["degree"]: r["n"] for r in found}, {r["degree"]: r["linked"] for r in found}, direction, Evaluation.CLUSTERING)
 
 
 def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float, direction: Direction = "either", evaluation: Evaluation = Evaluation.DEGREES, chains: int = 1, seed: int = 42, most_edges: int | None = None) -> DataFrame:
@@ -309,11 +343,14 @@ def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float,
 
     A move swaps a member for an outsider and is accepted with probability (old / new) ** power. An empty set has no rows.
     """
-    near = lambda d: neighbor_sets(g.edges, d)
-    links = [near(direction)] if direction == "either" else [near(direction), near("in" if direction == "out" else "out")]
-    full = _whole(g, direction, evaluation)
+    links = [ends(g.edges, d) for d in ([direction] if direction == "either" else [direction, "in" if direction == "out" else "out"])]
+    known = _coefficients(g, direction) if evaluation is Evaluation.CLUSTERING else None
 
     def run(sample: int, ids: np.ndarray, adj: _Links, back: _Links | None = None) -> Iterator[pa.RecordBatch]:
+        full = known
+        if full is None:
+            degree, n = np.unique(np.diff(adj.first), return_counts=True)
+            full = _by_degree(dict(zip(degree.tolist(), n.tolist())), {}, direction, evaluation)
         r, size = np.random.default_rng([seed, sample]), int(fraction * len(ids))
         order = r.permutation(ids)
         inside, outside = order[:size], order[size:]
@@ -337,7 +374,7 @@ def metropolis_sample(g: Graph, fraction: float, iterations: int, power: float,
             part = found[i : i + _OUT_ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sample)), pa.array(part), pa.array(np.full(len(part), best))], ["sample_id", "id", "norm"])
 
-    return _chains(g, links, chains, run, "sample_id bigint, id bigint, norm double", most_edges)
+    return _chains(g, links, chains, run, "sample_id bigint, id bigint, norm double", most_edges, distinct=True)
 
 
 def statistic(g: Graph, direction: Direction, evaluation: Evaluation, chosen: DataFrame | None = None) -> DataFrame:
