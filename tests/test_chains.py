@@ -121,6 +121,10 @@ def test_jump_vertices_over_short_runs(g, short_runs):
     same(wk.random_jump_vertices(g, 0.7, samples=2), *(plain(s, int(0.7 * len(IDS)), False, 0.15, False) for s in range(2)))
 
 
+def test_jump_sample_over_short_runs(g, short_runs):
+    same(wk.random_jump_sample(g, 0.3, samples=2), *(plain(s, int(0.3 * len(EDGES)), True, 0.15, False) for s in range(2)))
+
+
 def test_no_vertices_no_rows(spark):
     none = Graph.from_edges(spark.createDataFrame([], "src bigint, dst bigint"))
     assert wk.metropolis_sample(none, 0.4, 5, 5.0).count() == 0 and wk.random_jump_vertices(none, 0.5).count() == 0
