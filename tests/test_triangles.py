@@ -73,3 +73,44 @@ def test_experiment_joins_no_wedges(spark, no_wedges):
     g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
     assert run_experiment(g, "no sampling", 1.0, "triangleCount").first()["metricScore"] == 0
     assert run_experiment(g, "edge", 0.5, "triangleCount").first()["metricScore"] > 0
+
+
+@pytest.mark.parametrize("bounds", [{}, {"SECOND_EDGES": 40, "CHECKED": 9, "WEDGES": 7}])
+@pytest.mark.parametrize("stretch", [1, -(1 << 53)])
+def test_a_block_tells_of_a_vertex_once(monkeypatch, bounds, stretch):
+    """However many second blocks a first one meets, its triangles come as one count a vertex."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(tr, name, value)
+    places, n_blocks = 11, 5
+    higher = {}
+    for a, b in {(min(e) * stretch, max(e) * stretch) for e in EDGES if e[0] != e[1]}:
+        higher.setdefault(a, []).append(b)
+    held = {}
+    for a in sorted(higher):
+        held.setdefault(int(tr.place_of(np.array([a]), places)[0]) % n_blocks, []).append((a, sorted(higher[a])))
+    packed = {k: (tr.pack(np.array([a for a, _ in x]), np.array([len(o) for _, o in x])), tr.pack(np.array([w for _, o in x for w in o]))) for k, x in held.items()}
+    total = {}
+    for k, own in packed.items():
+        first = tr._First(*own, places, n_blocks)
+        for k2, other in packed.items():
+            first.put(k2, *other)
+        ids, n = first.found()
+        assert (np.diff(ids) > 0).all() and (n > 0).all()
+        for v, c in zip(ids.tolist(), n.tolist()):
+            total[v] = total.get(v, 0) + c
+    assert total == {v * stretch: t for v, t in plain(EDGES).items() if t}
+
+
+@pytest.mark.parametrize("seconds", [1, 3])
+def test_triangles_of_many_blocks(spark, monkeypatch, seconds):
+    """Tasks of a first block with several seconds, or with one."""
+    for name, value in {"TASK_LINKS": 60, "BLOCK_EDGES": 70, "SECONDS": seconds}.items():
+        monkeypatch.setattr(tr, name, value)
+    before = spark.conf.get(tr._BATCH)
+    g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
+    assert {r.id: r.triangles for r in cl.triangles(g).collect()} == plain(EDGES) and spark.conf.get(tr._BATCH) == before
+
+
+def test_links_tell_sizes_of_degrees():
+    """A few values for all degrees, so that they pack into less than a degree does."""
+    assert tr._bits(np.array([1, 2, 3, 4, 1023, 1024, (1 << 40) - 1])).tolist() == [1, 2, 2, 3, 10, 11, 40]
