@@ -8,6 +8,7 @@ import pytest
 from vertexlens.graph import Graph
 from vertexlens.operators import clustering as cl
 from vertexlens.operators import triangles as tr
+from vertexlens.operators.sampling import edge_sample
 from vertexlens.plans.experiment import run_experiment
 
 _R = random.Random(9)
@@ -114,3 +115,14 @@ def test_triangles_of_many_blocks(spark, monkeypatch, seconds):
 def test_links_tell_sizes_of_degrees():
     """A few values for all degrees, so that they pack into less than a degree does."""
     assert tr._bits(np.array([1, 2, 3, 4, 1023, 1024, (1 << 40) - 1])).tolist() == [1, 2, 2, 3, 10, 11, 40]
+
+
+def test_experiment_over_many_blocks(spark, monkeypatch):
+    """Both graphs' counts lie in a few files, and the error is that of plain counts over the sample's vertices."""
+    for name, value in {"TASK_LINKS": 60, "BLOCK_EDGES": 70}.items():
+        monkeypatch.setattr(tr, name, value)
+    g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
+    assert tr.triangle_counts(g.edges).rdd.getNumPartitions() <= -(-2 * len(EDGES) // 60 // 8) + 1
+    whole, part = plain(EDGES), plain([(r.src, r.dst) for r in edge_sample(g, 0.5, 42).edges.collect()])
+    error = sum(abs(whole[v] - part[v]) for v in part) / len(part)
+    assert abs(run_experiment(g, "edge", 0.5, "triangleCount", seed=42).first()["metricScore"] - error) < 1e-9

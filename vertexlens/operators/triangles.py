@@ -348,7 +348,7 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
     # neighbouring pairs of blocks have the same first block
     pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).coalesce(n_blocks * -(-n_blocks // SECONDS))
     found = pairs.mapInArrow(run, "place bigint, blob binary").repartitionById(places, F.col("place").cast("int"))
-    found = found.mapInArrow(total, "id bigint, triangles bigint")
+    found = found.mapInArrow(total, "id bigint, triangles bigint").coalesce(-(-places // 8))  # fewer files, a place in memory at a time
     conf, before = edges.sparkSession.conf, edges.sparkSession.conf.get(_BATCH)
     conf.set(_BATCH, 1)  # one pair of blocks in memory at a time
     try:
