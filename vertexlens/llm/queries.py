@@ -10,6 +10,7 @@ from vertexlens.llm.repeats import OP10_SQL, op10_repeated_passages
 from vertexlens.llm.rules import OP3_SQL, op3_quality_rules
 from vertexlens.llm.tokens import op6_token_counts
 from vertexlens.llm.toxicity import op9_toxicity
+from vertexlens.llm.urls import OP11_SQL, op11_url_filters
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_url_filters": op11_url_filters,
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_passages": OP10_SQL, "op11_url_filters": OP11_SQL}
