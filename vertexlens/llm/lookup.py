@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexlens.llm.frames import BROADCAST_BYTES
 
 #: A key with over 1/HEAVY of all uses is heavy, so there are at most HEAVY heavy keys, whatever the size of the tables.
-HEAVY = 1 << 16
+HEAVY = 1 << 18
 #: Bytes of a key beyond which it is left to the shuffle, so that what is broadcast of heavy keys is bounded.
-KEY_BYTES = 256
+KEY_BYTES = 64
 
 
 def with_values(rows: DataFrame, values: DataFrame, key: str, uses: str = "uses", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -21,7 +21,6 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, uses: str = "uses"
     rows, but for keys over KEY_BYTES, which Spark's skew join splits. rows is then read twice.
     """
     n, size, total = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)), F.coalesce(F.sum(uses), F.lit(0))).first()
-    values = values.select(*values.columns)
     if size + 48 * n <= broadcast_bytes:
         return rows.join(F.broadcast(values.drop(uses)), key)
     heavy = (F.col(uses) > total // HEAVY) & (F.octet_length(key) <= KEY_BYTES)
@@ -29,3 +28,8 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, uses: str = "uses"
     near = rows.join(F.broadcast(common), key)
     far = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(values.where(~heavy).drop(uses).hint("shuffle_merge"), key)
     return near.unionByName(far)
+
+
+def floor_div(a: Column, b: Column) -> Column:
+    """a / b as whole number, rounded down, of longs up to 2^53 times b."""
+    return ((a - F.pmod(a, b)) / b).cast("bigint")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform, uniform_sql
 from vertexlens.llm.frames import cut_lineage, table
-from vertexlens.llm.lookup import with_values
+from vertexlens.llm.lookup import floor_div, with_values
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Marks before the first and after the last character of a URL.
@@ -116,11 +116,6 @@ def gram_ratios(counts: DataFrame, p: UrlParams) -> DataFrame:
     return known.select("gram", "uses", F.floor(F.lit(1e6) * (F.log("pna") - F.log("pnr"))).alias("bits"))
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    """a / b as whole number, rounded down, of longs up to 2^53 times b."""
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
-
-
 def url_scores(forms: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
     """(form, told, n, held, score) of forms(form, told, n): distinct pairs of a URL and a verdict (null: none) with its n rows.
 
