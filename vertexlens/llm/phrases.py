@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vertexlens.llm.frames import bounded_batches, broadcast_if_small, cut_lineage, table
+from vertexlens.lineage import written
+from vertexlens.llm.frames import bounded_batches, cut_lineage, table
 from vertexlens.llm.textbytes import LOWER, blocks, byte_table, runs
 from vertexlens.operators.triangles import pack, unpack
 
@@ -69,23 +71,21 @@ def positions(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.concat_arrays(found), np.concatenate(owners), np.concatenate(places)
 
 
-def extended(phrases: Lists, words: Lists, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase, word, position): each place of phrases of `length` words that the list of a word continues, if the phrase's own tail is listed too.
+def extended(phrases: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, tail, position): each place where a phrase is continued by the word behind it.
 
-    Both sides of the merge join are in order of position.
+    That word's postings are read from the lists of the phrases that end with it: the continued phrase's tail, of as many
+    words, starts one place later. A phrase whose tail has no list is not frequent. The merge join is in order of position,
+    where one phrase of a length starts at most.
     """
-    order, word_order = np.argsort(phrases[1], kind="stable"), np.argsort(words[1], kind="stable")
-    code, pos, word, word_pos = phrases[0][order], phrases[1][order], words[0][word_order], words[1][word_order]
-    if not len(pos) or not len(word_pos):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(word_pos, pos + length), len(word_pos) - 1)
-    tail = np.append(pos[1:] == pos[:-1] + 1, False)  # a phrase that starts at the next word; one starts at a place at most
-    met = (word_pos[at] == pos + length) & tail
-    return code[met], word[at[met]], pos[met]
+    order = np.argsort(phrases[1], kind="stable")
+    code, pos = phrases[0][order], phrases[1][order]
+    met = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    return code[met], code[met + 1], pos[met]
 
 
-_SCHEMA = "block bigint, words binary, word_ids binary, lists binary, code bigint, lang string, word string, prefix bigint, last bigint, n bigint"
-_ARROW = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("word_ids", pa.binary()), ("lists", pa.binary()), ("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("prefix", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
+_SCHEMA = "block bigint, lists binary, at bigint, lang string, word string, prefix bigint, tail bigint, n bigint"
+_ARROW = pa.schema([("block", pa.int64()), ("lists", pa.binary()), ("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("prefix", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
 
 
 def _rows(rows: int, **columns) -> pa.RecordBatch:
@@ -93,7 +93,7 @@ def _rows(rows: int, **columns) -> pa.RecordBatch:
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
-    """Of each block of docs(lang, text): a row with its lists, and rows (block, code, lang, word, n) of its distinct words."""
+    """Of each block of docs(lang, text): a row with its lists, and rows (at, lang, word, n) of its distinct words; at is block and code."""
     texts = bounded_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
 
     def listed(block: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def word_lists(docs: DataFrame) -> DataFrame:
         key = langs.indices.to_numpy().astype(np.int64)[text] * size + words.indices.to_numpy()
         key, code, n = np.unique(key, return_inverse=True, return_counts=True)
         yield _rows(1, block=[block], lists=[pack(*inverted(code, pos))])
-        yield _rows(len(key), block=np.full(len(key), block), code=np.arange(len(key)), lang=langs.dictionary.take(pa.array(key // size)), word=words.dictionary.take(pa.array(key % size)), n=n)
+        yield _rows(len(key), at=(block << _CODE_BITS) + np.arange(len(key)), lang=langs.dictionary.take(pa.array(key // size)), word=words.dictionary.take(pa.array(key % size)), n=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << _BLOCK_BITS, [], 0
@@ -122,76 +122,68 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _SCHEMA)
 
 
-def longer_lists(level: DataFrame, keys: DataFrame, length: int, more: bool) -> DataFrame:
-    """The next level of `level` (phrases of `length` words), of which only keys(at, code, id) of block `at` are frequent.
+def longer_lists(level: DataFrame, keys: DataFrame, more: bool) -> DataFrame:
+    """The next level of `level`, of whose phrases only keys(at, id) are frequent.
 
-    Of each block: a row with its lists, if `more`, and rows (block, code, prefix, last, n) of its distinct candidates, whose
-    prefix and last are the ids of the frequent phrase and the word that make it.
+    Of each block: a row with its lists, if `more`, and rows (at, prefix, tail, n) of its distinct candidates, whose prefix and
+    tail are the ids of the frequent phrases that are all of it but the last and the first word.
     """
 
     def run(state: pa.Table, known: pa.Table) -> pa.Table:
         if not state.num_rows or not known.num_rows:
             return _ARROW.empty_table()
-        block, words, word_ids, lists = (state.column(c)[0].as_py() for c in ("block", "words", "word_ids", "lists"))
-        code, pos = unpack(lists, 2)
-        frequent = known.column("code").to_numpy()
+        block = state.column("block")[0].as_py()
+        code, pos = unpack(state.column("lists")[0].as_buffer().to_pybytes(), 2)
+        frequent = known.column("at").to_numpy() & (1 << _CODE_BITS) - 1
         order = np.argsort(frequent)
         frequent, ids = frequent[order], known.column("id").to_numpy()[order]
         at = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
         stays = frequent[at] == code
-        phrases = at[stays], pos[stays]
-        if words is None:
-            followers, follower_ids = phrases, ids
-            words, word_ids = pack(*phrases), pack(ids)
-        else:
-            followers, (follower_ids,) = unpack(words, 2), unpack(word_ids, 1)
-        phrase, word, pos = extended(phrases, followers, length)
-        key, code, n = np.unique(phrase * len(follower_ids) + word, return_inverse=True, return_counts=True)
+        prefix, tail, pos = extended((at[stays], pos[stays]))
+        key, code, n = np.unique(prefix * len(ids) + tail, return_inverse=True, return_counts=True)
         if not len(key):
             return _ARROW.empty_table()
-        out = [_rows(len(key), block=np.full(len(key), block), code=np.arange(len(key)), prefix=ids[key // len(follower_ids)], last=follower_ids[key % len(follower_ids)], n=n)]
+        out = [_rows(len(key), at=(block << _CODE_BITS) + np.arange(len(key)), prefix=ids[key // len(ids)], tail=ids[key % len(ids)], n=n)]
         if more:
-            out.append(_rows(1, block=[block], words=[words], word_ids=[word_ids], lists=[pack(*inverted(code, pos))]))
+            out.append(_rows(1, block=[block], lists=[pack(*inverted(code, pos))]))
         return pa.Table.from_batches(out)
 
-    state = level.where("lists is not null").select("block", "words", "word_ids", "lists")
-    return state.groupBy("block").cogroup(keys.groupBy("at")).applyInArrow(run, _SCHEMA)
+    state = level.where("lists is not null").select("block", "lists")
+    told = keys.select(F.shiftright("at", _CODE_BITS).alias("of"), F.col("at").alias("at"), "id")
+    return state.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, _SCHEMA)
 
 
 def frequent_phrases(docs: DataFrame, p: PhraseParams) -> tuple[DataFrame, list[DataFrame]]:
-    """(totals(lang, n), levels): levels[0](id, lang, word, f), then (id, prefix, last, f) of each longer length, all frequent ones.
+    """(totals(lang, n), levels): levels[0](id, lang, word, f), then (id, prefix, tail, f) of each longer length, all frequent ones.
 
-    An id is the least (block, code) of the phrase, so no two phrases of a length share one. A block tells of each of its
-    phrases once, so no phrase is more than a small share of the rows that are summed or told back.
+    An id is the least (block, code) of the phrase, so no two phrases of a length share one. Counts are shuffled once: they
+    are summed by phrase, and the sum is told to each of the phrase's blocks from there. A block tells of each of its
+    phrases once, whatever it counts, so no phrase has more than a small share of the rows.
     """
-    level = cut_lineage(word_lists(docs))
-    totals = cut_lineage(level.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n")))
     levels = []
-    for length in range(1, p.longest + 1):
-        name = ("lang", "word") if length == 1 else ("prefix", "last")
-        counts = level.where("code is not null").select("block", "code", *name, "n")
-        found = counts.groupBy(*name).agg(F.sum("n").alias("f"), F.min(F.col("block") * (1 << _CODE_BITS) + F.col("code")).alias("id")).where(F.col("f") >= p.least)
-        levels.append(cut_lineage(found.select("id", *name, "f")))
-        if length < p.longest:
-            small = levels[-1].drop("f")
-            keys = counts.join(broadcast_if_small(small) if length > 1 else small, list(name)).select(F.col("block").alias("at"), "code", "id")
-            level = cut_lineage(longer_lists(level, keys, length, length + 1 < p.longest))
+    with ExitStack() as held:
+        level = held.enter_context(written(word_lists(docs)))
+        totals = cut_lineage(level.where("at is not null").groupBy("lang").agg(F.sum("n").alias("n")))
+        for length in range(1, p.longest + 1):
+            name = ("lang", "word") if length == 1 else ("prefix", "tail")
+            phrase = Window.partitionBy(*name)
+            counts = level.where("at is not null").select("at", *name, "n").withColumns({"f": F.sum("n").over(phrase), "id": F.min("at").over(phrase)})
+            found = cut_lineage(counts.where(F.col("f") >= p.least).drop("n"))
+            levels.append(found.where("at = id").drop("at"))
+            if length < p.longest:
+                with held.pop_all():  # a level's table goes as soon as the next one is written
+                    level = held.enter_context(written(longer_lists(level, found, length + 1 < p.longest)))
     return totals, levels
 
 
 def _parts(levels: list[DataFrame]) -> Iterator[DataFrame]:
     """Per length (id, lang, phrase, a, firsts, lasts, prefix, tail): firsts[k] and lasts[k] are the occurrences of the first and the last k words."""
-    words = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("f").alias("a"), F.array("f").alias("firsts"), F.array("f").alias("lasts"), F.lit(None).cast("bigint").alias("prefix"), F.lit(None).cast("bigint").alias("tail"))
-    yield words
-    before = words
-    for length, level in enumerate(levels[1:], 2):
-        head = before.select(F.col("id").alias("prefix"), "lang", "phrase", "firsts", F.col("tail").alias("middle"))
-        rows = level.join(head, "prefix").join(words.select(F.col("id").alias("last"), F.col("phrase").alias("word")), "last")
-        if length == 2:
-            rows = rows.withColumn("tail", F.col("last"))
-        else:  # the phrase without its first word: its prefix's tail and the same last word
-            rows = rows.join(levels[length - 2].select(F.col("prefix").alias("middle"), "last", F.col("id").alias("tail")), ["middle", "last"])
-        rows = rows.join(before.select(F.col("id").alias("tail"), "lasts"), "tail")
+    none = F.lit(None).cast("bigint")
+    before = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("f").alias("a"), F.array("f").alias("firsts"), F.array("f").alias("lasts"), none.alias("prefix"), none.alias("tail"))
+    yield before
+    for level in levels[1:]:
+        rows = level.join(before.select(F.col("id").alias("prefix"), "lang", "phrase", "firsts"), "prefix")
+        rows = rows.join(before.select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("word"), "lasts"), "tail")
         grown = lambda c: F.concat(c, F.array("f"))
         before = cut_lineage(rows.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.col("f").alias("a"), grown("firsts").alias("firsts"), grown("lasts").alias("lasts"), "prefix", "tail"))
         yield before
