@@ -28,7 +28,7 @@ from vertexlens.operators.triangles import pack, unpack
 _BREAK = byte_table(b".,;:!?\n\x0b\x0c\r")
 _GAP = _BREAK | byte_table(b" \t")
 #: Bytes of text in a block, and candidates that one task ranks.
-_BLOCK_BYTES, _RANKED = 16 << 20, 1_000_000
+_BLOCK_BYTES, _RANKED = 8 << 20, 1_000_000
 #: Bits of a partition's block numbers, and of a block's phrase codes.
 _BLOCK_BITS, _CODE_BITS = 10, 30
 
