@@ -58,3 +58,43 @@ def smallest(rows: DataFrame, u: str, share: float, *ties: str) -> DataFrame:
     inside = marked.where("left >= m")
     edge = marked.where("left < m").withColumn("_at", F.row_number().over(Window.partitionBy("_slice").orderBy(u, *ties))).where("_at <= left")
     return inside.drop("_slice", "m", "left").unionByName(edge.drop("_slice", "m", "left", "_at"))
+
+
+#: Rows of the slice that holds a boundary, beyond which the slice is cut again, and how often it may be.
+_EDGE_ROWS, _CUTS = 100_000, 6
+
+
+def least_within(rows: DataFrame, key: str, by: str, wanted: dict, *ties: str) -> DataFrame:
+    """Of each key's rows the wanted[key] of least `by` (a finite double, then ties), all if there are fewer; other keys have none.
+
+    by may be of any distribution: the values between a key's least and greatest are cut into SLICES, the slice that holds the
+    boundary is cut again while it has many rows, and only that slice's rows are ordered, by one task a key. Keys are few (layers, say): a
+    row of bounds each comes to the driver, and SLICES counts each stay on the executors.
+    """
+    found = rows.groupBy(key).agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    # what is below lo is in; the boundary is in [lo, hi], whose n rows give the `left` that are still wanted
+    bounds = {r[key]: (r["lo"], r["hi"], wanted.get(r[key], 0), r["n"]) for r in found}
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, lo double, hi double, left bigint"
+    spark = rows.sparkSession
+    for _ in range(_CUTS):
+        wide = [(k, lo, hi, left) for k, (lo, hi, left, n) in bounds.items() if 0 < left < n and n > _EDGE_ROWS and lo < hi]
+        if not wide:
+            break
+        held = rows.join(F.broadcast(spark.createDataFrame(wide, schema)), key).where(F.col(by).between(F.col("lo"), F.col("hi")))
+        at = F.least(F.lit(SLICES - 1), F.floor((F.col(by) - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)).cast("int")
+        sizes = held.groupBy(key, "left", at.alias("_slice")).agg(F.count(F.lit(1)).alias("m"), F.min(by).alias("lo"), F.max(by).alias("hi"))
+        before = F.coalesce(F.sum("m").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = sizes.withColumn("before", before).where("before < left and left <= before + m").collect()
+        for r in cut:
+            bounds[r[key]] = (r["lo"], r["hi"], r["left"] - r["before"], r["m"])
+    # all n rows are wanted: those below the greatest are in, and of those as great as it all are
+    last = spark.createDataFrame([(k, hi if left >= n else lo, hi, min(left, n)) for k, (lo, hi, left, n) in bounds.items() if left > 0], schema)
+    marked = rows.join(F.broadcast(last), key).where(F.col(by) <= F.col("hi"))
+    inside = marked.where(F.col(by) < F.col("lo")).select(rows.columns)
+    edge = marked.where(F.col(by) >= F.col("lo")).withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(by, *ties))).where("_at <= left")
+    return inside.unionByName(edge.select(rows.columns))
+
+
+def least_rows(rows: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of least `by` (then ties), all if there are fewer."""
+    return least_within(rows.withColumn("_all", F.lit(0)), "_all", by, {0: n}, *ties).drop("_all")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexlens.graph import Graph, degrees, ends, pregel
+from vertexlens.graph import Graph, degrees, ends, pregel, run_active
 from vertexlens.lineage import cut_lineage
 
 
@@ -154,3 +154,33 @@ def kcore(g: Graph, k: int) -> DataFrame:
 def kdegenerate(g: Graph, k: int) -> DataFrame:
     """(id): vertices outside the (k + 1)-core."""
     return g.vertices.select("id").join(kcore(g, k + 1), "id", "left_anti")
+
+
+def pagerank_active(g: Graph, tolerance: float = 0.001, reset: float = 0.15, most: int = 1000) -> tuple[DataFrame, list[int]]:
+    """((id, score), senders of each round): PageRank by rank deltas of the vertices that still move.
+
+    A vertex sends what its score has gained since it last sent, once that is over tolerance; no other one sends in a
+    round, and the rounds end by themselves, as at most 1 - reset of what is sent arrives. What is never sent is at most
+    tolerance a vertex, so no score is too high, and in sum they are too low by (1 - reset) / reset * tolerance * |V| at most.
+    """
+    links = by_source(g.edges)
+    state = g.vertices.select("id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain"))
+    flow = (F.col("gain") * F.col("w") * (1 - reset)).alias("gain")
+    state, sent = run_active(state, links.meet, F.col("gain") > tolerance, flow, F.sum, {"rank": F.col("rank") + F.col("message"), "gain": F.col("gain") + F.col("message")}, {"gain": F.lit(0.0)}, most)
+    links.unpersist()
+    return state.select("id", F.col("rank").alias("score")), sent
+
+
+def distances(g: Graph, sources: DataFrame, most: int = 10_000) -> tuple[DataFrame, list[int]]:
+    """((id, distance), senders of each round): edges of the shortest path from any of sources(id), null where there is none.
+
+    Only vertices reached in the last round send.
+    """
+    links = by_source(g.edges)
+    start = g.vertices.select("id").join(sources.select("id", F.lit(0).cast("bigint").alias("distance")).distinct(), "id", "left")
+    state = start.select("id", "distance", F.when(F.col("distance") == 0, F.lit(1)).otherwise(F.lit(0)).alias("new"))
+    reached = F.col("distance").isNull()
+    after = {"distance": F.coalesce("distance", "message"), "new": F.when(reached, F.lit(1)).otherwise(F.lit(0))}
+    state, sent = run_active(state, links.meet, F.col("new") == 1, (F.col("distance") + 1).alias("distance"), F.min, after, {"new": F.lit(0)}, most)
+    links.unpersist()
+    return state.select("id", "distance"), sent

@@ -6,6 +6,7 @@ A sample's edges are cached on first use, as its vertices and every query on it
 from __future__ import annotations
 
 import enum
+import math
 from collections.abc import Callable
 from typing import Protocol
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform
 from vertexlens.functions.scalars import dice, round_half_up
-from vertexlens.graph import Graph, neighbor_sets
-from vertexlens.operators.ranking import occurrences, rank_within, smallest
+from vertexlens.graph import Graph, degrees, neighbor_sets
+from vertexlens.lineage import cut_lineage
+from vertexlens.operators.ranking import least_within, occurrences, rank_within, smallest
+from vertexlens.sources.adjacency import stored
 
 
 class SampleKind(enum.Enum):
@@ -72,6 +75,33 @@ def layered_sample(g: Graph, fraction: float, sparse: DataFrame, dense: DataFram
     return g.induced(chosen.select("id", F.col("degree").cast("int").alias("attr")))
 
 
+def degree_layers(g: Graph) -> DataFrame:
+    """(id, degree, layer, weight): layers by the degree's power of two, at most 64 of them; the weight is the degree."""
+    d = degrees(g.edges)
+    return d.select("id", "degree", (F.length(F.bin("degree")) - 1).alias("layer"), F.col("degree").cast("double").alias("weight"))
+
+
+def weighted_subset(layers: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """Of each layer of layers(id, layer, weight, ...) exactly round-half-up(fraction * n) rows, without replacement, by weight.
+
+    Every vertex draws the key -ln(u) / weight, and a layer keeps its least ones: the first is drawn in proportion to the
+    weights, the next in proportion to those of the rest, and so on. A null weight, or one that is not positive, comes after all
+    others, by id. A layer's boundary is found in a histogram of keys. Layers are few: their sizes come to the driver.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction {fraction} is not in [0, 1]")
+    drawn = -F.log(F.greatest(uniform(seed, "id"), F.lit(1e-300))) / F.col("weight")
+    keyed = layers.withColumn("_key", F.coalesce(F.when(F.col("weight") > 0, F.least(drawn, F.lit(1e300))), F.lit(1e300)))
+    wanted = {r["layer"]: math.floor(fraction * r["n"] + 0.5) for r in layers.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return least_within(keyed, "layer", "_key", wanted, "id").drop("_key")
+
+
+def weighted_layered_sample(g: Graph, fraction: float, seed: int = 42, layers: DataFrame | None = None) -> Graph:
+    """weighted_subset of layers(id, layer, weight, degree), by default degree_layers, with the induced edges; attr is the degree."""
+    chosen = weighted_subset(degree_layers(g) if layers is None else layers, fraction, seed)
+    return g.induced(chosen.select("id", F.col("degree").cast("int").alias("attr")))
+
+
 def cocitation_weights(g: Graph, q: int) -> DataFrame:
     """(id, weight): similarity of each vertex's out-neighbour set N to Q = N(q) + {q}; null where it is 0 / 0.
 
@@ -132,3 +162,9 @@ def edge_samples(g: Graph, fraction: float, n: int, seed: int = 42) -> DataFrame
 def repeat(sample: Sampler, g: Graph, fraction: float, n: int, seed: int = 42) -> list[Graph]:
     """n independent samples by any sampler, with seeds seed, seed + 1, ..."""
     return [sample(g, fraction, seed + i) for i in range(n)]
+
+
+def repeat_stored(sample: Sampler, g: Graph, fraction: float, n: int, seed: int = 42) -> list[Graph]:
+    """As repeat, but g is stored once, bucketed by source, and the samples are drawn from there and written: no sample moves all edges by source."""
+    with stored(g) as kept:
+        return [Graph(cut_lineage(s.vertices), cut_lineage(s.edges)) for s in repeat(sample, kept.graph, fraction, n, seed)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from vertexlens.functions import scalars
 from vertexlens.functions.bloom import BloomFilter
 from vertexlens.functions.rng import geometric, geometric_continue, geometric_value, uniform, uniform_sql, uniform_value
-from vertexlens.graph import Graph, aggregate_messages, degrees, neighbor_attrs, neighbor_ids
-from vertexlens.lineage import shared_folder
+from vertexlens.graph import Graph, aggregate_messages, degrees, ends, neighbor_attrs, neighbor_ids
+from vertexlens.lineage import cut_lineage, shared_folder
 from vertexlens.operators import clustering as cl
+from vertexlens.operators import fires as fi
 from vertexlens.operators import metrics as me
 from vertexlens.operators import ranks as rk
 from vertexlens.operators import sampling as sa
@@ -23,6 +25,7 @@ from vertexlens.operators.components import component_count, connected_component
 from vertexlens.operators.split import split_by_degree
 from vertexlens.plans.experiment import run_experiment
 from vertexlens.sources import fixtures
+from vertexlens.sources.adjacency import stored
 from vertexlens.sources.edges import append_csv, canonical_edges, read_delimited_edges, read_edge_list, read_graph, write_graph
 
 SEED = 42
@@ -208,6 +211,15 @@ def _(spark, d):
     return sa.edge_samples(fixtures.graph(spark, d, "events"), FRACTION, 3, SEED).select("sample_id", "src", "dst")
 
 
+_REPEATS = [f"k{i} as (select id from v where {uniform_sql(SEED + i, 'id')} < {FRACTION})" for i in range(3)]
+
+
+@query("repeated_node_samples", _with("copurchase", *_REPEATS, final=" union all ".join(f"select {i} as sample_id, src, dst from e where src in (select id from k{i}) and dst in (select id from k{i})" for i in range(3))))
+def _(spark, d):
+    samples = sa.repeat_stored(sa.node_sample, fixtures.graph(spark, d, "copurchase"), FRACTION, 3, SEED)
+    return reduce(DataFrame.unionByName, (s.edges.select(F.lit(i).alias("sample_id"), "src", "dst") for i, s in enumerate(samples)))
+
+
 _SPLIT = (
     "g as (select id, count(*) as degree from (select unnest([src, dst]) as id from e) group by id)",
     "h as (select degree, count(*)::double as n from g group by degree)",
@@ -231,6 +243,23 @@ def _(spark, d):
     return _edge_rows(sa.layered_sample(g, FRACTION, sparse, dense, SEED))
 
 
+_WEIGHTED = (
+    "dg as (select id, count(*) as degree from (select unnest([src, dst]) as id from e) group by id)",
+    "ly as (select id, degree, length(bin(degree)) - 1 as layer from dg)",
+    f"wk as (select *, row_number() over (partition by layer order by -ln(greatest({uniform_sql(SEED, 'id')}, 1e-300)) / degree, id) as r, count(*) over (partition by layer) as n from ly)",
+)
+
+
+@query("weighted_layered_vertices", _with("copurchase", *_WEIGHTED, final=f"select id, degree, layer::int as layer from wk where r <= floor(n * {FRACTION} + 0.5)"))
+def _(spark, d):
+    return sa.weighted_subset(sa.degree_layers(fixtures.graph(spark, d, "copurchase")), FRACTION, SEED).select("id", "degree", "layer")
+
+
+@query("weighted_layered_sample", _with("copurchase", *_WEIGHTED, f"k as (select id from wk where r <= floor(n * {FRACTION} + 0.5))", final="select src, dst from e where src in (select id from k) and dst in (select id from k)"))
+def _(spark, d):
+    return _edge_rows(sa.weighted_layered_sample(fixtures.graph(spark, d, "copurchase"), FRACTION, SEED))
+
+
 _DICE = (
     "o as (select distinct src as id, dst as other from e)",
     "q as (select other from o where id = 1 union select 1)",
@@ -255,6 +284,42 @@ def _(spark, d):
     return _edge_rows(sa.cocitation_intersect_sample(fixtures.graph(spark, d, "copurchase"), 1, SEED))
 
 
+_FIRE, _FIRE_SHARE, _FIRE_ROUNDS = fi.FireParams(forward=0.65, backward=0.3), 0.4, 60  # at sf0.01 the last of them burn nothing
+
+
+def _fire_ctes() -> list[str]:
+    """Rounds of fires, one CTE each: what the last round lit spreads, or new fires start."""
+    u = lambda *keys: uniform_sql(SEED, *keys)
+    fan = lambda way, p: f"floor(ln(greatest({u('f.id', repr(way + 'fan'))}, 1e-300)) / ln({p}::double))"
+    steps = ["wanted as (select floor(count(*) * 0.4)::bigint as n from v)"]
+    for way in ("out", "in"):
+        steps.append(f"n{way} as materialized (select distinct id, other from ({_ENDS[way]}) where id <> other)")
+    steps.append("b0 as (select id, 0 as round, id as fire from v where false)")
+    for i in range(_FIRE_ROUNDS):
+        lit = " union all ".join(
+            f"(select other as id, fire from b{i} f join n{way} n using (id) where f.round = {i - 1} and other not in (select id from b{i}) qualify row_number() over (partition by f.id order by {u('f.id', 'other', repr(way))}, other) <= {fan(way, p)})"
+            for way, p in (("out", _FIRE.forward), ("in", _FIRE.backward))
+        )
+        steps += [
+            f"l{i} as materialized (select id, min(fire) as fire from ({lit}) group by id)",
+            f"c{i} as (select id, id as fire from v where id not in (select id from b{i}) and not exists (select 1 from l{i}) qualify row_number() over (order by {u('id', repr('spark'))}, id) <= (select greatest(1, floor({_FIRE.sparks} * n)) from wanted))",
+            f"y{i} as (select id, fire, row_number() over (order by {u('id', repr('last'))}, id) as r from l{i})",
+            f"x{i} as (select id, fire, row_number() over (order by {u('id', repr('spark'))}, id) as r from c{i})",
+            f"b{i + 1} as materialized (select * from b{i} union all select id, {i}, fire from (select * from y{i} union all select * from x{i}) where r <= (select n from wanted) - (select count(*) from b{i}))",
+        ]
+    return steps
+
+
+@query("forest_fire_vertices", _with("events_simple", *_fire_ctes(), final=f"select id, round, fire from b{_FIRE_ROUNDS}"))
+def _(spark, d):
+    return fi.forest_fire(fixtures.graph(spark, d, "events_simple"), _FIRE_SHARE, SEED, _FIRE)
+
+
+@query("forest_fire_sample", _with("events_simple", *_fire_ctes(), final=f"select src, dst from e where src in (select id from b{_FIRE_ROUNDS}) and dst in (select id from b{_FIRE_ROUNDS})"))
+def _(spark, d):
+    return _edge_rows(fi.forest_fire_sample(fixtures.graph(spark, d, "events_simple"), _FIRE_SHARE, SEED, _FIRE))
+
+
 # --- ranks ----------------------------------------------------------------------------------------------------------
 def _pagerank_ctes(edges: str = "e", vertices: str = "v", tag: str = "", rounds: int = 10, init: float = 0.15) -> list[str]:
     steps = [f"o{tag} as (select src, count(*) as n from {edges} group by src)", f"p{tag}0 as (select id, {init}::double as r from {vertices})"]
@@ -314,6 +379,32 @@ def _(spark, d):
     return rk.pagerank_until(fixtures.graph(spark, d, "events"), 0.001).select("id", F.round("score", 6).alias("score"))
 
 
+_ACTIVE = [
+    "o as (select src, count(*) as n from e group by src)",
+    "a0 as materialized (select id, 0.15::double as r, 0.15::double as d from v)",
+    *(
+        f"a{i + 1} as materialized (select a.id, r + coalesce(f, 0) as r, case when d > 0.001 then 0 else d end + coalesce(f, 0) as d from a{i} a left join (select e.dst as id, sum(d * 0.85 / n) as f from e join a{i} x on x.id = e.src and d > 0.001 join o on o.src = e.src group by e.dst) m using (id))"
+        for i in range(_MOST_ROUNDS)
+    ),
+]
+
+
+@query("pagerank_active", _with("events", *_ACTIVE, final=f"select id, round(r, 6) as score from a{_MOST_ROUNDS} where (select max(d) from a{_MOST_ROUNDS}) <= 0.001"))
+def _(spark, d):
+    return rk.pagerank_active(fixtures.graph(spark, d, "events"), 0.001)[0].select("id", F.round("score", 6).alias("score"))
+
+
+_HOPS = 30  # rounds of the SQL; shortest paths between parts and suppliers are much shorter
+_BFS = ["h0 as materialized (select id, case when id % 100 = 0 then 0 end as d from v)", *(f"h{i + 1} as materialized (select h.id, coalesce(d, m) as d from h{i} h left join (select e.dst as id, min(d) + 1 as m from e join h{i} x on x.id = e.src and x.d = {i} group by e.dst) y using (id))" for i in range(_HOPS))]
+
+
+@query("shortest_distances", _with("supppart", "s as (select src, dst from e union all select dst, src from e)", *(c.replace("from e join", "from s e join") for c in _BFS), final=f"select id, d::bigint as distance from h{_HOPS}"))
+def _(spark, d):
+    g = fixtures.graph(spark, d, "supppart")
+    both = Graph(g.vertices, ends(g.edges, "either").select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(1).alias("attr")))
+    return rk.distances(both, g.vertices.where("id % 100 = 0"))[0]
+
+
 def _ppr_exact_ctes(rounds: int, alpha: float = 0.15) -> list[str]:
     steps = ["o as (select src, count(*) as n from e group by src)", f"q0 as (select id as source, id as target, {alpha}::double as s from v)"]
     for i in range(rounds):
@@ -528,6 +619,13 @@ def _(spark, d):
     return wk.edges_of(fixtures.edges(spark, d, "events"), 7)
 
 
+@query("edges_of_vertices", _with("copurchase", final="select src, dst from e where src % 100 = 0"))
+def _(spark, d):
+    g = fixtures.graph(spark, d, "copurchase")
+    with stored(g) as kept:
+        return cut_lineage(kept.edges_of(g.vertices.where("id % 100 = 0")).select("src", "dst"))
+
+
 @query("sorted_edges", _with("events", final="select src, dst from e order by src, dst"))
 def _(spark, d):
     return wk.sorted_edges(fixtures.edges(spark, d, "events"))

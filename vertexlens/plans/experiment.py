@@ -17,8 +17,9 @@ from vertexlens.lineage import cut_lineage
 from vertexlens.operators import metrics
 from vertexlens.operators.clustering import triangles
 from vertexlens.operators.components import connected_components
+from vertexlens.operators.fires import forest_fire_sample
 from vertexlens.operators.ranks import pagerank
-from vertexlens.operators.sampling import SampleKind, layered_sample, repeat, sampler
+from vertexlens.operators.sampling import SampleKind, layered_sample, repeat_stored, sampler, weighted_layered_sample
 from vertexlens.operators.split import split_by_degree
 from vertexlens.operators.walkers import as_graph, random_jump_sample, random_walk_sample
 from vertexlens.sources.edges import append_csv, read_edge_list
@@ -68,6 +69,8 @@ def _samplers(g: Graph) -> dict[str, Callable[[Graph, float, int], Graph]]:
 
     return {
         SampleKind.LAYERED.value: layered,
+        SampleKind.GUIDED.value: weighted_layered_sample,  # guided by the degree
+        SampleKind.FOREST_FIRE.value: forest_fire_sample,
         SampleKind.RANDOM_WALK.value: lambda g, f, seed: as_graph(random_walk_sample(g, f, seed=seed)),
         SampleKind.RANDOM_JUMP.value: lambda g, f, seed: as_graph(random_jump_sample(g, f, seed=seed)),
     }
@@ -78,7 +81,8 @@ def answers(g: Graph, kind: str, fraction: float, query: str, n: int, stitching:
     if query not in QUERIES:
         raise ValueError(f"query {query!r}: one of {', '.join(QUERIES)}")
     t0 = time.perf_counter()
-    samples = [Graph(cut_lineage(s.vertices), cut_lineage(s.edges)) for s in repeat(sampler(kind, _samplers(g)), g, fraction, n, seed)]
+    draw = sampler(kind, _samplers(g))
+    samples = repeat_stored(draw, g, fraction, n, seed) if n > 1 else [Graph(cut_lineage(s.vertices), cut_lineage(s.edges)) for s in [draw(g, fraction, seed)]]
     t1 = time.perf_counter()
     found = cut_lineage(stitch([QUERIES[query](s) for s in samples], stitching))
     t2 = time.perf_counter()
