@@ -168,11 +168,11 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams) -> tuple[DataFrame, list[
             name = ("lang", "word") if length == 1 else ("prefix", "tail")
             phrase = Window.partitionBy(*name)
             counts = level.where("at is not null").select("at", *name, "n").withColumns({"f": F.sum("n").over(phrase), "id": F.min("at").over(phrase)})
-            found = cut_lineage(counts.where(F.col("f") >= p.least).drop("n"))
-            levels.append(found.where("at = id").drop("at"))
+            found = held.enter_context(written(counts.where(F.col("f") >= p.least).drop("n")))
+            levels.append(cut_lineage(found.where("at = id").drop("at")))
             if length < p.longest:
-                with held.pop_all():  # a level's table goes as soon as the next one is written
-                    level = held.enter_context(written(longer_lists(level, found, length + 1 < p.longest)))
+                with held.pop_all():  # a level's tables go as soon as the next one is written
+                    level = held.enter_context(written(longer_lists(level, found.select("at", "id"), length + 1 < p.longest)))
     return totals, levels
 
 
