@@ -27,18 +27,76 @@ def plain(edges):
     return {v: sum(len(near[v] & near[w]) for w in near[v]) // 2 for v in near}
 
 
+SMALL = {"ONE_TASK": 10, "TASK_EDGES": 200, "TASK_LINKS": 90}
+BOUNDS = [{}, SMALL | {"WEDGES": 7, "CHECKED": 9}, {"ONE_TASK": 10, "TASK_EDGES": 1200, "HUB_LINKS": 50, "SLOTS": 1 << 10}]
+
+
+@pytest.fixture
+def bound(monkeypatch):
+    def put(bounds):
+        for name, value in bounds.items():
+            monkeypatch.setattr(tr, name, value)
+
+    return put
+
+
 @pytest.mark.parametrize("stretch", [1, -(1 << 53)])
-@pytest.mark.parametrize("bounds", [{}, {"TASK_LINKS": 90, "BLOCK_EDGES": 150, "WEDGES": 7}, {"HUB_LINKS": 50, "TASK_LINKS": 90, "BLOCK_EDGES": 150}])
-def test_triangles_in_blocks(spark, monkeypatch, bounds, stretch):
-    for name, value in bounds.items():
-        monkeypatch.setattr(tr, name, value)
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_triangles_in_triples_of_colours(spark, bound, bounds, stretch):
+    bound(bounds)
     edges = [(a * stretch, b * stretch) for a, b in EDGES]
     g = Graph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint"))
-    if "HUB_LINKS" in bounds:
-        assert {100 * stretch, 101 * stretch} <= set(tr.hubs(g.edges.select("src", "dst"), len(edges))[0].tolist())
     assert {r.id: r.triangles for r in cl.triangles(g).collect()} == plain(edges)
 
 
+def plain_corners(edges, direction):
+    """Triangles at each vertex both of whose others are in its neighbour set."""
+    near, sets = {}, {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+            for v, w in ((a, b),) if direction == "out" else ((b, a),):
+                sets.setdefault(v, set()).add(w)
+    count = {v: sum(1 for u in s for w in s if u < w and w in near[u]) for v, s in sets.items()}
+    return {v: n for v, n in count.items() if n}
+
+
+@pytest.mark.parametrize("direction", ["in", "out"])
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_corners_with_both_others_in_the_set(spark, bound, bounds, direction):
+    bound(bounds)
+    df = spark.createDataFrame(EDGES, "src bigint, dst bigint")
+    assert {r.id: r.triangles for r in tr.corner_counts(df, direction).collect()} == plain_corners(EDGES, direction)
+
+
+def test_colours_follow_edges_and_hubs(spark, bound):
+    assert [tr.colours_for(n, 0) for n in (100, 200_000, 1_000_000, 75_000_000)] == [1, 1, 3, 10]
+    assert tr.colours_for(75_000_000, 40_000_000) == 24
+    # the shuffled copies grow with the square root of the edges, the edges of a task not at all
+    for n in (10**9, 10**12):
+        c = tr.colours_for(n, 0)
+        assert 6 * n / c**2 <= tr.TASK_EDGES and c < 2.2 * (n / tr.TASK_EDGES) ** 0.5 * 1.2
+    bound({"HUB_LINKS": 50})
+    df = spark.createDataFrame(EDGES, "src bigint, dst bigint")
+    degree = max(sum(v in e for e in EDGES if e[0] != e[1]) for v in (100, 101))
+    assert degree <= tr.largest_degree(df, len(EDGES)) <= 4 * degree
+    assert tr.largest_degree(df, 40) == 0
+
+
+def test_no_pair_of_classes_is_crossed_and_edges_move_once(spark, bound):
+    """A class is written once and goes to as many triples as there are colours; there is no grid of classes."""
+    bound(SMALL)
+    df = spark.createDataFrame(EDGES, "src bigint, dst bigint")
+    c = tr.colours_for(len(EDGES), 0)
+    rows = tr.classes(df, c, False)
+    found = rows.collect()
+    assert len({(r.x, r.y) for r in found}) == len(found) <= c * (c + 1) // 2 and all(r.x <= r.y for r in found)
+    pairs = [p for r in found for p in zip(*(x.tolist() for x in tr.unpack(bytes(r.blob), 2)))]
+    assert sorted(pairs) == sorted({(min(e), max(e)) for e in EDGES if e[0] != e[1]})
+    assert rows.rdd.getNumPartitions() == c * (c + 1) // 2
+
+
 def test_packed_numbers():
     r = np.random.default_rng(2)
     x = r.integers(-(1 << 63), (1 << 63) - 1, 1000)
@@ -47,15 +105,7 @@ def test_packed_numbers():
     assert len(tr.unpack(tr.pack(x[:0]), 1)[0]) == 0
 
 
-@pytest.fixture
-def no_wedges(monkeypatch):
-    def refuse(*_):
-        raise AssertionError("wedges are joined")
-
-    monkeypatch.setattr(cl, "closed_triangles", refuse)
-
-
-def test_global_clustering_joins_no_wedges(spark, no_wedges):
+def test_global_clustering(spark):
     found, degree = plain(EDGES), {}
     for v in (v for e in EDGES for v in e):
         degree[v] = degree.get(v, 0) + 1
@@ -63,66 +113,55 @@ def test_global_clustering_joins_no_wedges(spark, no_wedges):
     assert {r.id: round(r.cc, 9) for r in rows} == {v: round(2 * t / (degree[v] * (degree[v] - 1)), 9) if degree[v] > 1 else 0 for v, t in found.items()}
 
 
-def test_triangle_count_joins_no_wedges(spark, no_wedges):
+def test_triangle_count_of_vertices_without_edges(spark):
     g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
     alone = spark.createDataFrame([(7777, 1)], "id bigint, attr int")
     assert {r.id: r.triangles for r in cl.triangles(Graph(g.vertices.unionByName(alone), g.edges)).collect()} == plain(EDGES) | {7777: 0}
     assert cl.triangles(Graph(alone, g.edges.limit(0))).collect() == [(7777, 0)]
 
 
-def test_experiment_joins_no_wedges(spark, no_wedges):
+def test_experiment_of_triangles(spark):
     g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
     assert run_experiment(g, "no sampling", 1.0, "triangleCount").first()["metricScore"] == 0
     assert run_experiment(g, "edge", 0.5, "triangleCount").first()["metricScore"] > 0
 
 
-@pytest.mark.parametrize("bounds", [{}, {"SECOND_EDGES": 40, "CHECKED": 9, "WEDGES": 7}])
-@pytest.mark.parametrize("stretch", [1, -(1 << 53)])
-def test_a_block_tells_of_a_vertex_once(monkeypatch, bounds, stretch):
-    """However many second blocks a first one meets, its triangles come as one count a vertex."""
-    for name, value in bounds.items():
-        monkeypatch.setattr(tr, name, value)
-    places, n_blocks = 11, 5
-    higher = {}
-    for a, b in {(min(e) * stretch, max(e) * stretch) for e in EDGES if e[0] != e[1]}:
-        higher.setdefault(a, []).append(b)
-    held = {}
-    for a in sorted(higher):
-        held.setdefault(int(tr.place_of(np.array([a]), places)[0]) % n_blocks, []).append((a, sorted(higher[a])))
-    packed = {k: (tr.pack(np.array([a for a, _ in x]), np.array([len(o) for _, o in x])), tr.pack(np.array([w for _, o in x for w in o]))) for k, x in held.items()}
-    total = {}
-    for k, own in packed.items():
-        first = tr._First(*own, places, n_blocks)
-        for k2, other in packed.items():
-            first.put(k2, *other)
-        ids, n = first.found()
-        assert (np.diff(ids) > 0).all() and (n > 0).all()
-        for v, c in zip(ids.tolist(), n.tolist()):
-            total[v] = total.get(v, 0) + c
-    assert total == {v * stretch: t for v, t in plain(EDGES).items() if t}
-
-
-@pytest.mark.parametrize("seconds", [1, 3])
-def test_triangles_of_many_blocks(spark, monkeypatch, seconds):
-    """Tasks of a first block with several seconds, or with one."""
-    for name, value in {"TASK_LINKS": 60, "BLOCK_EDGES": 70, "SECONDS": seconds}.items():
-        monkeypatch.setattr(tr, name, value)
-    before = spark.conf.get(tr._BATCH)
-    g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
-    assert {r.id: r.triangles for r in cl.triangles(g).collect()} == plain(EDGES) and spark.conf.get(tr._BATCH) == before
-
-
-def test_links_tell_sizes_of_degrees():
-    """A few values for all degrees, so that they pack into less than a degree does."""
-    assert tr._bits(np.array([1, 2, 3, 4, 1023, 1024, (1 << 40) - 1])).tolist() == [1, 2, 2, 3, 10, 11, 40]
-
-
-def test_experiment_over_many_blocks(spark, monkeypatch):
+def test_experiment_over_many_triples(spark, bound):
     """Both graphs' counts lie in a few files, and the error is that of plain counts over the sample's vertices."""
-    for name, value in {"TASK_LINKS": 60, "BLOCK_EDGES": 70}.items():
-        monkeypatch.setattr(tr, name, value)
+    bound(SMALL | {"TASK_LINKS": 60})
     g = Graph.from_edges(spark.createDataFrame(EDGES, "src bigint, dst bigint"))
-    assert tr.triangle_counts(g.edges).rdd.getNumPartitions() <= -(-2 * len(EDGES) // 60 // 8) + 1
+    assert tr.corner_counts(g.edges).rdd.getNumPartitions() <= -(-len(EDGES) // 60 // 8) + 1
     whole, part = plain(EDGES), plain([(r.src, r.dst) for r in edge_sample(g, 0.5, 42).edges.collect()])
     error = sum(abs(whole[v] - part[v]) for v in part) / len(part)
     assert abs(run_experiment(g, "edge", 0.5, "triangleCount", seed=42).first()["metricScore"] - error) < 1e-9
+
+
+def plain_local(edges, direction, chosen=None):
+    """(degree, coefficient) by the definition: linked pairs of the neighbour set, loops included."""
+    vertices = {v for e in edges for v in e} if chosen is None else chosen
+    sets = {v: set() for v in vertices}
+    for a, b in edges:
+        if a in vertices and b in vertices:
+            if direction in ("out", "either"):
+                sets[a].add(b)
+            if direction in ("in", "either"):
+                sets[b].add(a)
+    out = {}
+    for v, near in sets.items():
+        d = len(near)
+        pairs = [(u, w) for u in near for w in near if w in sets[u]]
+        linked = len(pairs) if direction == "either" else len({(min(p), max(p)) for p in pairs})
+        out[v] = (d, round(linked / (d * (d - 1) / (1 if direction == "either" else 2)), 9) if d > 1 else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("direction", ["either", "in", "out"])
+@pytest.mark.parametrize("bounds", [{}, SMALL])
+def test_local_clustering_without_wedges(spark, bound, bounds, direction):
+    bound(bounds)
+    edges = EDGES + [(100, 100), (7, 7), (7, 100), (100, 7)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint"))
+    assert {r.id: (r.degree, round(r.cc, 9)) for r in cl.local_clustering(g, direction).collect()} == plain_local(edges, direction)
+    chosen = set(range(0, 60, 2)) | {100, 101}
+    some = spark.createDataFrame([(v,) for v in chosen], "id bigint")
+    assert {r.id: (r.degree, round(r.cc, 9)) for r in cl.local_clustering(g, direction, some).collect()} == plain_local(edges, direction, chosen)

@@ -6,27 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexlens.graph import Direction, Graph, degrees, neighbor_sets
-from vertexlens.lineage import cut_lineage
-from vertexlens.operators.triangles import triangles
-
-
-def closed_triangles(edges: DataFrame) -> DataFrame:
-    """(u, v, w, uv, vu, uw, wu, vw, wv): every triangle of the undirected simple graph once; xy tells whether an edge goes from x to y.
-
-    Pairs point from the lower to the higher (degree, id), so a hub has few out-pairs and the wedges to close stay
-    within |E|^1.5; wedges are closed by an equi-join.
-    """
-    ends = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up"))
-    pairs = cut_lineage(ends.groupBy("a", "b").agg(F.bool_or("up").alias("ab"), F.bool_or(~F.col("up")).alias("ba")))
-    d = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    both = pairs.join(d.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
-    rises = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
-    pick = lambda x, y: F.when(rises, F.col(x)).otherwise(F.col(y))
-    first = cut_lineage(both.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("db", "da").alias("vd"), pick("ab", "ba").alias("uv"), pick("ba", "ab").alias("vu")))
-    second = first.select("u", F.col("v").alias("w"), F.col("vd").alias("wd"), F.col("uv").alias("uw"), F.col("vu").alias("wu"))
-    wedge = first.join(second, "u").where("vd < wd or (vd = wd and v < w)").drop("vd", "wd")
-    closing = first.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("uv").alias("vw"), F.col("vu").alias("wv"))
-    return wedge.join(closing, ["v", "w"])
+from vertexlens.operators.triangles import corner_counts, triangles
 
 
 def global_clustering(g: Graph) -> DataFrame:
@@ -42,10 +22,6 @@ def _sets(g: Graph, direction: Direction, chosen: DataFrame | None) -> DataFrame
     return rows if chosen is None else rows.join(chosen.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
 
-#: For each corner of a closed triangle: whether both others are in its neighbour set.
-_CORNERS = {"either": ("true", "true", "true"), "out": ("uv and uw", "vu and vw", "wu and wv"), "in": ("vu and wu", "uv and wv", "uw and vw")}
-
-
 def local_clustering(g: Graph, direction: Direction = "either", chosen: DataFrame | None = None) -> DataFrame:
     """(id, degree, cc) of every vertex (of chosen(id), if given, with neighbours in it only).
 
@@ -53,15 +29,14 @@ def local_clustering(g: Graph, direction: Direction = "either", chosen: DataFram
     unordered linked pairs / (d (d - 1) / 2), a pair being linked if one is in the other's set. Self-loops count, so a
     coefficient can exceed 1; d < 2 gives 0.
 
-    Linked pairs of other vertices are triangles, each listed once and counted at its corners. A neighbour with a loop is
+    Linked pairs of other vertices are triangles, counted at those corners that have both others in their set. A neighbour with a loop is
     linked with itself; a vertex with a loop is its own neighbour, linked with all of its neighbours.
     """
     edges = g.edges if chosen is None else Graph(chosen, g.edges).inside(chosen)
     rows = neighbor_sets(edges, direction)
     d = rows.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    corners = F.array(*(F.struct(F.col(x).alias("id"), F.expr(c).alias("linked")) for x, c in zip("uvw", _CORNERS[direction])))
     sides = 2 if direction == "either" else 1
-    linked = closed_triangles(edges).select(F.inline(corners)).where("linked").groupBy("id").agg((sides * F.count(F.lit(1))).alias("linked"))
+    linked = corner_counts(edges, direction).select("id", (sides * F.col("triangles")).alias("linked"))
     loops = edges.where("src = dst").select(F.col("src").alias("other")).distinct()
     looped = rows.join(loops, "other").groupBy("id").agg(F.count_if(F.col("id") != F.col("other")).alias("looped"), F.bool_or(F.col("id") == F.col("other")).alias("own"))
     every = (g.vertices if chosen is None else chosen).select("id")

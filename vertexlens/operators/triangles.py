@@ -1,14 +1,15 @@
-"""Triangle counts over packed adjacency: no wedge is ever written, sorted or shuffled.
+"""Triangle counts by colour triples: no wedge is ever written, sorted or shuffled.
 
-Every vertex's neighbours of higher (size of degree, id) are packed into blocks of a few bytes an edge; the size is the degree's number
-of bits, which takes less to tell and keeps a vertex's higher neighbours within twice |E|^0.5. For each ordered pair of
-blocks the triangles u, v, w whose u is in the first and whose v is in the second are counted: both blocks come from the
-checkpoint, so the disk holds each edge once, however many wedges there are. A task takes one block with many seconds and
-tells of a vertex once for all of them.
+Every vertex has one of c colours, by hash. The edges between two colours are a class: they are dealt to it once, and packed
+into a few bytes each. A class then goes to each of the c triples of colours that hold both of its own, so a triangle
+lies whole in the triple of its vertices' colours, and in no other one is it counted. A task takes a triple of about
+TASK_EDGES edges, whatever the size of the graph: c grows with the square root of the edges, and what is shuffled is
+c packed copies of them, which is |E|^1.5, as are the wedges that the tasks look at in memory.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexlens.graph import Graph
+from vertexlens.graph import Direction, Graph
 from vertexlens.lineage import cut_lineage
 
-#: A vertex with more links, repeated ones included, is a hub.
+#: Edges of a triple, and of a graph that is no more than one.
+TASK_EDGES, ONE_TASK = 5_000_000, 200_000
+#: Edges that a dealing task holds, wedges looked at in one go, possible triangles checked in one go, and slots of a table of hashes.
+TASK_LINKS, WEDGES, CHECKED, SLOTS = 2_000_000, 1_000_000, 1_000_000, 1 << 22
+#: A vertex with more edges, repeated ones included, may call for more colours.
 HUB_LINKS = 1_000_000
-#: Links that a packing task holds, edges of a block, and wedges looked at in one go.
-TASK_LINKS, BLOCK_EDGES, WEDGES = 2_000_000, 2_500_000, 1_000_000
-#: Edges of the second blocks that are looked at together, second blocks of a task, and possible triangles checked in one go.
-SECOND_EDGES, SECONDS, CHECKED = 4_000_000, 32, 1_000_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Above every degree: hubs come after all other vertices.
-_HUB = 1 << 40
 
 Arrays = tuple[np.ndarray, ...]
 
@@ -99,111 +97,133 @@ def _joined(batches: Iterator[pa.RecordBatch], columns: int) -> Arrays:
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(columns))
 
 
-def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Arrays]:
-    """(id, other) of every edge between two vertices, seen from both, in portions of about `most`."""
-    held, n = [], 0
-    for batch in batches:
-        a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        a, b = a[a != b], b[a != b]
-        held.append((np.concatenate([a, b]), np.concatenate([b, a])))
-        n += 2 * len(a)
-        if n >= most:
-            yield tuple(map(np.concatenate, zip(*held)))
-            held, n = [], 0
-    if n:
-        yield tuple(map(np.concatenate, zip(*held)))
+def _merged(a: np.ndarray, b: np.ndarray, ways: np.ndarray | None) -> Arrays:
+    """The pairs in order, each once, with the union of its ways (bit 0: from a to b, bit 1: from b to a), if they count."""
+    if ways is None:
+        return in_order(a, b)
+    order = np.lexsort((b, a))
+    a, b, ways = a[order], b[order], ways[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[at], b[at], np.bitwise_or.reduceat(ways, at) if len(at) else ways
 
 
-def hubs(edges: DataFrame, n_edges: int) -> Arrays:
-    """(ids ascending, rank): every vertex with over HUB_LINKS links, and none with under half as many.
+def largest_degree(edges: DataFrame, n_edges: int) -> int:
+    """The most edges that a vertex has, repeated ones included; 0 if it is under HUB_LINKS.
 
-    A task tells of the vertices that have half that share of its own links; what it does not tell of a hub is less than half.
+    A task tells of the vertices that have half that share of its own ends, so what it does not tell of a hub is less than half.
     """
     if n_edges <= HUB_LINKS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return 0
     share, most = HUB_LINKS / (4 * n_edges), TASK_LINKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for a, _ in _links(batches, most):
-            u, m = np.unique(a, return_counts=True)
-            total += len(a)
+        for a, b in _portions(batches, most):
+            u, m = np.unique(np.concatenate([a, b]), return_counts=True)
+            total += 2 * len(a)
             ids, at = np.unique(np.concatenate([ids, u]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, m]), len(ids)).astype(np.int64)
         heavy = n >= max(2, share * total)
         yield pa.RecordBatch.from_arrays([pa.array(ids[heavy]), pa.array(n[heavy])], ["id", "n"])
 
-    rows = edges.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HUB_LINKS / 2).collect()
-    rows.sort()
-    return np.array([r["id"] for r in rows], np.int64), np.array([_HUB + r["n"] for r in rows], np.int64)
+    told = edges.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    return 2 * told if told >= HUB_LINKS / 2 else 0
 
 
-def _rank_in(ids: np.ndarray, hub: Arrays) -> np.ndarray:
-    """The ranks of hubs, 0 for others."""
-    if not len(hub[0]):
-        return np.zeros(len(ids), np.int64)
-    at = np.minimum(np.searchsorted(hub[0], ids), len(hub[0]) - 1)
-    return np.where(hub[0][at] == ids, hub[1][at], 0)
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Arrays]:
+    """(src, dst) of the edges between two vertices, in portions of about `most`."""
+    held, n = [], 0
+    for batch in batches:
+        a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        real = a != b
+        held.append((a[real], b[real]))
+        n += len(held[-1][0])
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _bits(n: np.ndarray) -> np.ndarray:
-    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+def colours_for(n_edges: int, most_degree: int) -> int:
+    """So many that three classes have TASK_EDGES edges, and a hub's edges to one colour no more than a third of that."""
+    if n_edges <= ONE_TASK:
+        return 1
+    return max(3, math.ceil(math.sqrt(6 * n_edges / TASK_EDGES)), math.ceil(3 * most_degree / TASK_EDGES))
 
 
-def _above(ids: np.ndarray, ranks: np.ndarray, than: np.ndarray, than_ranks: np.ndarray) -> np.ndarray:
-    return (ranks > than_ranks) | ((ranks == than_ranks) & (ids > than))
+def classes(edges: DataFrame, c: int, directed: bool) -> DataFrame:
+    """(x, y, blob) of each class: colours x <= y and its distinct edges (a, b and, if directed, the ways), a < b, checkpointed. Edges move once."""
+    columns, most = 3 if directed else 2, TASK_LINKS
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for src, dst in _portions(batches, most):
+            found = _merged(np.minimum(src, dst), np.maximum(src, dst), np.where(src < dst, 1, 2) if directed else None)
+            one, two = place_of(found[0], c), place_of(found[1], c)
+            high = np.maximum(one, two)
+            number = high * (high + 1) // 2 + np.minimum(one, two)
+            order = np.argsort(number.astype(np.uint16) if c < 256 else number, kind="stable")
+            number, found = number[order], tuple(x[order] for x in found)
+            of, at = np.unique(number, return_index=True)
+            blobs = [pack(*(x[i:j] for x in found)) for i, j in zip(at, [*at[1:], len(number)])]
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(blobs, pa.binary())], ["place", "blob"])
 
-def blocks(edges: DataFrame) -> tuple[DataFrame, int, int]:
-    """(blob) rows, one of (vertex, number of higher neighbours), (neighbour) per block, with the numbers of places and of blocks.
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, *ways = _joined(batches, columns)
+        if len(a):
+            colours = sorted(int(place_of(x[:1], c)[0]) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in colours), pa.array([pack(*_merged(a, b, ways[0] if ways else None))], pa.binary())], ["x", "y", "blob"])
 
-    A vertex is in block place_of(id, places) % blocks. Links go by vertex twice: for its degree, and for its neighbours'. Those of a
-    hub do not: its rank is known to every task.
-    """
-    edges = edges.select("src", "dst")
-    n_edges = edges.count()
-    places, n_blocks, most = max(1, -(-2 * n_edges // TASK_LINKS)), max(1, -(-n_edges // BLOCK_EDGES)), TASK_LINKS
-    hub = hubs(edges, n_edges)
-
-    def by_vertex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, others in _links(batches, most):
-            rank = _rank_in(ids, hub)
-            sent = (rank == 0) | _above(others, _rank_in(others, hub), ids, rank)
-            yield from _dealt((ids[sent], others[sent]), places)
-
-    def by_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A vertex tells its degree to its neighbours; what it knows of hubs, and hubs of each other, stays with it."""
-        ids, others = in_order(*_joined(batches, 2))
-        _, at, n = np.unique(ids, return_inverse=True, return_counts=True)
-        ranks = _rank_in(others, hub)
-        own = ranks > 0
-        to, of = np.where(own, ids, others), np.where(own, others, ids)
-        yield from _dealt((to, of, np.where(own, ranks, _bits(n)[at] if len(n) else 0)), places)
-
-    def higher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, others, ranks = _joined(batches, 3)
-        u, at, n = np.unique(ids, return_inverse=True, return_counts=True)
-        mine = _rank_in(u, hub)
-        mine = np.where(mine > 0, mine, _bits(n))
-        up = _above(others, ranks, ids, mine[at] if len(u) else mine)
-        ids, others = ids[up], others[up]
-        if len(ids):
-            place = int(place_of(ids[:1], places)[0])
-            yield pa.RecordBatch.from_arrays([pa.array([place % n_blocks], pa.int64()), pa.array([pack(*in_order(ids, others))], pa.binary())], ["place", "blob"])
+    rows = edges.select("src", "dst").mapInArrow(dealt, "place bigint, blob binary").repartitionById(c * (c + 1) // 2, F.col("place").cast("int"))
+    return cut_lineage(rows.mapInArrow(merged, "x int, y int, blob binary"))
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, others = in_order(*_joined(batches, 2))
-        if len(ids):
-            u, n = np.unique(ids, return_counts=True)
-            block = int(place_of(u[:1], places)[0]) % n_blocks
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(u, n)], pa.binary()), pa.array([pack(others)], pa.binary())], ["block", "vertices", "others"])
 
-    kind = "place bigint, blob binary"
-    rows = edges.mapInArrow(by_vertex, kind)
-    for n, step in ((places, by_neighbour), (places, higher)):
-        rows = rows.repartitionById(n, F.col("place").cast("int")).mapInArrow(step, kind)
-    rows = cut_lineage(rows.repartitionById(n_blocks, F.col("place").cast("int")))
-    return cut_lineage(rows.mapInArrow(merged, "block bigint, vertices binary, others binary")), places, n_blocks
+#: For the corners of a triangle u, v, w of ascending rank: the bits of its edges u-v, u-w and v-w that must be set, so that
+#: both others are in the corner's neighbour set; bit 0 is an edge to the higher rank.
+_CORNERS = {"out": ((1, 1, 0), (2, 0, 1), (0, 2, 2)), "in": ((2, 2, 0), (1, 0, 2), (0, 1, 1))}
+
+
+def corners(a: np.ndarray, b: np.ndarray, ways: np.ndarray | None, direction: Direction, colour: np.ndarray | None = None) -> Arrays:
+    """(id ascending, number of triangles at it that count) of the distinct edges a < b; with colours, of the ids in order, not of triangles of one colour.
+
+    Vertices are ranked by their degree here, and the neighbours of higher rank of both ends of an edge are met.
+    """
+    ids = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    n = len(ids)
+    by_rank = np.argsort(np.bincount(a, minlength=n) + np.bincount(b, minlength=n), kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    a, b = rank[a], rank[b]
+    key = np.minimum(a, b) * n + np.maximum(a, b)
+    bits = None
+    if ways is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        swapped = (a > b)[order]
+        ways = ways[order]
+        key, bits = key[order], np.where(swapped, (ways & 1) << 1 | ways >> 1, ways)
+    source = key // n
+    others = key - source * n
+    sizes = np.bincount(source, minlength=n)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    edge = np.flatnonzero(sizes[others] > 0)
+    at = [np.zeros(len(others), np.int32) for _ in range(3)]  # by the place of u-v, u-v and u-w
+    for uv, uw, vw in between(first, others, edge, first[others[edge]], sizes[others[edge]], others):
+        if colour is not None:
+            u, v, w = (colour[by_rank[x]] for x in (source[uv], others[uv], others[uw]))
+            mixed = ~((u == v) & (v == w))
+            uv, uw, vw = uv[mixed], uw[mixed], vw[mixed]
+        for k, place in enumerate((uv, uv, uw)):
+            if bits is not None:
+                p, q, r = _CORNERS[direction][k]
+                place = place[(bits[uv] & p == p) & (bits[uw] & q == q) & (bits[vw] & r == r)]
+            at[k] += np.bincount(place, minlength=len(others)).astype(np.int32)
+    count = np.bincount(source, at[0], n) + np.bincount(others, at[1].astype(np.int64) + at[2], n)
+    found = np.zeros(n, np.int64)
+    found[by_rank] = count.astype(np.int64)
+    return ids[found > 0], found[found > 0]
 
 
 def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -223,7 +243,7 @@ def _search(others: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -
 
 
 def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.ndarray, n: np.ndarray, v_others: np.ndarray) -> Iterator[Arrays]:
-    """(place of u to v, place of u to w) in others of the triangles of the edges at the ascending places `edge`.
+    """(place of u to v, place of u to w in others, place of v to w in v_others) of the triangles of the edges at the ascending places `edge`.
 
     The n neighbours of an edge's v begin at its start in v_others. They are looked up among those of u: in a table of hashes
     that a few u share, then at the place that the slot tells, and by search where another neighbour has that slot.
@@ -233,20 +253,21 @@ def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.n
     bits = int(np.clip(np.ceil(np.log2(64 * np.diff(first).max())), 10, 20))
     slots, v_slots = _slots(others, bits), _slots(v_others, bits)
     source = np.searchsorted(first, edge, side="right") - 1
-    rows = max(1, min(128, (1 << 20) >> bits))
+    rows = max(1, min(512, SLOTS >> bits))
     done, end = np.concatenate([[0], np.cumsum(n)]), len(edge)
     table, told = np.zeros(rows << bits, bool), np.zeros(rows << bits, np.int64)
     held, size = [], 0
 
     def checked() -> Arrays:
         nonlocal held, size
-        by, w, at = map(np.concatenate, zip(*held))
+        by, far, at = map(np.concatenate, zip(*held))
+        w = v_others[far]
         held, size = [], 0
         wrong = np.flatnonzero(others[at] != w)
         of = source[by[wrong]]
         at[wrong] = _search(others, first[of], first[of + 1], w[wrong])
         real = at >= 0
-        return edge[by[real]], at[real]
+        return edge[by[real]], at[real], far[real]
 
     i = 0
     while i < end:
@@ -263,7 +284,7 @@ def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.n
         found = np.flatnonzero(table.take(key))
         table[marks] = False
         if len(found):
-            held.append((i + np.searchsorted(done[i : j + 1] - done[i], found, side="right") - 1, v_others.take(place[found]), told.take(key[found])))
+            held.append((i + np.searchsorted(done[i : j + 1] - done[i], found, side="right") - 1, place[found], told.take(key[found])))
             size += len(found)
             if size >= CHECKED:
                 yield checked()
@@ -272,48 +293,6 @@ def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.n
         yield checked()
 
 
-class _First:
-    """A block whose triangles are counted, against one second block after the other."""
-
-    def __init__(self, vertices: bytes, others: bytes, places: int, n_blocks: int):
-        (self.ids, n), (self.others,) = unpack(vertices, 2), unpack(others, 1)
-        self.first = np.concatenate([[0], np.cumsum(n)])
-        self.block = (place_of(self.others, places) % n_blocks).astype(np.int32)
-        self.as_v, self.as_w = np.zeros(len(self.others), np.int32), np.zeros(len(self.others), np.int32)
-        self.n_blocks, self.seconds, self.size = n_blocks, [], 0
-
-    def put(self, block: int, vertices: bytes, others: bytes) -> None:
-        self.seconds.append((block, *unpack(vertices, 2), *unpack(others, 1)))
-        self.size += len(self.seconds[-1][3])
-        if self.size >= SECOND_EDGES:
-            self.count()
-
-    def count(self) -> None:
-        if not self.seconds:
-            return
-        blocks, ids, n, others = zip(*self.seconds)
-        self.seconds, self.size = [], 0
-        ids, n, others = np.concatenate(ids), np.concatenate(n), np.concatenate(others)
-        start, order = np.cumsum(n) - n, np.argsort(ids)
-        ids = ids[order]
-        there = np.zeros(self.n_blocks, bool)
-        there[list(blocks)] = True
-        mine = np.flatnonzero(there[self.block])
-        at = np.minimum(np.searchsorted(ids, self.others[mine]), len(ids) - 1)
-        known = ids[at] == self.others[mine]
-        mine, at = mine[known], order[at[known]]
-        for v, w in between(self.first, self.others, mine, start[at], n[at], others):
-            for total, at in ((self.as_v, v), (self.as_w, w)):
-                total += np.bincount(at, minlength=len(total)).astype(np.int32)
-
-    def found(self) -> Arrays:
-        """(id ascending, triangles): u has those of its edges to a v."""
-        self.count()
-        own, both = np.add.reduceat(self.as_v, self.first[:-1], dtype=np.int64), self.as_v + self.as_w.astype(np.int64)
-        some = both > 0
-        return _summed(np.concatenate([self.ids[own > 0], self.others[some]]), np.concatenate([own[own > 0], both[some]]))
-
-
 def _summed(ids: np.ndarray, n: np.ndarray) -> Arrays:
     order = np.argsort(ids)
     ids, n = ids[order], n[order]
@@ -321,43 +300,40 @@ def _summed(ids: np.ndarray, n: np.ndarray) -> Arrays:
     return ids[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def triangle_counts(edges: DataFrame) -> DataFrame:
-    """(id, triangles bigint) of the vertices in a triangle of the undirected simple graph, checkpointed; loops and repeated edges are harmless."""
-    rows, places, n_blocks = blocks(edges)
-    left = rows.select("block", "vertices", "others")
-    right = rows.select(F.col("block").alias("block2"), F.col("vertices").alias("vertices2"), F.col("others").alias("others2"))
+def corner_counts(edges: DataFrame, direction: Direction = "either") -> DataFrame:
+    """(id, triangles bigint): the triangles of the undirected simple graph at each vertex that has one, checkpointed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, first = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (now, block2), blobs = (batch.column(c)[k].as_py() for c in (0, 3)), [batch.column(c)[k].as_buffer for c in (1, 2, 4, 5)]
-                if now != block:
-                    if first:
-                        yield from _dealt(first.found(), places, ordered=True)
-                    block, first = now, _First(*(b().to_pybytes() for b in blobs[:2]), places, n_blocks)
-                first.put(block2, *(b().to_pybytes() for b in blobs[2:]))
-        if first:
-            yield from _dealt(first.found(), places, ordered=True)
+    With `out` or `in` those whose other two are both in the vertex's neighbour set of that direction. Loops and repeated
+    edges are harmless.
+    """
+    directed = direction != "either"
+    edges = edges.select("src", "dst")
+    n_edges = edges.count()
+    c, places = colours_for(n_edges, largest_degree(edges, n_edges)), max(1, -(-n_edges // TASK_LINKS))
+    columns = 3 if directed else 2
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_buffer().to_pybytes(), columns) for x in rows.column("blob")]
+        a, b, *ways = (np.concatenate([p[k] for p in parts]) for k in range(columns))
+        own = {k.as_py() for k in key}
+        colour = place_of(np.unique(np.concatenate([a, b])), c) if len(own) == 2 else None
+        found = corners(a, b, ways[0] if ways else None, direction, colour)
+        out = list(_dealt(found, places, ordered=True))
+        return pa.Table.from_batches(out) if out else pa.schema([("place", pa.int64()), ("blob", pa.binary())]).empty_table()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n = _summed(*_joined(batches, 2))
         for i in range(0, len(ids), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["id", "triangles"])
 
-    # neighbouring pairs of blocks have the same first block
-    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).coalesce(n_blocks * -(-n_blocks // SECONDS))
-    found = pairs.mapInArrow(run, "place bigint, blob binary").repartitionById(places, F.col("place").cast("int"))
-    found = found.mapInArrow(total, "id bigint, triangles bigint").coalesce(-(-places // 8))  # fewer files, a place in memory at a time
-    conf, before = edges.sparkSession.conf, edges.sparkSession.conf.get(_BATCH)
-    conf.set(_BATCH, 1)  # one pair of blocks in memory at a time
-    try:
-        return cut_lineage(found)
-    finally:
-        conf.set(_BATCH, before)
+    third = classes(edges, c, directed).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
+    triple = F.array_sort(F.array("x", "y", "z"))
+    triples = third.select(*(triple[k].alias(name) for k, name in enumerate("xyz")), "blob")
+    found = triples.groupBy("x", "y", "z").applyInArrow(run, "place bigint, blob binary").repartitionById(places, F.col("place").cast("int"))
+    return cut_lineage(found.mapInArrow(total, "id bigint, triangles bigint").coalesce(-(-places // 8)))  # fewer files, a place in memory at a time
 
 
 def triangles(g: Graph) -> DataFrame:
     """(id, triangles) of every vertex in the undirected simple graph."""
-    count = triangle_counts(g.edges)
+    count = corner_counts(g.edges)
     return g.vertices.select("id").join(count, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles"))
