@@ -188,3 +188,13 @@ def test_long_items_are_cut_without_losing_a_window(docs_of, spark, block):
     texts += ["a short one there " * 20_000, " ".join(long[5:17]), " ".join(long)]
     for x in leaks(docs_of(list(enumerate(texts))), bench, DecontamParams(block_words=block)).collect():
         assert (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) == brute_leaks(texts[x.doc_id], items), x.doc_id
+
+
+def test_items_without_id_hit_but_have_no_name(spark, docs_of):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = docs_of([(1, text), (2, "w0 w1 other"), (3, None)])
+    for items, named in (([(None, text)], []), ([(None, text), (None, text)], []), ([(None, text), (7, text)], ["7"])):
+        rows = {r.doc_id: r for r in leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+        assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated) == (20, len(named), True)
+        assert rows[1].items_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert rows[2].n_hit == 0 and rows[3].n_words == 0

@@ -45,7 +45,7 @@ def words(body: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Of several word sequences. State 0 is the root; nxt[s] maps a word number to a state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.nxt: list[dict[int, int]] = [{}]
@@ -204,7 +204,8 @@ def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(
 
     spans are the maximal hit runs of words. A null or empty text has no words, hits nothing and is not
     contaminated; n_items then is 0 and items_sha256 that of the empty string. Repeated rows stay repeated, items
-    of one id count once, other columns are ignored. An empty benchmark hits nothing, an empty table gives no rows.
+    of one id count once; the windows of an item without id hit like any, but it is not counted or named. Other columns
+    are ignored. An empty benchmark hits nothing, an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
     sent = [sc.broadcast(bytes(r["automaton"])) for r in automata(items, p).toLocalIterator()]  # one block at a time
@@ -222,7 +223,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: DecontamParams = DecontamParams(
                     n_words[i] = len(ws)
                     more, items_of = w.spans(ws)
                     hits[i] = merged(hits[i] + more)
-                    found[i].update(w.items[k] for k in items_of)
+                    found[i].update(w.items[k] for k in items_of if w.items[k] is not None)
             n_hit = [sum(z - a for a, z in h) for h in hits]
             n_items = [len(f) for f in found]
             digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
