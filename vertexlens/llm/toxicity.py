@@ -15,12 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexlens.llm.frames import bounded_batches, crc_mod, cut_lineage, id_and_bytes, table
+from vertexlens.llm.frames import bounded_batches, broadcast_if_small, crc_mod, cut_lineage, id_and_bytes, table
 from vertexlens.llm.textbytes import LOWER, U64, Block, SpanHash, blocks, byte_table, owner, runs
 
 _HIGH = np.zeros(256, bool)
@@ -32,13 +32,13 @@ _PREFIXES = (0, 4, 5, 6, 7, 9)
 class CnnParams:
     """table: slots of the hashed embedding table; language_table: of the table of words by language (powers of two).
 
-    Every labelled document is learned from: in one shard per shard_docs of them, most_shards at most, each trained on its
-    own in an epoch; then the nets are averaged. Documents of a shard are shuffled by shard_docs. The strongest feature keeps a contested slot. A language with fewer than least_calibrated
-    documents held out of fitting, or fewer than five toxic ones, takes the threshold of all.
+    Every labelled document is learned from: in one shard per shard_docs of them, each trained on its own in an epoch; then
+    the nets are averaged, `fan` at a time, on the executors. The strongest feature keeps a contested slot. A language with
+    fewer than least_calibrated documents held out of fitting, or fewer than five toxic ones, takes the threshold of all.
     """
 
     shard_docs: int = 10_000
-    most_shards: int = 32
+    fan: int = 32
     table: int = 1 << 16
     language_table: int = 1 << 13
     least_docs: int = 4
@@ -89,22 +89,24 @@ class ToxicityNet:
         """Max-pooled filter values per text and the word where each maximum is; rows[words, features]."""
         pad = max(self.p.widths) - 1
         n, d = len(start), self.p.dim
-        # `pad` zero words after each text, so no filter sees two texts and every text has a place for each width
+        # `pad` zero words and one more after each text; filters begin at its words or at the first zero, so none sees two texts
         length = end - start + pad + 1
         first = np.cumsum(length) - length
         x = np.zeros((int(length.sum()) + pad, d), np.float32)
         doc = np.repeat(np.arange(n), end - start)
         x[first[doc] + np.arange(len(rows)) - start[doc]] = self.emb[rows].max(1) if len(rows) else 0
+        places = end - start + 1
+        bounds = np.stack([first, first + places], 1).ravel()
         values, where = [], []
         for w, f, c in zip(self.p.widths, self.filters, self.bias):
             m = int(length.sum())
-            y = np.zeros((m, f.shape[1]), np.float32)
+            y = np.zeros((m + 1, f.shape[1]), np.float32)
             for k in range(w):
-                y += x[k : k + m] @ f[k * d : (k + 1) * d]
-            v = np.maximum.reduceat(y, first, axis=0) if n else np.zeros((0, f.shape[1]), np.float32)
+                y[:m] += x[k : k + m] @ f[k * d : (k + 1) * d]
+            v = np.maximum.reduceat(y, bounds, axis=0)[::2] if n else np.zeros((0, f.shape[1]), np.float32)
             values.append(v + c)
             if self._training:
-                where.append(np.stack([[a + int(y[a : a + s, j].argmax()) for j in range(f.shape[1])] for a, s in zip(first, length)]))
+                where.append(np.stack([[a + int(y[a : a + s, j].argmax()) for j in range(f.shape[1])] for a, s in zip(first, places)]))
         self._x = x if self._training else None
         return np.maximum(np.concatenate(values, 1), 0), where
 
@@ -191,10 +193,32 @@ def _moved(net: ToxicityNet, flat: np.ndarray) -> ToxicityNet:
     return replace(net, emb=parts[0], filters=parts[1 : 1 + k], bias=parts[1 + k : 1 + 2 * k], dense=parts[-2], offset=float(parts[-1][0]))
 
 
-def fit(net: ToxicityNet, rows: DataFrame, y_mean: float | None) -> ToxicityNet:
+def averaged(nets: DataFrame, shards: int, fan: int) -> tuple[float, np.ndarray]:
+    """(rows, mean parameters weighted by rows) of nets(shard, n, net): `fan` neighbouring shards are summed by a task until one sum is left.
+
+    Sums are of doubles, in order of the shard, so neither the number of tasks nor their order tells on the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((shard, n, bytes(net)) for b in batches for shard, n, net in zip(*(c.to_pylist() for c in b.columns)))
+        for group, own in itertools.groupby(held, lambda x: x[0] // fan):
+            n, total = 0.0, 0.0
+            for _, m, net in own:
+                n, total = n + m, total + np.frombuffer(net, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["shard", "n", "net"])
+
+    while True:
+        shards = -(-shards // fan)
+        nets = nets.repartitionById(shards, F.floor(F.col("shard") / fan).cast("int")).mapInArrow(run, "shard bigint, n double, net binary")
+        if shards == 1:
+            r = nets.first()
+            return r["n"], np.frombuffer(bytes(r["net"]), np.float64) / r["n"]
+
+
+def fit(net: ToxicityNet, rows: DataFrame, y_mean: float | None, shards: int) -> ToxicityNet:
     """Trains on rows(label, held, grp, rows), a partition per shard, in its order. Documents in `held` only calibrate thresholds.
 
-    In an epoch every shard goes on from the same net; its parameters, a megabyte a shard, come to the driver to be averaged.
+    In an epoch every shard goes on from the same net; one net, the average, comes to the driver, and goes out again.
     """
     p, spark = net.p, rows.sparkSession
     for epoch in range(p.epochs if y_mean is not None and 0 < y_mean < 1 else 0):
@@ -220,14 +244,12 @@ def fit(net: ToxicityNet, rows: DataFrame, y_mean: float | None) -> ToxicityNet:
             if y:
                 steps()
             if n:
-                flat = np.concatenate([x.ravel().astype(np.float32) for x in _parameters(own)])
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["n", "net"])
-
-        total, seen = 0.0, 0
-        found = rows.where("not held").select("label", "rows").mapInArrow(run, "n bigint, net binary").collect()
-        for x in sorted(found, key=lambda x: (x["n"], bytes(x["net"]))):
-            total, seen = total + np.frombuffer(x["net"], np.float32).astype(np.float64) * x["n"], seen + x["n"]
-        net = _moved(net, total / seen)
+                flat = np.concatenate([x.ravel().astype(np.float64) for x in _parameters(own)]) * n
+                shard = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([float(n)]), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "net"])
+
+        found = rows.where("not held").select("label", "rows").mapInArrow(run, "shard bigint, n double, net binary")
+        net = _moved(net, averaged(found, shards, p.fan)[1])
         sent.unpersist()
     return _calibrate(net, rows)
 
@@ -307,27 +329,12 @@ def _calibrate(net: ToxicityNet, rows: DataFrame) -> ToxicityNet:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, label and the columns of `keep` of every learnable document with a label.
 
-    If a document has several labels the largest counts; if several rows have its id, the one of least text. Labels go to the tasks
-    as numbers, 9 bytes each, so no other text is moved. Null ids have no label.
+    If a document has several labels the largest counts; if several rows have its id, the one of least text. Null ids have no
+    label. The labels are joined: broadcast if they are few by count, else by a shuffle that Spark splits where an id is hot.
     """
     chosen = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-    found = chosen.toArrow()
-    ids, y = found.column("doc_id").to_numpy(), found.column("label").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    values, y = np.unique(y[order], return_inverse=True)
-    sent = docs.sparkSession.sparkContext.broadcast((ids[order], y.astype(np.uint8 if len(values) < 256 else np.int64), values))
-
-    @F.pandas_udf("double")
-    def label_of(x: pd.Series) -> pd.Series:
-        ids, y, values = sent.value
-        own = x.to_numpy(np.int64)
-        if not len(ids):
-            return pd.Series(np.full(len(own), np.nan))
-        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        return pd.Series(np.where(ids[at] == own, values[y[at]], np.nan))
-
-    rows = docs.where("doc_id is not null").select("doc_id", F.struct("text", *keep).alias("_row"), label_of("doc_id").alias("label"))
-    one = rows.where(F.col("label").isNotNull() & ~F.isnan("label")).groupBy("doc_id", "label").agg(F.min("_row").alias("_row"))
+    rows = docs.select("doc_id", F.struct("text", *keep).alias("_row")).join(broadcast_if_small(cut_lineage(chosen)), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min("_row").alias("_row"))
     return one.select("doc_id", "_row.text", "label", *(F.col(f"_row.`{c}`") for c in keep))
 
 
@@ -396,11 +403,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, p:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("label")[part], batch.column("held")[part], pa.array(net.language(h, at), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "label", "held", "grp", "rows"])
 
     n, y_mean = fitted.agg(F.count(F.lit(1)), F.avg("label")).first()
-    shards = min(p.most_shards, max(1, -(-n // p.shard_docs)))
+    shards = max(1, -(-n // p.shard_docs))
     mixed = F.xxhash64("doc_id", F.lit(17))
     rows = sample.mapInArrow(as_rows, "doc_id bigint, label double, held boolean, grp bigint, rows binary").withColumn("_u", mixed)
     rows = rows.repartitionById(shards, F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(shards)).cast("int")).sortWithinPartitions("_u", "doc_id")
-    return fit(net, cut_lineage(rows), y_mean)
+    return fit(net, cut_lineage(rows), y_mean, shards)
 
 
 def scored(docs: DataFrame, net: ToxicityNet) -> DataFrame:
