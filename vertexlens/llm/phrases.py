@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexlens.lineage import written
-from vertexlens.llm.frames import bounded_batches, cut_lineage, table
+from vertexlens.llm.frames import bounded_batches, broadcast_if_small, cut_lineage, table
 from vertexlens.llm.textbytes import LOWER, blocks, byte_table, runs
+from vertexlens.operators.ranking import dense_numbers
 from vertexlens.operators.triangles import pack, unpack
 
 #: Pieces of a text end at these bytes, words of a piece at blanks and tabs.
@@ -156,9 +157,9 @@ def longer_lists(level: DataFrame, keys: DataFrame, more: bool) -> DataFrame:
 def frequent_phrases(docs: DataFrame, p: PhraseParams) -> tuple[DataFrame, list[DataFrame]]:
     """(totals(lang, n), levels): levels[0](id, lang, word, f), then (id, prefix, tail, f) of each longer length, all frequent ones.
 
-    An id is the least (block, code) of the phrase, so no two phrases of a length share one. Counts are shuffled once: they
-    are summed by phrase, and the sum is told to each of the phrase's blocks from there. A block tells of each of its
-    phrases once, whatever it counts, so no phrase has more than a small share of the rows.
+    Ids number the frequent phrases of a length in order, so they pack well. Counts are shuffled once: they are summed by
+    phrase, and the phrase's least (block, code) tells it to all of its blocks from there. A block tells of each of
+    its phrases once, whatever it counts, so no phrase has more than a small share of the rows.
     """
     levels = []
     with ExitStack() as held:
@@ -169,10 +170,12 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams) -> tuple[DataFrame, list[
             phrase = Window.partitionBy(*name)
             counts = level.where("at is not null").select("at", *name, "n").withColumns({"f": F.sum("n").over(phrase), "id": F.min("at").over(phrase)})
             found = held.enter_context(written(counts.where(F.col("f") >= p.least).drop("n")))
-            levels.append(cut_lineage(found.where("at = id").drop("at")))
+            numbers = dense_numbers(found.where("at = id").drop("at"), *name)
+            levels.append(numbers.select(F.col("number").alias("id"), *name, "f"))
             if length < p.longest:
+                told = found.select("at", "id").join(broadcast_if_small(numbers.select("id", "number")), "id").select("at", F.col("number").alias("id"))
                 with held.pop_all():  # a level's tables go as soon as the next one is written
-                    level = held.enter_context(written(longer_lists(level, found.select("at", "id"), length + 1 < p.longest)))
+                    level = held.enter_context(written(longer_lists(level, told, length + 1 < p.longest)))
     return totals, levels
 
 
