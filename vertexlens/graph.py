@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Literal
@@ -9,6 +10,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexlens.functions.blocked_bloom import BlockedBloom
 from vertexlens.lineage import cut_and_observe, cut_lineage
 
 Direction = Literal["in", "out", "either"]
@@ -43,6 +45,15 @@ class Graph:
         b = self.vertices.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr"))
         return self.edges.join(a, "src").join(b, "dst").select("src", "dst", "attr", "src_attr", "dst_attr")
 
+    def renumbered(self) -> tuple[Graph, DataFrame]:
+        """(the graph with vertices 0 .. |V| - 1 in order of id, (id, number) of every vertex); edges are between its vertices."""
+        from vertexlens.operators.ranking import dense_numbers
+
+        to = dense_numbers(self.vertices, "id")
+        ends = [to.select(F.col("id").alias(end), F.col("number").alias(f"new_{end}")) for end in ("src", "dst")]
+        edges = self.edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "attr")
+        return Graph(to.select(F.col("number").alias("id"), *(c for c in self.vertices.columns if c != "id")), edges), to.select("id", "number")
+
     def map_vertices(self, attr: Column) -> Graph:
         return Graph(self.vertices.withColumn("attr", attr), self.edges)
 
@@ -50,10 +61,17 @@ class Graph:
         """chosen(id, attr) with the edges between its vertices, cached; multiplicity stays, edge attributes become 1."""
         return Graph(chosen, self.inside(chosen).select("src", "dst", F.lit(1).alias("attr")).persist())
 
-    def inside(self, chosen: DataFrame) -> DataFrame:
-        """The edges between vertices of chosen(id)."""
-        keep = chosen.select("id")
-        return self.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    def inside(self, chosen: DataFrame, prefilter: float | None = None) -> DataFrame:
+        """The edges between vertices of chosen(id).
+
+        With a prefilter, a rate of false positives, a blocked Bloom filter of the chosen ids leaves out most other edges before
+        the joins move them; one that is too large to send to every executor is not used.
+        """
+        keep, edges = chosen.select("id"), self.edges
+        if prefilter is not None:
+            bloom = BlockedBloom.sized(keep, prefilter)
+            edges = bloom.keep(edges, "src", "dst") if bloom.is_small else edges
+        return edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def ends(edges: DataFrame, direction: Direction) -> DataFrame:
@@ -98,10 +116,27 @@ def neighbor_attrs(g: Graph, direction: Direction) -> DataFrame:
     return g.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce("neighbors", F.array().cast("array<struct<id:bigint,attr:int>>")).alias("neighbors"))
 
 
+def named(expressions: list[Column], column: str) -> bool:
+    """Whether one of the expressions names the column, by its text; a text that Spark has cut short may."""
+    return any(re.search(rf"\b{column}\b|more fields", str(e)) for e in expressions)
+
+
+def triplets_with(g: Graph, expressions: list[Column]) -> DataFrame:
+    """g.triplets, joined to the vertices at those ends only whose attribute the expressions name; edges are between vertices of g."""
+    rows = g.edges.select("src", "dst", "attr")
+    for end in ("src", "dst"):
+        if named(expressions, f"{end}_attr"):
+            rows = rows.join(g.vertices.select(F.col("id").alias(end), F.col("attr").alias(f"{end}_attr")), end)
+    return rows
+
+
 def aggregate_messages(g: Graph, merge: Callable[[Column], Column], to_src: Column | None = None, to_dst: Column | None = None) -> DataFrame:
-    """(id, message): per vertex the merged messages of its edges. to_src and to_dst are expressions over triplets; null sends nothing."""
+    """(id, message): per vertex the merged messages of its edges. to_src and to_dst are expressions over triplets; null sends nothing.
+
+    An end's attribute is joined only if an expression names it, so messages over edges alone move no vertex.
+    """
     sent = [F.struct(F.col(end).alias("id"), m.alias("m")) for end, m in (("src", to_src), ("dst", to_dst)) if m is not None]
-    rows = g.triplets.select(F.inline(F.array(*sent))).where("m is not null")
+    rows = triplets_with(g, sent).select(F.inline(F.array(*sent))).where("m is not null")
     return rows.groupBy("id").agg(merge(F.col("m")).alias("message"))
 
 

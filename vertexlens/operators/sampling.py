@@ -64,6 +64,18 @@ def reservoir_sample(items: DataFrame, key: str, item: str, fraction: float, see
     return ranked.where(F.col("rank") <= round_half_up(F.col("n") * fraction)).select(key, item)
 
 
+def random_elements(items: DataFrame, key: str, item: str, seed: int = 42) -> DataFrame:
+    """(key, picked): per key one of its rows, that of place floor(u * n) in order of item, repeats included; no list is collected."""
+    ranked = rank_within(items.select(key, item), key, None, item)
+    return ranked.where(F.col("rank") - 1 == F.floor(uniform(seed, key) * F.col("n"))).select(key, F.col(item).alias("picked"))
+
+
+def random_subsets(items: DataFrame, key: str, item: str, k: int, seed: int = 42) -> DataFrame:
+    """(key, item): per key k of its rows (all, if fewer), those of least draw by item and place in order of item; no list is collected."""
+    placed = rank_within(items.select(key, item), key, None, item).select(key, item, uniform(seed, item, F.col("rank") - 1).alias("u"))
+    return rank_within(placed, key, F.col("u"), "u", item).where(F.col("rank") <= k).select(key, item)
+
+
 def uniform_subset(vertices: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Exactly floor(fraction * |V|) vertices, uniformly."""
     return smallest(vertices.withColumn("_u", uniform(seed, "id")), "_u", fraction, "id").drop("_u")

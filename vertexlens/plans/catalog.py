@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexlens.functions import scalars
+from vertexlens.functions.blocked_bloom import BlockedBloom
 from vertexlens.functions.bloom import BloomFilter
 from vertexlens.functions.rng import geometric, geometric_continue, geometric_value, uniform, uniform_sql, uniform_value
 from vertexlens.graph import Graph, aggregate_messages, degrees, ends, neighbor_attrs, neighbor_ids
@@ -27,6 +28,7 @@ from vertexlens.plans.experiment import run_experiment
 from vertexlens.sources import fixtures
 from vertexlens.sources.adjacency import stored
 from vertexlens.sources.edges import append_csv, canonical_edges, read_delimited_edges, read_edge_list, read_graph, write_graph
+from vertexlens.streaming.reservoirs import latest, reservoirs
 
 SEED = 42
 FRACTION = 0.15
@@ -150,6 +152,16 @@ def _(spark, d):
     return fixtures.graph(spark, d, "events").map_vertices((F.col("id") % 7).cast("int")).vertices
 
 
+@query("dense_numbers", _with("supppart", final="select id, row_number() over (order by id) - 1 as number from v"))
+def _(spark, d):
+    return fixtures.graph(spark, d, "supppart").renumbered()[1]
+
+
+@query("renumbered_edges", _with("supppart", "n as (select id, row_number() over (order by id) - 1 as number from v)", final="select a.number as src, b.number as dst from e join n a on a.id = e.src join n b on b.id = e.dst"))
+def _(spark, d):
+    return fixtures.graph(spark, d, "supppart").renumbered()[0].edges.select("src", "dst")
+
+
 @query("sorted_vertices", _with("events", final="select id, 1 as attr from v order by id"))
 def _(spark, d):
     return fixtures.graph(spark, d, "events").vertices.orderBy("id")
@@ -201,6 +213,13 @@ def _(spark, d):
     return sa.reservoir_sample(spark.read.parquet(f"{d}/events.parquet"), "user_id", "event_id", 0.25, SEED)
 
 
+@query("stream_reservoirs", f"select user_id as id, event_id as item from events qualify row_number() over (partition by user_id order by {uniform_sql(SEED, 'user_id', 'event_id')}, event_id) <= 5")
+def _(spark, d):
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(kind).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
+    return latest(spark, reservoirs(stream.select(F.col("user_id").alias("id"), F.col("event_id").alias("item")), 5, SEED), f"stream-{uuid.uuid4().hex}")
+
+
 @query("uniform_k_subset", _with("copurchase", f"r as (select id, row_number() over (order by {uniform_sql(SEED, 'id')}, id) as r, count(*) over () as n from v)", final="select id from r where r <= floor(n * 0.15)"))
 def _(spark, d):
     return sa.uniform_subset(fixtures.graph(spark, d, "copurchase").vertices, FRACTION, SEED).select("id")
@@ -633,8 +652,7 @@ def _(spark, d):
 
 @query("random_subset", _with("events_simple", "n as (select src as id, list_sort(list(dst)) as l from e group by src)", "x as (select id, l[i] as x, i - 1 as i from (select id, l, unnest(range(1, len(l) + 1)) as i from n))", f"r as (select id, x, row_number() over (partition by id order by {uniform_sql(SEED, 'x', 'i')}, x) as r from x)", final="select id, x from r where r <= 3"))
 def _(spark, d):
-    rows = fixtures.edges(spark, d, "events_simple").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("l"))
-    return rows.select("id", F.explode(scalars.random_subset(F.col("l"), 3, SEED)).alias("x"))
+    return sa.random_subsets(fixtures.edges(spark, d, "events_simple").select(F.col("src").alias("id"), F.col("dst").alias("x")), "id", "x", 3, SEED)
 
 
 # --- walks ------------------------------------------------------------------------------------------------------------
@@ -686,6 +704,10 @@ query("ppr_monte_carlo", _with("nation", *_ppr_ctes(), final=f"select source, ta
     lambda s, d: wl.ppr_monte_carlo(fixtures.graph(s, d, "nation"), _PPR_BUDGET, _PPR_ALPHA, SEED).select("source", "target", F.round("score", 6).alias("score"))
 )
 
+query("ppr_monte_carlo_events", _with("events", *_ppr_ctes(), final=f"select source, target, round(count(*) / {sum(_LENGTHS)}.0, 6)::double as score from (select source, unnest(path) as target from m{max(_LENGTHS)}) group by source, target"))(
+    lambda s, d: wl.ppr_monte_carlo(fixtures.graph(s, d, "events"), _PPR_BUDGET, _PPR_ALPHA, SEED).select("source", "target", F.round("score", 6).alias("score"))
+)
+
 # --- Bloom filter and scalars -----------------------------------------------------------------------------------------
 _RATE, _HASHES = 0.01, 7  # false positives; hashes for that rate
 _POS = "list_distinct([" + ", ".join(f"floor({uniform_sql(SEED, str(i), 'id')} * m)::bigint" for i in range(_HASHES)) + "])"
@@ -711,6 +733,22 @@ def _(spark, d):
     return BloomFilter.load(spark, path, found.m, found.k, SEED).test(ids)
 
 
+# DuckDB has no xxhash64, so the SQL tells what the filter is for: the ids that it must keep; tests hold the rate of the others.
+@query("blocked_bloom_prefilter", _with("copurchase", f"k as (select id from v where {uniform_sql(SEED, 'id')} < {FRACTION})", final="select src, dst from e where src in (select id from k) and dst in (select id from k)"))
+def _(spark, d):
+    g = fixtures.graph(spark, d, "copurchase")
+    return g.inside(g.vertices.where(uniform(SEED, "id") < FRACTION), prefilter=_RATE).select("src", "dst")
+
+
+@query("blocked_bloom_round_trip", _with("copurchase", final="select id, true as might_contain from v where id in (select src from e)"))
+def _(spark, d):
+    g, path = fixtures.graph(spark, d, "copurchase"), _folder(spark, "bloom")
+    sources = g.edges.select(F.col("src").alias("id"))
+    found = BlockedBloom.sized(sources, _RATE, SEED)
+    found.save(path)
+    return BlockedBloom.load(spark, path, found.blocks, SEED).test(sources)
+
+
 @query("date_texts", "select event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') as at from events")
 def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.date_text(F.col("ts")).alias("at"))
@@ -738,8 +776,7 @@ def _(spark, d):
 
 @query("random_elements", _with("events", "n as (select src as id, list_sort(list(dst)) as l from e group by src)", final=f"select id, l[(floor({uniform_sql(SEED, 'id')} * len(l)) + 1)::int] as picked from n"))
 def _(spark, d):
-    rows = fixtures.edges(spark, d, "events").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("l"))
-    return rows.select("id", scalars.random_element(F.col("l"), uniform(SEED, "id")).alias("picked"))
+    return sa.random_elements(fixtures.edges(spark, d, "events").select(F.col("src").alias("id"), "dst"), "id", "dst", SEED)
 
 
 # --- sequential samplers and the experiment ---------------------------------------------------------------------------
