@@ -92,3 +92,13 @@ def test_token_counts_of_rows(docs_of):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         load_spec(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_any_special_string_counts_one():
+    """Special strings are looked for by the tokenizer's own list, whatever they look like."""
+    tok = Tokenizer.from_file(PATH)
+    tok.add_special_tokens(["[SEP]", "@@"])
+    spec = load_spec(PATH)
+    count = text_counter(spec | {"special": [*spec["special"], "[SEP]", "@@"]})
+    for text in ("a [SEP] b", "[SEP]", "@@x@@[SEP]", "no special", "a<|endoftext|>b [sep]", "[SE P] @ @"):
+        assert count(text) == len(tok.encode(text, add_special_tokens=False).ids), text

@@ -105,7 +105,7 @@ def text_counter(spec: dict) -> Callable[[str], int]:
         return sum(map(counts.__getitem__, words.findall(text.lower())))
 
     def count(text: str) -> int:
-        if special is None or "<|" not in text:
+        if not any(map(text.__contains__, spec["special"])):
             return plain(text)
         parts = special.split(text)
         return len(parts) - 1 + sum(map(plain, parts))
