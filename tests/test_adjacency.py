@@ -72,7 +72,7 @@ def test_repeated_samples_of_a_stored_graph(spark, g):
     assert [sorted(r.id for r in s.vertices.collect()) for s in found] == [sorted(r.id for r in s.vertices.collect()) for s in plain]
 
 
-@pytest.mark.parametrize("kind", ["forest fire", "guided"])
-def test_the_experiment_knows_every_sampler(spark, g, kind):
+@pytest.mark.parametrize("kind", ["forest fire", "weighted layered"])
+def test_the_experiment_knows_the_new_samplers(spark, g, kind):
     row = run_experiment(g, kind, 0.3, "connectedComponents", n=2).first()
     assert row.sampleType == kind and 0 <= row.metricScore <= 1 and row.sampleTime > 0

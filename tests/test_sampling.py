@@ -19,6 +19,16 @@ from vertexlens.sources.edges import from_rows
 EDGES = [(a, (a * k + k) % 40) for a in range(40) for k in range(1, 9)]
 
 
+def adjacency(src, dst, direction):
+    adj = {}
+    for a, b in zip(src, dst):
+        if direction in ("out", "either"):
+            adj.setdefault(a, set()).add(b)
+        if direction in ("in", "either"):
+            adj.setdefault(b, set()).add(a)
+    return adj
+
+
 @pytest.fixture(scope="module")
 def g(spark):
     return from_rows(spark, EDGES)
@@ -151,8 +161,8 @@ def test_chains_keep_their_statistic_up_to_date(g):
     r = random.Random(1)
     for direction in ("either", "in", "out"):
         for evaluation in wk.Evaluation:
-            adj = wk._adjacency(wk.np.array(src), wk.np.array(dst), direction)
-            back = wk._adjacency(wk.np.array(dst), wk.np.array(src), direction)
+            adj = adjacency(src, dst, direction)
+            back = adjacency(dst, src, direction)
             s = wk._Subset(set(range(0, 40, 2)), adj, back, direction, evaluation)
             for _ in range(60):
                 s.swap(r.choice(sorted(s.chosen)), r.choice([v for v in range(40) if v not in s.chosen]))

@@ -29,6 +29,7 @@ class SampleKind(enum.Enum):
     RANDOM_WALK = "random walk"
     FOREST_FIRE = "forest fire"
     LAYERED = "layered"
+    WEIGHTED_LAYERED = "weighted layered"
     GUIDED = "guided"
     NONE = "no sampling"
 

@@ -248,7 +248,7 @@ def random_jump_vertices(g: Graph, fraction: float, samples: int = 1, seed: int
 
 
 def as_graph(rows: DataFrame, sample_id: int = 0) -> Graph:
-    own = rows.where(F.col("sample_id") == sample_id)
+    own = cut_lineage(rows.where(F.col("sample_id") == sample_id))  # vertices and edges are read from here: the chain runs once
     return Graph(own.where("kind = 'vertex'").select(F.col("src").alias("id"), F.lit(1).alias("attr")), own.where("kind = 'edge'").select("src", "dst", F.lit(1).alias("attr")))
 
 
@@ -257,16 +257,6 @@ class Evaluation(enum.Enum):
     DEGREES = "degrees"
 
 
-def _adjacency(src: np.ndarray, dst: np.ndarray, direction: str) -> dict[int, set[int]]:
-    adj: dict[int, set[int]] = {}
-    for a, b in zip(src.tolist(), dst.tolist()):
-        if direction in ("out", "either"):
-            adj.setdefault(a, set()).add(b)
-        if direction in ("in", "either"):
-            adj.setdefault(b, set()).add(a)
-    return adj
-
-
 def _by_degree(members: dict[int, int], linked: dict[int, int], direction: Direction, evaluation: Evaluation) -> dict[int, float]:
     """degree -> value, from the members of each degree and the sum of their linked pairs."""
     if evaluation is Evaluation.CLUSTERING:

@@ -69,7 +69,7 @@ def _samplers(g: Graph) -> dict[str, Callable[[Graph, float, int], Graph]]:
 
     return {
         SampleKind.LAYERED.value: layered,
-        SampleKind.GUIDED.value: weighted_layered_sample,  # guided by the degree
+        SampleKind.WEIGHTED_LAYERED.value: weighted_layered_sample,
         SampleKind.FOREST_FIRE.value: forest_fire_sample,
         SampleKind.RANDOM_WALK.value: lambda g, f, seed: as_graph(random_walk_sample(g, f, seed=seed)),
         SampleKind.RANDOM_JUMP.value: lambda g, f, seed: as_graph(random_jump_sample(g, f, seed=seed)),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexlens.graph import Graph
+from vertexlens.operators.ranking import dense_numbers
 
 #: Offset of the right side's ids in bipartite graphs.
 RIGHT = 1_000_000_000
@@ -23,15 +24,12 @@ SQL = {
 def consecutive(events: DataFrame) -> DataFrame:
     """(src, dst): each event's user and the next event's, over all events in order of (ts, event_id).
 
-    The order is cut into hours, so no task sorts everything; an hour's last event looks to the next hour's first, and
-    there are only as many hours as the calendar has.
+    The order is one sort by ranges, and the next event is the one with the next number: no task sorts everything, and no
+    hour, second or user with many events is one task's work.
     """
-    rows = events.select("user_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
-    in_hour = rows.withColumn("nxt", F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
-    first = rows.groupBy("hour").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f"))
-    later = first.select("hour", F.lead("f.user_id").over(Window.orderBy("hour")).alias("after"))
-    joined = in_hour.join(later, F.col("nxt").isNull() & in_hour["hour"].eqNullSafe(later["hour"]), "left")
-    return joined.select(F.col("user_id").alias("src"), F.coalesce("nxt", "after").alias("dst")).where("dst is not null")
+    rows = dense_numbers(events.select("ts", "event_id", "user_id"), "ts", "event_id")
+    after = rows.select((F.col("number") - 1).alias("number"), F.col("user_id").alias("dst"))
+    return rows.join(after, "number").select(F.col("user_id").alias("src"), "dst")
 
 
 def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
