@@ -2,8 +2,8 @@
 
 Texts are dealt into blocks. A block keeps, for each of its words and phrases, the ascending positions where it occurs; a
 phrase is extended by merge-joining its positions with those of the words right behind them, so the length of a list is the
-exact number of occurrences. Only lengths go through a shuffle: they are summed by phrase over all blocks, and
-each block is told which of its phrases are frequent and drops the lists of the rest before it extends what is left.
+exact number of occurrences. Only lengths go through a shuffle: they are summed by phrase over all blocks, each block is
+told which of its phrases are frequent, and their lists are all that it keeps and extends.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexlens.lineage import written
-from vertexlens.llm.frames import bounded_batches, broadcast_if_small, cut_lineage, table
+from vertexlens.llm.frames import bounded_batches, cut_lineage, table
 from vertexlens.llm.textbytes import LOWER, blocks, byte_table, runs
-from vertexlens.operators.ranking import dense_numbers
 from vertexlens.operators.triangles import pack, unpack
 
 #: Pieces of a text end at these bytes, words of a piece at blanks and tabs.
@@ -85,12 +84,12 @@ def extended(phrases: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code[met], code[met + 1], pos[met]
 
 
-_SCHEMA = "block bigint, lists binary, at bigint, lang string, word string, prefix bigint, tail bigint, n bigint"
-_ARROW = pa.schema([("block", pa.int64()), ("lists", pa.binary()), ("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("prefix", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
+_WORDS = pa.schema([("block", pa.int64()), ("lists", pa.binary()), ("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_LISTS = pa.schema([("block", pa.int64()), ("lists", pa.binary()), ("ids", pa.binary())])
 
 
-def _rows(rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _ARROW], schema=_ARROW)
+def _rows(rows: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
@@ -106,8 +105,8 @@ def word_lists(docs: DataFrame) -> DataFrame:
         size = len(words.dictionary)
         key = langs.indices.to_numpy().astype(np.int64)[text] * size + words.indices.to_numpy()
         key, code, n = np.unique(key, return_inverse=True, return_counts=True)
-        yield _rows(1, block=[block], lists=[pack(*inverted(code, pos))])
-        yield _rows(len(key), at=(block << _CODE_BITS) + np.arange(len(key)), lang=langs.dictionary.take(pa.array(key // size)), word=words.dictionary.take(pa.array(key % size)), n=n)
+        yield _rows(1, _WORDS, block=[block], lists=[pack(*inverted(code, pos))])
+        yield _rows(len(key), _WORDS, at=(block << _CODE_BITS) + np.arange(len(key)), lang=langs.dictionary.take(pa.array(key // size)), word=words.dictionary.take(pa.array(key % size)), n=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << _BLOCK_BITS, [], 0
@@ -120,63 +119,74 @@ def word_lists(docs: DataFrame) -> DataFrame:
         if held:
             yield from listed(block, held)
 
-    return texts.mapInArrow(run, _SCHEMA)
+    return texts.mapInArrow(run, "block bigint, lists binary, at bigint, lang string, word string, n bigint")
 
 
-def longer_lists(level: DataFrame, keys: DataFrame, more: bool) -> DataFrame:
-    """The next level of `level`, of whose phrases only keys(at, id) are frequent.
+def candidates(lists: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix id, tail id, n) of the distinct continuations of a block's phrases, by code, and (code, position) of each of their places."""
+    (known,), held = unpack(ids, 1), unpack(lists, 2)
+    prefix, tail, pos = extended(held)
+    key, code, n = np.unique(prefix * max(1, len(known)) + tail, return_inverse=True, return_counts=True)
+    return known[key // max(1, len(known))], known[key % max(1, len(known))], n, code, pos
 
-    Of each block: a row with its lists, if `more`, and rows (at, prefix, tail, n) of its distinct candidates, whose prefix and
-    tail are the ids of the frequent phrases that are all of it but the last and the first word.
+
+def frequent_lists(level: DataFrame, told: DataFrame, longer: bool) -> DataFrame:
+    """(block, lists, ids) of the frequent phrases told(at, id), from level: the lists of all words or, if longer, of the frequent phrases one word shorter.
+
+    Candidates are found again from those, so only the lists of frequent ones are ever written.
     """
 
     def run(state: pa.Table, known: pa.Table) -> pa.Table:
         if not state.num_rows or not known.num_rows:
-            return _ARROW.empty_table()
-        block = state.column("block")[0].as_py()
-        code, pos = unpack(state.column("lists")[0].as_buffer().to_pybytes(), 2)
+            return _LISTS.empty_table()
+        lists = state.column("lists")[0].as_buffer().to_pybytes()
+        code, pos = candidates(lists, state.column("ids")[0].as_buffer().to_pybytes())[3:] if longer else unpack(lists, 2)
         frequent = known.column("at").to_numpy() & (1 << _CODE_BITS) - 1
         order = np.argsort(frequent)
         frequent, ids = frequent[order], known.column("id").to_numpy()[order]
         at = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
         stays = frequent[at] == code
-        prefix, tail, pos = extended((at[stays], pos[stays]))
-        key, code, n = np.unique(prefix * len(ids) + tail, return_inverse=True, return_counts=True)
-        if not len(key):
-            return _ARROW.empty_table()
-        out = [_rows(len(key), at=(block << _CODE_BITS) + np.arange(len(key)), prefix=ids[key // len(ids)], tail=ids[key % len(ids)], n=n)]
-        if more:
-            out.append(_rows(1, block=[block], lists=[pack(*inverted(code, pos))]))
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches([_rows(1, _LISTS, block=state.column("block")[:1], lists=[pack(*inverted(at[stays], pos[stays]))], ids=[pack(ids)])])
+
+    state = level.where("lists is not null").select("block", "lists", *(["ids"] if longer else []))
+    keys = told.select(F.shiftright("at", _CODE_BITS).alias("of"), F.col("at").alias("at"), "id")
+    return state.groupBy("block").cogroup(keys.groupBy("of")).applyInArrow(run, "block bigint, lists binary, ids binary")
+
+
+def longer_counts(level: DataFrame) -> DataFrame:
+    """(at, prefix, tail, n) of each block's distinct candidates; prefix and tail are the ids of the phrases that are all but their last and first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lists, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                prefix, tail, n, *_ = candidates(lists.as_buffer().to_pybytes(), ids.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array((block << _CODE_BITS) + np.arange(len(n))), pa.array(prefix), pa.array(tail), pa.array(n)], ["at", "prefix", "tail", "n"])
 
-    state = level.where("lists is not null").select("block", "lists")
-    told = keys.select(F.shiftright("at", _CODE_BITS).alias("of"), F.col("at").alias("at"), "id")
-    return state.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, _SCHEMA)
+    return level.mapInArrow(run, "at bigint, prefix bigint, tail bigint, n bigint")
 
 
 def frequent_phrases(docs: DataFrame, p: PhraseParams) -> tuple[DataFrame, list[DataFrame]]:
     """(totals(lang, n), levels): levels[0](id, lang, word, f), then (id, prefix, tail, f) of each longer length, all frequent ones.
 
-    Ids number the frequent phrases of a length in order, so they pack well. Counts are shuffled once: they are summed by
-    phrase, and the phrase's least (block, code) tells it to all of its blocks from there. A block tells of each of
-    its phrases once, whatever it counts, so no phrase has more than a small share of the rows.
+    An id is the least (block, code) of the phrase, so no two phrases of a length share one. Counts are shuffled once: they
+    are summed by phrase, and the sum is told to each of the phrase's blocks from there. A block tells of each of its
+    phrases once, whatever it counts, so no phrase has more than a small share of the rows. Of candidates only the counts move.
     """
     levels = []
     with ExitStack() as held:
         level = held.enter_context(written(word_lists(docs)))
-        totals = cut_lineage(level.where("at is not null").groupBy("lang").agg(F.sum("n").alias("n")))
-        for length in range(1, p.longest + 1):
-            name = ("lang", "word") if length == 1 else ("prefix", "tail")
+        counts, name = level.where("at is not null").select("at", "lang", "word", "n"), ("lang", "word")
+        totals = cut_lineage(counts.groupBy("lang").agg(F.sum("n").alias("n")))
+        while True:
             phrase = Window.partitionBy(*name)
-            counts = level.where("at is not null").select("at", *name, "n").withColumns({"f": F.sum("n").over(phrase), "id": F.min("at").over(phrase)})
-            found = held.enter_context(written(counts.where(F.col("f") >= p.least).drop("n")))
-            numbers = dense_numbers(found.where("at = id").drop("at"), *name)
-            levels.append(numbers.select(F.col("number").alias("id"), *name, "f"))
-            if length < p.longest:
-                told = found.select("at", "id").join(broadcast_if_small(numbers.select("id", "number")), "id").select("at", F.col("number").alias("id"))
-                with held.pop_all():  # a level's tables go as soon as the next one is written
-                    level = held.enter_context(written(longer_lists(level, told, length + 1 < p.longest)))
-    return totals, levels
+            summed = counts.withColumns({"f": F.sum("n").over(phrase), "id": F.min("at").over(phrase)})
+            found = held.enter_context(written(summed.where(F.col("f") >= p.least).drop("n")))
+            levels.append(cut_lineage(found.where("at = id").drop("at")))
+            if len(levels) == p.longest:
+                return totals, levels
+            with held.pop_all():  # a level's tables go as soon as the next one is written
+                level = held.enter_context(written(frequent_lists(level, found.select("at", "id"), len(levels) > 1)))
+            counts, name = longer_counts(level), ("prefix", "tail")
 
 
 def _parts(levels: list[DataFrame]) -> Iterator[DataFrame]:
