@@ -28,7 +28,7 @@ def plain(edges):
 
 
 SMALL = {"ONE_TASK": 10, "TASK_EDGES": 200, "TASK_LINKS": 90}
-BOUNDS = [{}, SMALL | {"WEDGES": 7, "CHECKED": 9}, {"ONE_TASK": 10, "TASK_EDGES": 1200, "HUB_LINKS": 50, "SLOTS": 1 << 10}]
+BOUNDS = [{}, SMALL | {"WEDGES": 7, "CHECKED": 9, "PORTION": 30, "TABLE_SPAN": 0}, {"ONE_TASK": 10, "TASK_EDGES": 1200, "HUB_LINKS": 50, "SLOTS": 1 << 10}]
 
 
 @pytest.fixture
@@ -71,8 +71,8 @@ def test_corners_with_both_others_in_the_set(spark, bound, bounds, direction):
 
 
 def test_colours_follow_edges_and_hubs(spark, bound):
-    assert [tr.colours_for(n, 0) for n in (100, 200_000, 1_000_000, 75_000_000)] == [1, 1, 3, 10]
-    assert tr.colours_for(75_000_000, 40_000_000) == 24
+    assert [tr.colours_for(n, 0) for n in (100, 200_000, 1_000_000, 75_000_000)] == [1, 1, 3, 9]
+    assert tr.colours_for(75_000_000, 40_000_000) == 20
     # the shuffled copies grow with the square root of the edges, the edges of a task not at all
     for n in (10**9, 10**12):
         c = tr.colours_for(n, 0)

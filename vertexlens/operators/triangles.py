@@ -21,9 +21,11 @@ from vertexlens.graph import Direction, Graph
 from vertexlens.lineage import cut_lineage
 
 #: Edges of a triple, and of a graph that is no more than one.
-TASK_EDGES, ONE_TASK = 5_000_000, 200_000
+TASK_EDGES, ONE_TASK = 6_000_000, 200_000
 #: Edges that a dealing task holds, wedges looked at in one go, possible triangles checked in one go, and slots of a table of hashes.
 TASK_LINKS, WEDGES, CHECKED, SLOTS = 2_000_000, 1_000_000, 1_000_000, 1 << 22
+#: Edges that are met with the neighbours of their second end in one go, and places of a table of ids for each edge.
+PORTION, TABLE_SPAN = 1_000_000, 8
 #: A vertex with more edges, repeated ones included, may call for more colours.
 HUB_LINKS = 1_000_000
 
@@ -183,46 +185,72 @@ def classes(edges: DataFrame, c: int, directed: bool) -> DataFrame:
 _CORNERS = {"out": ((1, 1, 0), (2, 0, 1), (0, 2, 2)), "in": ((2, 2, 0), (1, 0, 2), (0, 1, 1))}
 
 
-def corners(a: np.ndarray, b: np.ndarray, ways: np.ndarray | None, direction: Direction, colour: np.ndarray | None = None) -> Arrays:
-    """(id ascending, number of triangles at it that count) of the distinct edges a < b; with colours, of the ids in order, not of triangles of one colour.
-
-    Vertices are ranked by their degree here, and the neighbours of higher rank of both ends of an edge are met.
+def numbered(parts: list[Arrays]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids ascending, a, b) of edges (a, b) in parts, whose ends become places in ids; ids close together are told by a table, others by search."""
+    low = min(int(x.min()) for p in parts for x in p[:2])
+    span = max(int(x.max()) for p in parts for x in p[:2]) - low + 1
+    if span <= TABLE_SPAN * sum(len(p[0]) for p in parts):
+        met = np.zeros(span, bool)
+        for p in parts:
+            met[p[0] - low] = met[p[1] - low] = True
+        ids = np.flatnonzero(met)
+        place = np.zeros(span, np.int32)
+        place[ids] = np.arange(len(ids), dtype=np.int32)
+        a, b = (np.concatenate([place[p[k] - low] for p in parts]) for k in (0, 1))
+        return ids + low, a, b
+    ids = np.unique(np.concatenate([x for p in parts for x in p[:2]]))
+    a, b = (np.concatenate([np.searchsorted(ids, p[k]).astype(np.int32) for p in parts]) for k in (0, 1))
+    return ids, a, b
+
+
+def corners(parts: list[Arrays], direction: Direction, colours: int = 0) -> Arrays:
+    """(id ascending, number of triangles at it that count) of the distinct edges (a, b and, unless `either`, their ways), a < b, in parts.
+
+    With colours, triangles of one colour are left out. Vertices are ranked by their degree here, and the neighbours of
+    higher rank of both ends of an edge are met, a portion of edges at a time.
     """
-    ids = np.unique(np.concatenate([a, b]))
-    a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    ids, a, b = numbered(parts)
+    ways = None if direction == "either" else np.concatenate([p[2] for p in parts])
+    parts.clear()
     n = len(ids)
     by_rank = np.argsort(np.bincount(a, minlength=n) + np.bincount(b, minlength=n), kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by_rank] = np.arange(n)
+    rank = np.empty(n, np.int32)
+    rank[by_rank] = np.arange(n, dtype=np.int32)
     a, b = rank[a], rank[b]
-    key = np.minimum(a, b) * n + np.maximum(a, b)
+    key = np.minimum(a, b).astype(np.int64)
+    key *= n
+    key += np.maximum(a, b)
     bits = None
     if ways is None:
         key.sort()
     else:
         order = np.argsort(key)
-        swapped = (a > b)[order]
-        ways = ways[order]
-        key, bits = key[order], np.where(swapped, (ways & 1) << 1 | ways >> 1, ways)
-    source = key // n
-    others = key - source * n
+        swapped, ways, key = (a > b)[order], ways[order], key[order]
+        bits = np.where(swapped, (ways & 1) << 1 | ways >> 1, ways).astype(np.uint8)
+    del a, b, ways
+    source = (key // n).astype(np.int32)
+    others = key
+    others -= source.astype(np.int64) * n
     sizes = np.bincount(source, minlength=n)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    edge = np.flatnonzero(sizes[others] > 0)
-    at = [np.zeros(len(others), np.int32) for _ in range(3)]  # by the place of u-v, u-v and u-w
-    for uv, uw, vw in between(first, others, edge, first[others[edge]], sizes[others[edge]], others):
-        if colour is not None:
-            u, v, w = (colour[by_rank[x]] for x in (source[uv], others[uv], others[uw]))
-            mixed = ~((u == v) & (v == w))
-            uv, uw, vw = uv[mixed], uw[mixed], vw[mixed]
-        for k, place in enumerate((uv, uv, uw)):
-            if bits is not None:
-                p, q, r = _CORNERS[direction][k]
-                place = place[(bits[uv] & p == p) & (bits[uw] & q == q) & (bits[vw] & r == r)]
-            at[k] += np.bincount(place, minlength=len(others)).astype(np.int32)
-    count = np.bincount(source, at[0], n) + np.bincount(others, at[1].astype(np.int64) + at[2], n)
+    width = slot_bits(sizes)
+    slots = _slots(others, width)
+    colour = place_of(ids[by_rank], colours) if colours else None
+    at = [np.zeros(len(others), np.int32) for _ in range(2 if bits is None else 3)]  # by the place of u-v for u and v, of u-w for w
+    for i in range(0, len(others), PORTION):
+        edge = i + np.flatnonzero(sizes[others[i : i + PORTION]] > 0)
+        v = others[edge]
+        for uv, uw, vw in between(first, others, slots, width, edge, first[v], sizes[v]):
+            if colour is not None:
+                same = (colour[source[uv]] == colour[others[uv]]) & (colour[others[uv]] == colour[others[uw]])
+                uv, uw, vw = uv[~same], uw[~same], vw[~same]
+            for k, place in enumerate((uv, uw) if bits is None else (uv, uv, uw)):
+                if bits is not None:
+                    p, q, r = _CORNERS[direction][k]
+                    place = place[(bits[uv] & p == p) & (bits[uw] & q == q) & (bits[vw] & r == r)]
+                np.add.at(at[k], place, 1)
     found = np.zeros(n, np.int64)
-    found[by_rank] = count.astype(np.int64)
+    found[by_rank] = (np.bincount(source, at[0], n) + np.bincount(others, at[-1] if bits is None else at[1].astype(np.int64) + at[2], n) + (np.bincount(others, at[0], n) if bits is None else 0)).astype(np.int64)
     return ids[found > 0], found[found > 0]
 
 
@@ -242,16 +270,19 @@ def _search(others: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -
     return np.where((lo < stop) & (others[np.minimum(lo, len(others) - 1)] == w), lo, -1)
 
 
-def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.ndarray, n: np.ndarray, v_others: np.ndarray) -> Iterator[Arrays]:
-    """(place of u to v, place of u to w in others, place of v to w in v_others) of the triangles of the edges at the ascending places `edge`.
+def slot_bits(sizes: np.ndarray) -> int:
+    """Bits of a hash, so that the most neighbours that a vertex has fill a 64th of the slots."""
+    return int(np.clip(np.ceil(np.log2(64 * max(1, sizes.max()))), 10, 20))
+
+
+def between(first: np.ndarray, others: np.ndarray, slots: np.ndarray, bits: int, edge: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[Arrays]:
+    """(place of u to v, of u to w, of v to w) in others of the triangles of the edges at the ascending places `edge`; slots are the hashes of others.
 
-    The n neighbours of an edge's v begin at its start in v_others. They are looked up among those of u: in a table of hashes
+    The n neighbours of an edge's v begin at its start. They are looked up among those of u: in a table of hashes
     that a few u share, then at the place that the slot tells, and by search where another neighbour has that slot.
     """
     if not len(edge):
         return
-    bits = int(np.clip(np.ceil(np.log2(64 * np.diff(first).max())), 10, 20))
-    slots, v_slots = _slots(others, bits), _slots(v_others, bits)
     source = np.searchsorted(first, edge, side="right") - 1
     rows = max(1, min(512, SLOTS >> bits))
     done, end = np.concatenate([[0], np.cumsum(n)]), len(edge)
@@ -261,7 +292,7 @@ def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.n
     def checked() -> Arrays:
         nonlocal held, size
         by, far, at = map(np.concatenate, zip(*held))
-        w = v_others[far]
+        w = others[far]
         held, size = [], 0
         wrong = np.flatnonzero(others[at] != w)
         of = source[by[wrong]]
@@ -280,7 +311,7 @@ def between(first: np.ndarray, others: np.ndarray, edge: np.ndarray, start: np.n
         told[marks] = np.arange(a, z)
         sizes = n[i:j]
         place = np.repeat(start[i:j] - (done[i:j] - done[i]), sizes) + np.arange(done[j] - done[i])
-        key = np.repeat((source[i:j] - low) << bits, sizes) + v_slots.take(place)
+        key = np.repeat((source[i:j] - low) << bits, sizes) + slots.take(place)
         found = np.flatnonzero(table.take(key))
         table[marks] = False
         if len(found):
@@ -314,10 +345,7 @@ def corner_counts(edges: DataFrame, direction: Direction = "either") -> DataFram
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         parts = [unpack(x.as_buffer().to_pybytes(), columns) for x in rows.column("blob")]
-        a, b, *ways = (np.concatenate([p[k] for p in parts]) for k in range(columns))
-        own = {k.as_py() for k in key}
-        colour = place_of(np.unique(np.concatenate([a, b])), c) if len(own) == 2 else None
-        found = corners(a, b, ways[0] if ways else None, direction, colour)
+        found = corners(parts, direction, c if len({k.as_py() for k in key}) == 2 else 0)
         out = list(_dealt(found, places, ordered=True))
         return pa.Table.from_batches(out) if out else pa.schema([("place", pa.int64()), ("blob", pa.binary())]).empty_table()
 
