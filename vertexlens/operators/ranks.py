@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vertexlens.graph import Graph, degrees, ends, pregel, run_active
@@ -13,53 +13,78 @@ from vertexlens.lineage import cut_lineage
 
 #: Edges of one source that one partition may hold; more are dealt over several.
 HUB_LINKS = 1_000_000
+#: Links of a partition: a graph of few links has fewer partitions than the session's shuffles, one of many has more.
+LEAST_LINKS, MOST_LINKS = 400_000, 1_000_000
 
 
 @dataclass(frozen=True)
 class Links:
-    """rows(src, dst, c, w, salt) cached, dealt and sorted by source and salt; hubs(hub, salts) of the sources dealt over several salts."""
+    """rows(src, dst, c, w, salt) cached, dealt and sorted by source and salt; hubs(hub, salts) of the sources dealt over several salts.
+
+    They lie in `parts` partitions; `few` tells that these are fewer than an aggregation has, which what meets them is dealt into by name.
+    """
 
     rows: DataFrame
     hubs: DataFrame | None
+    parts: int
+    few: bool
 
-    def meet(self, state: DataFrame, key: str = "id") -> DataFrame:
-        """state joined to the links of its `key`: a hub's row goes to each of its salts, everything else to one place."""
+    def meet(self, state: DataFrame, key: str = "id", dealt: bool = False) -> DataFrame:
+        """state joined to the links of its `key`: a hub's row goes to each of its salts, everything else to one place; `dealt` by `deal` already or not."""
         if self.hubs is None:
+            state = state if dealt else self.deal(state, key)
             return state.join(self.rows, state[key] == self.rows["src"])
         spread = state.join(F.broadcast(self.hubs), state[key] == self.hubs["hub"], "left")  # at most a row per HUB_LINKS edges
         spread = spread.withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         return spread.join(self.rows, (spread[key] == self.rows["src"]) & (spread["at"] == self.rows["salt"]))
 
+    def deal(self, rows: DataFrame, key: str = "id") -> DataFrame:
+        """rows, dealt by key as the links are by source if they are in few partitions; an aggregation by key or `meet` then moves them no more."""
+        return rows.repartition(self.parts, key) if self.few else rows
+
     def unpersist(self) -> None:
         self.rows.unpersist()
 
 
-def by_source(edges: DataFrame, most: int | None = None) -> Links:
-    """The links of edges(src, dst): parallel edges merged to c, w the share of src's out-edges that they are.
+def by_source(edges: DataFrame, most: int | None = None, stay: DataFrame | None = None, weighted: bool = True) -> Links:
+    """The links of edges(src, dst): parallel edges merged to c, w the share of src's out-edges that they are (if weighted).
 
     They are in as many partitions as an aggregation by vertex has, so joining to one moves no link, and in order of source,
-    so no round sorts them. A source with more than `most` (HUB_LINKS) edges is salted by target, so no partition holds
-    all of them. Edges move once; what tells hubs is pre-aggregated.
+    so no round sorts them; a small graph's are in fewer, one for each LEAST_LINKS edges, and a large one's in more. A source with
+    more than `most` (HUB_LINKS) edges is salted by target, so no partition holds all of them. Edges move once; what tells hubs
+    is pre-aggregated. Each vertex of stay(id), if given, has a link to itself, of c = 0 if it has no loop.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = edges.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = most or HUB_LINKS
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    seen = Observation()
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("links")).where(F.col("n") > most)
     hubs = cut_lineage(out.select(F.col("src").alias("hub"), F.ceil(F.col("n") / most).cast("int").alias("salts"), "n"))
-    if hubs.isEmpty():
-        pairs = edges.select("src", "dst").repartition(parts, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
+    n_links = seen.get.get("links") or 0
+    no_hubs = hubs.isEmpty()
+    least = max(spark.sparkContext.defaultParallelism, -(-n_links // LEAST_LINKS))
+    few = no_hubs and least < usual
+    parts = least if few else max(usual, -(-n_links // MOST_LINKS))
+    rows = edges.select("src", "dst", F.lit(1).alias("one"))
+    if stay is not None:
+        rows = rows.unionByName(stay.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("one")))
+    if no_hubs:
+        pairs = rows.repartition(parts, "src").groupBy("src", "dst").agg(F.sum("one").alias("c"))
         total = F.sum("c").over(Window.partitionBy("src"))
-        return Links(pairs.withColumn("w", F.col("c") / total).persist(), None)
-    salted = edges.select("src", "dst").join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left")
-    salted = salted.select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "n")
-    pairs = salted.repartition(parts, "src", "salt").groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        pairs = pairs.withColumn("w", F.try_divide("c", total)) if weighted else pairs.sortWithinPartitions("src")
+        return Links(pairs.persist(), None, parts, few)
+    salted = rows.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left")
+    salted = salted.select("src", "dst", "one", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "n")
+    pairs = salted.repartition(parts, "src", "salt").groupBy("src", "salt", "dst").agg(F.sum("one").alias("c"), F.first("n").alias("n"))
     total = F.coalesce("n", F.sum("c").over(Window.partitionBy("src", "salt")))
-    return Links(pairs.withColumn("w", F.col("c") / total).drop("n").persist(), hubs.drop("n"))
+    pairs = pairs.withColumn("w", F.try_divide("c", total)) if weighted else pairs.sortWithinPartitions("src", "salt")
+    return Links(pairs.drop("n").persist(), hubs.drop("n"), parts, few)
 
 
 def _surfer(ranks: DataFrame, base: DataFrame, links: Links, keep: float) -> DataFrame:
     """base(id, rank) plus keep * what flows over links: one join and one aggregation."""
-    flow = links.meet(ranks).select(F.col("dst").alias("id"), (F.col("rank") * F.col("w") * keep).alias("rank"))
-    return base.unionByName(flow).groupBy("id").agg(F.sum("rank").alias("rank"))
+    flow = links.meet(ranks, dealt=True).select(F.col("dst").alias("id"), (F.col("rank") * F.col("w") * keep).alias("rank"))
+    return links.deal(base.unionByName(flow)).groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
 def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float = 0.15, cut_every: int = 2) -> DataFrame:
@@ -69,11 +94,11 @@ def pagerank(g: Graph, iterations: int = 10, reset: float = 0.15, init: float =
     """
     links = by_source(g.edges)
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
-    ranks = g.vertices.select("id", F.lit(float(init)).alias("rank"))
+    ranks = links.deal(g.vertices.select("id", F.lit(float(init)).alias("rank")))
     for i in range(iterations):
         ranks = _surfer(ranks, base, links, 1 - reset)
         if (i + 1) % cut_every == 0 or i + 1 == iterations:
-            ranks = cut_lineage(ranks)
+            ranks = links.deal(cut_lineage(ranks)) if i + 1 < iterations else cut_lineage(ranks)
     links.unpersist()
     return ranks.select("id", F.col("rank").alias("score"))
 
@@ -84,7 +109,7 @@ def pagerank_until(g: Graph, tolerance: float = 0.001, reset: float = 0.15, init
     base = g.vertices.select("id", F.lit(float(reset)).alias("rank"))
     ranks = cut_lineage(g.vertices.select("id", F.lit(float(init)).alias("rank")))
     for _ in range(most):
-        new = cut_lineage(_surfer(ranks, base, links, 1 - reset))
+        new = cut_lineage(_surfer(links.deal(ranks), base, links, 1 - reset))
         moved = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new
         if moved is None or moved <= tolerance:
@@ -156,17 +181,34 @@ def kdegenerate(g: Graph, k: int) -> DataFrame:
     return g.vertices.select("id").join(kcore(g, k + 1), "id", "left_anti")
 
 
-def pagerank_active(g: Graph, tolerance: float = 0.001, reset: float = 0.15, most: int = 1000) -> tuple[DataFrame, list[int]]:
+def pagerank_active(g: Graph, tolerance: float = 0.001, reset: float = 0.15, most: int = 1000, cut_every: int = 2) -> tuple[DataFrame, list[int]]:
     """((id, score), senders of each round): PageRank by rank deltas of the vertices that still move.
 
     A vertex sends what its score has gained since it last sent, once that is over tolerance; no other one sends in a
     round, and the rounds end by themselves, as at most 1 - reset of what is sent arrives. What is never sent is at most
     tolerance a vertex, so no score is too high, and in sum they are too low by (1 - reset) / reset * tolerance * |V| at most.
+
+    Every vertex has a link to itself, along which it keeps its own, so a round reads the state once, and `cut_every` rounds
+    are one plan: a join and an aggregation each. How many send is observed as they pass; rounds beyond the last change nothing.
     """
-    links = by_source(g.edges)
+    links = by_source(g.edges, stay=g.vertices)
+    on, own = F.col("gain") > tolerance, F.col("src") == F.col("dst")
+    flow = F.when(on, F.coalesce(F.col("gain") * F.col("w") * (1 - reset), F.lit(0.0))).otherwise(0.0)
+    kept = [F.when(own, F.col("rank")).otherwise(0.0).alias("rank"), F.when(own & ~on, F.col("gain")).otherwise(0.0).alias("gain")]
     state = g.vertices.select("id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain"))
-    flow = (F.col("gain") * F.col("w") * (1 - reset)).alias("gain")
-    state, sent = run_active(state, links.meet, F.col("gain") > tolerance, flow, F.sum, {"rank": F.col("rank") + F.col("message"), "gain": F.col("gain") + F.col("message")}, {"gain": F.lit(0.0)}, most)
+    sent: list[int] = []
+    while len(sent) < most:
+        state, seen = links.deal(state), []
+        for _ in range(min(cut_every, most - len(sent))):
+            seen.append(Observation())
+            met = links.meet(state.observe(seen[-1], F.count_if(on).alias("active")), dealt=True).where(own | on)
+            mail = links.deal(met.select(F.col("dst").alias("id"), *kept, flow.alias("m"))).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("rank", "gain", "m")))
+            state = mail.select("id", (F.col("rank") + F.col("m")).alias("rank"), (F.col("gain") + F.col("m")).alias("gain"))
+        state = cut_lineage(state)
+        counts = [o.get.get("active") or 0 for o in seen]
+        sent += [n for n in counts if n]
+        if not counts[-1]:
+            break
     links.unpersist()
     return state.select("id", F.col("rank").alias("score")), sent
 
