@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from vertexlens.operators import ranks as rk
+from vertexlens.sources import fixtures
 from vertexlens.sources.edges import from_rows
 
 
@@ -23,6 +24,18 @@ def edges():
     return [(r.randrange(40), r.randrange(40)) for _ in range(300)]
 
 
+def test_pairs_of_an_order_are_dealt_by_rows(spark, monkeypatch):
+    r = random.Random(3)
+    lines = [(i // 4, r.randrange(30)) for i in range(400)]
+    monkeypatch.setattr(fixtures, "PAIRED_ROWS", 20)
+    found = fixtures.bought_together(spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint"))
+    assert found.rdd.getNumPartitions() == 20
+    parts = {}
+    for o, p in lines:
+        parts.setdefault(o, set()).add(p)
+    assert sorted(map(tuple, found.collect())) == sorted({(a, b) for s in parts.values() for a in s for b in s if a < b})
+
+
 def test_few_links_are_in_few_partitions_and_rounds_stay_there(spark, edges, many_shuffles):
     g = from_rows(spark, edges)
     links = rk.by_source(g.edges, stay=g.vertices)
