@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from vertexlens import graph
 from vertexlens.operators import ranks as rk
 from vertexlens.sources import fixtures
 from vertexlens.sources.edges import from_rows
@@ -49,3 +50,20 @@ def test_few_links_are_in_few_partitions_and_rounds_stay_there(spark, edges, man
     assert sent == alike == same and min(sent) > 0
     scores = [{r.id: round(r.score, 9) for r in x.collect()} for x in (found, one, usual)]
     assert scores[0] == scores[1] == scores[2]
+
+
+def test_peeling_writes_no_edge_again(spark, edges, many_shuffles, monkeypatch):
+    written, cut = [], graph.cut_and_observe
+    monkeypatch.setattr(graph, "cut_and_observe", lambda df, **m: written.append(df.columns) or cut(df, **m))
+    monkeypatch.setattr(rk, "cut_lineage", lambda df, cut=rk.cut_lineage: written.append(df.columns) or cut(df))
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for k in (9, 13):
+        left = set(near)
+        while weak := {v for v in left if len(near[v] & left) < k}:
+            left -= weak
+        assert {r.id for r in rk.kcore(from_rows(spark, edges), k).collect()} == left
+    assert written and not any({"id", "other"} <= set(c) for c in written)

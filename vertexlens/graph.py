@@ -162,20 +162,20 @@ def pregel(state: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def run_active(
-    state: DataFrame, meet: Callable[[DataFrame], DataFrame], active: Column, send: Column, merge: Callable[[Column], Column], received: dict[str, Column], sent: dict[str, Column], most: int
+    state: DataFrame, meet: Callable[[DataFrame], DataFrame], active: Column, send: Column, merge: Callable[[Column], Column], received: dict[str, Column], sent: dict[str, Column], most: int | None = None
 ) -> tuple[DataFrame, list[int]]:
     """(state, senders of each round): rounds over state(id, ...) in which only active vertices send.
 
     In a round the vertices for which `active` holds send `send` (over their row and the edge; null sends nothing) along the
     edges that `meet` joins them to; then their columns change by `sent`, and those of every vertex with messages by `received`,
-    over its row and `message`, the merged messages. Without active vertices the rounds end, after `most` at the latest. How
+    over its row and `message`, the merged messages. Without active vertices the rounds end, after `most` (if given) at the latest. How
     many are active is counted by the job that writes the round's vertices.
     """
     columns = [c for c in state.columns if c != "id"]
     on = F.coalesce(active, F.lit(False))
     state, seen = cut_and_observe(state, active=F.count_if(on))
     counts = []
-    while seen["active"] and len(counts) < most:
+    while seen["active"] and (most is None or len(counts) < most):
         counts.append(seen["active"])
         mail = meet(state.where(on)).select(F.col("dst").alias("id"), send.alias("m")).where("m is not null").groupBy("id").agg(merge(F.col("m")).alias("message"))
         after = state.select("id", *(F.when(on, sent[c]).otherwise(F.col(c)).alias(c) if c in sent else F.col(c) for c in columns))

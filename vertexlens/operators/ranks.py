@@ -162,18 +162,20 @@ def kdegenerate_heuristic(g: Graph, k: int, rounds: int = 15) -> DataFrame:
 
 
 def kcore(g: Graph, k: int) -> DataFrame:
-    """(id): the textbook k-core of the undirected simple graph, by peeling until nothing goes."""
-    both = ends(g.edges.where("src <> dst"), "either").distinct()
-    both = cut_lineage(both)
-    rows = both.count()
-    while True:
-        strong = both.groupBy("id").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= k).select("id")
-        left = both.join(strong, "id", "left_semi").join(strong.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other")
-        left = cut_lineage(left)
-        before, rows = rows, left.count()
-        if rows == before:
-            return left.select("id").distinct() if k > 0 else g.vertices.select("id")
-        both = left
+    """(id): the textbook k-core of the undirected simple graph, by peeling until nothing goes.
+
+    Edges are dealt once and never written again: a round tells the neighbours of the vertices that go how many went, and
+    writes a number a vertex.
+    """
+    if k <= 0:
+        return g.vertices.select("id")
+    both = ends(g.edges.where("src <> dst"), "either").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    links = by_source(both, weighted=False)
+    state = links.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("left"))  # null: gone
+    left = {"left": F.col("left") - F.col("message")}
+    state, _ = run_active(state, links.meet, F.col("left") < k, F.lit(1), F.sum, left, {"left": F.lit(None).cast("bigint")})
+    links.unpersist()
+    return state.where("left is not null").select("id")
 
 
 def kdegenerate(g: Graph, k: int) -> DataFrame:
