@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vertexlens.graph import Graph
@@ -105,6 +106,17 @@ def test_packed_numbers():
     assert len(tr.unpack(tr.pack(x[:0]), 1)[0]) == 0
 
 
+def test_a_triple_of_a_graph_of_some_million_edges_is_small(spark):
+    """It was as large as the graph: 4,000,000 of 6,000,000 edges. A larger one's copies stay as they were."""
+    for n in (600_000, 3_000_000, 6_000_000, 13_000_000):
+        assert 6 * n / tr.colours_for(n, 0) ** 2 <= tr.FEW_EDGES
+    for n in (25_000_000, 36_000_000, 75_000_000, 430_000_000):
+        assert 6 * n / tr.colours_for(n, 0) ** 2 <= tr.TASK_EDGES and tr.colours_for(n, 0) <= max(9, 2.5 * (n / tr.TASK_EDGES) ** 0.5 + 1)
+    edges = np.arange(1_200_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(edges[i : i + 10_000]), pa.array(edges[i : i + 10_000] + 1)], ["src", "dst"]) for i in range(0, len(edges), 10_000)]
+    assert max(len(a) for a, _ in tr._portions(iter(batches), tr.TASK_LINKS)) <= 500_000
+
+
 def test_global_clustering(spark):
     found, degree = plain(EDGES), {}
     for v in (v for e in EDGES for v in e):

@@ -2,9 +2,10 @@
 
 Every vertex has one of c colours, by hash. The edges between two colours are a class: they are dealt to it once, and packed
 into a few bytes each. A class then goes to each of the c triples of colours that hold both of its own, so a triangle
-lies whole in the triple of its vertices' colours, and in no other one is it counted. A task takes a triple of about
+lies whole in the triple of its vertices' colours, and in no other one is it counted. A task takes a triple of no more than
 TASK_EDGES edges, whatever the size of the graph: c grows with the square root of the edges, and what is shuffled is
-c packed copies of them, which is |E|^1.5, as are the wedges that the tasks look at in memory.
+c packed copies of them, which is |E|^1.5, as are the wedges that the tasks look at in memory. Up to FEW_COLOURS, where
+copies are few, a triple is smaller still.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from vertexlens.lineage import cut_lineage
 
 #: Edges of a triple, and of a graph that is no more than one.
 TASK_EDGES, ONE_TASK = 6_000_000, 200_000
+#: Edges of a triple with so many copies of the edges at most.
+FEW_EDGES, FEW_COLOURS = 1_000_000, 9
 #: Edges that a dealing task holds, wedges looked at in one go, possible triangles checked in one go, and slots of a table of hashes.
-TASK_LINKS, WEDGES, CHECKED, SLOTS = 2_000_000, 1_000_000, 1_000_000, 1 << 22
+TASK_LINKS, WEDGES, CHECKED, SLOTS = 500_000, 1_000_000, 1_000_000, 1 << 22
+#: Dealing tasks' edges for each place that counts are summed up in.
+PLACE_TASKS = 4
 #: Edges that are met with the neighbours of their second end in one go, and places of a table of ids for each edge.
 PORTION, TABLE_SPAN = 1_000_000, 8
 #: A vertex with more edges, repeated ones included, may call for more colours.
@@ -148,10 +153,11 @@ def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Arrays]:
 
 
 def colours_for(n_edges: int, most_degree: int) -> int:
-    """So many that three classes have TASK_EDGES edges, and a hub's edges to one colour no more than a third of that."""
+    """So many that three classes have TASK_EDGES edges, or FEW_EDGES with up to FEW_COLOURS, and a hub's edges to one colour no more than a third of TASK_EDGES."""
     if n_edges <= ONE_TASK:
         return 1
-    return max(3, math.ceil(math.sqrt(6 * n_edges / TASK_EDGES)), math.ceil(3 * most_degree / TASK_EDGES))
+    few = min(FEW_COLOURS, math.ceil(math.sqrt(6 * n_edges / FEW_EDGES)))
+    return max(3, few, math.ceil(math.sqrt(6 * n_edges / TASK_EDGES)), math.ceil(3 * most_degree / TASK_EDGES))
 
 
 def classes(edges: DataFrame, c: int, directed: bool) -> DataFrame:
@@ -210,7 +216,7 @@ def corners(parts: list[Arrays], direction: Direction, colours: int = 0) -> Arra
     higher rank of both ends of an edge are met, a portion of edges at a time.
     """
     ids, a, b = numbered(parts)
-    ways = None if direction == "either" else np.concatenate([p[2] for p in parts])
+    ways = None if direction == "either" else np.concatenate([p[2].astype(np.uint8) for p in parts])
     parts.clear()
     n = len(ids)
     by_rank = np.argsort(np.bincount(a, minlength=n) + np.bincount(b, minlength=n), kind="stable")
@@ -340,7 +346,7 @@ def corner_counts(edges: DataFrame, direction: Direction = "either") -> DataFram
     directed = direction != "either"
     edges = edges.select("src", "dst")
     n_edges = edges.count()
-    c, places = colours_for(n_edges, largest_degree(edges, n_edges)), max(1, -(-n_edges // TASK_LINKS))
+    c, places = colours_for(n_edges, largest_degree(edges, n_edges)), max(1, -(-n_edges // (PLACE_TASKS * TASK_LINKS)))
     columns = 3 if directed else 2
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
