@@ -255,3 +255,19 @@ def test_bloom(spark, tmp_path):
     f.save(str(tmp_path / "f"))
     again = BloomFilter.load(spark, str(tmp_path / "f"), 4096, 3).add(spark.range(1, 2))
     assert {r.id: r.might_contain for r in again.test(ids).collect()}[1]
+
+
+def test_bloom_hashes_an_id_once_however_often_it_occurs(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    positions = BloomFilter.positions
+
+    def counted(ids, m, k, seed):
+        made.add(ids.count())
+        return positions(ids, m, k, seed)
+
+    monkeypatch.setattr(BloomFilter, "positions", staticmethod(counted))
+    ids = spark.range(600).select((F.col("id") % 30).alias("id"))
+    f = BloomFilter.sized(ids, 0.01)
+    assert made.value == 30 and f.m == BloomFilter.sized(spark.range(30), 0.01).m
+    assert all(r.might_contain for r in f.test(ids).collect())
+    assert {r.pos for r in f.bits.collect()} == {r.pos for r in positions(ids, f.m, f.k, 42).collect()}

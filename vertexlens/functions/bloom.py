@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexlens.functions.rng import uniform
+from vertexlens.lineage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -27,12 +28,15 @@ class BloomFilter:
 
     @staticmethod
     def build(ids: DataFrame, m: int, k: int, seed: int = 42) -> BloomFilter:
+        """Repeated ids are hashed once: k rows are made for each id, not for each row."""
+        ids = ids.select("id").distinct()
         return BloomFilter(BloomFilter.positions(ids, m, k, seed).select("pos").distinct(), m, k, seed)
 
     @staticmethod
     def sized(ids: DataFrame, rate: float, seed: int = 42) -> BloomFilter:
         """A filter whose bits and hashes give about `rate` false positives for the distinct ids."""
-        n = max(1, ids.select("id").distinct().count())
+        ids = cut_lineage(ids.select("id").distinct())
+        n = max(1, ids.count())
         return BloomFilter.build(ids, math.ceil(-n * math.log(rate) / math.log(2) ** 2), max(1, round(-math.log2(rate))), seed)
 
     def add(self, ids: DataFrame) -> BloomFilter:
