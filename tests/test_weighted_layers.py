@@ -66,3 +66,17 @@ def test_least_rows_with_ties_and_more_than_there_are(spark, monkeypatch):
     assert sorted(r.id for r in least_rows(df, "u", 37, "id").collect()) == list(range(37))
     assert least_rows(df, "u", 500, "id").count() == 100 and least_rows(df, "u", 0, "id").count() == 0
     assert least_rows(df.where("false"), "u", 5, "id").count() == 0
+
+
+def test_layers_are_derived_once(spark):
+    rows = some_layers()
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "id bigint, layer int, weight double").mapInArrow(passed, "id bigint, layer int, weight double")
+    assert sorted(r.id for r in weighted_subset(df, 0.13, 5).collect()) == brute(rows, 0.13, 5)
+    assert seen.value == len(rows)

@@ -99,13 +99,14 @@ def weighted_subset(layers: DataFrame, fraction: float, seed: int = 42) -> DataF
 
     Every vertex draws the key -ln(u) / weight, and a layer keeps its least ones: the first is drawn in proportion to the
     weights, the next in proportion to those of the rest, and so on. A null weight, or one that is not positive, comes after all
-    others, by id. A layer's boundary is found in a histogram of keys. Layers are few: their sizes come to the driver.
+    others, by id. A layer's boundary is found in a histogram of keys. Layers are few: their sizes come to the driver. The keyed rows
+    are written once, so what gives the layers (degrees over all edges, say) is not run again for each look at them.
     """
     if not 0 <= fraction <= 1:
         raise ValueError(f"fraction {fraction} is not in [0, 1]")
     drawn = -F.log(F.greatest(uniform(seed, "id"), F.lit(1e-300))) / F.col("weight")
-    keyed = layers.withColumn("_key", F.coalesce(F.when(F.col("weight") > 0, F.least(drawn, F.lit(1e300))), F.lit(1e300)))
-    wanted = {r["layer"]: math.floor(fraction * r["n"] + 0.5) for r in layers.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = cut_lineage(layers.withColumn("_key", F.coalesce(F.when(F.col("weight") > 0, F.least(drawn, F.lit(1e300))), F.lit(1e300))))
+    wanted = {r["layer"]: math.floor(fraction * r["n"] + 0.5) for r in keyed.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}
     return least_within(keyed, "layer", "_key", wanted, "id").drop("_key")
 
 
