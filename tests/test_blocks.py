@@ -83,3 +83,28 @@ def test_a_round_shuffles_no_row_for_an_edge(spark, monkeypatch):
     assert built.spread(built.filled(0.15), 0.15).count() == 2
     built.unpersist()
     assert scores(rk.pagerank(g, 10)) == pytest.approx(by_hand(edges, 10), abs=1e-12)
+
+
+def test_python_gets_a_long_row_alone_and_the_session_keeps_its_batches(spark, small_blocks, monkeypatch):
+    """All rows of a share in one batch are as long as the graph has vertices, in the JVM and again in Python."""
+    monkeypatch.setattr(blocks, "BATCH_BYTES", 1)
+    frame, limit = type(spark.range(0)), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    plain = frame.mapInArrow
+
+    def watched(self, f, *schema):
+        def run(batches):
+            def checked():
+                for b in batches:
+                    assert b.num_rows == 1, f"{b.num_rows} rows in a batch"
+                    yield b
+
+            return f(checked())
+
+        return plain(self, run, *schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    edges = edges_of(6, 200)
+    g = from_rows(spark, edges)
+    assert scores(rk.pagerank(g, 3)) == pytest.approx(by_hand(edges, 3), abs=1e-12)
+    assert scores(rk.pagerank_until(g, 0.1)) == pytest.approx(by_hand(edges, 200, 1.0, tolerance=0.1), abs=1e-12)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
