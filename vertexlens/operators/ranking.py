@@ -104,7 +104,7 @@ def least_rows(rows: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
 _PLACE_BITS = 33
 
 
-def dense_numbers(rows: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+def dense_numbers(rows: DataFrame, *order: str | Column, parts: int | None = None) -> DataFrame:
     """rows with number: 0 .. n - 1 in order of the columns, checkpointed; rows that are equal in all of them are in an arbitrary but fixed order.
 
     One sort, by ranges (`parts` of them, if given): a partition's rows follow the numbers of the partitions before it, whose sizes are summed up. No

@@ -198,18 +198,20 @@ def pagerank_active(g: Graph, tolerance: float = 0.001, reset: float = 0.15, mos
 
     Every vertex has a link to itself, along which it keeps its own, so a round reads the state once, and `cut_every` rounds
     are one plan: a join and an aggregation each. How many send is observed as they pass; rounds beyond the last change nothing.
+    A vertex without id keeps `reset`: edges to it count for their source, but nothing flows to or from it.
     """
-    links = by_source(g.edges, stay=g.vertices)
+    known = g.vertices.where("id is not null")
+    links = by_source(g.edges, stay=known)
     on, own = F.col("gain") > tolerance, F.col("src") == F.col("dst")
     flow = F.when(on, F.coalesce(F.col("gain") * F.col("w") * (1 - reset), F.lit(0.0))).otherwise(0.0)
     kept = [F.when(own, F.col("rank")).otherwise(0.0).alias("rank"), F.when(own & ~on, F.col("gain")).otherwise(0.0).alias("gain")]
-    state = g.vertices.select("id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain"))
+    state = known.select("id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain"))
     sent: list[int] = []
     while len(sent) < most:
         state, seen = links.deal(state), []
         for _ in range(min(cut_every, most - len(sent))):
             seen.append(Observation())
-            met = links.meet(state.observe(seen[-1], F.count_if(on).alias("active")), dealt=True).where(own | on)
+            met = links.meet(state.observe(seen[-1], F.count_if(on).alias("active")), dealt=True).where(own | (on & F.col("dst").isNotNull()))
             mail = links.deal(met.select(F.col("dst").alias("id"), *kept, flow.alias("m"))).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("rank", "gain", "m")))
             state = mail.select("id", (F.col("rank") + F.col("m")).alias("rank"), (F.col("gain") + F.col("m")).alias("gain"))
         state = cut_lineage(state)
@@ -218,7 +220,8 @@ def pagerank_active(g: Graph, tolerance: float = 0.001, reset: float = 0.15, mos
         if not counts[-1]:
             break
     links.unpersist()
-    return state.select("id", F.col("rank").alias("score")), sent
+    nameless = g.vertices.where("id is null").select("id", F.lit(float(reset)).alias("score"))
+    return state.select("id", F.col("rank").alias("score")).unionByName(nameless), sent
 
 
 def distances(g: Graph, sources: DataFrame, most: int = 10_000) -> tuple[DataFrame, list[int]]:

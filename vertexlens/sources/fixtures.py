@@ -30,14 +30,14 @@ def _tasks_for(rows: DataFrame) -> int:
 
 
 def consecutive(events: DataFrame) -> DataFrame:
-    """(src, dst): each event's user and the next event's, over all events in order of (ts, event_id).
+    """(src, dst): each event's user and the next event's if that has one, over all events in order of (ts, event_id), nulls last.
 
     The order is one sort by ranges, and the next event is the one with the next number: no task sorts everything, and no
     hour, second or user with many events is one task's work. Partitions are as many as the rows call for.
     """
     parts = _tasks_for(events)
-    rows = dense_numbers(events.select("ts", "event_id", "user_id"), "ts", "event_id", parts=parts)
-    after = rows.select((F.col("number") - 1).alias("number"), F.col("user_id").alias("dst"))
+    rows = dense_numbers(events.select("ts", "event_id", "user_id"), F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"), parts=parts)
+    after = rows.where("user_id is not null").select((F.col("number") - 1).alias("number"), F.col("user_id").alias("dst"))
     return rows.repartition(parts, "number").join(after.repartition(parts, "number"), "number").select(F.col("user_id").alias("src"), "dst")
 
 
